@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, idfile, leaks, near, shards, tokens
+from . import exact, idfile, leaks, near, shards, tokens, toxic
 
 QUERIES = {
     "op2_bpe": tokens.op2_bpe,
     "op3_minhash": near.op3_minhash,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op5_toxicity": toxic.op5_toxicity,
     "op6_token_ids": idfile.op6_token_ids,
     "op7_token_counts": tokens.op7_token_counts,
     "op9_decontamination": leaks.op9_decontamination,
