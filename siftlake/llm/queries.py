@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact, idfile, leaks, near, shards, tokens, toxic
+from . import chat, exact, idfile, langid, leaks, near, shards, tokens, toxic
 
 QUERIES = {
+    "op1_language": langid.op1_language,
     "op2_bpe": tokens.op2_bpe,
     "op3_minhash": near.op3_minhash,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_toxicity": toxic.op5_toxicity,
     "op6_token_ids": idfile.op6_token_ids,
     "op7_token_counts": tokens.op7_token_counts,
+    "op8_preference": chat.op8_preference,
     "op9_decontamination": leaks.op9_decontamination,
     "op10_shards": shards.op10_shards,
 }
 
-ORACLE_SQL = {"op4_exact_dedup": exact.OP4_SQL}
+ORACLE_SQL = {"op4_exact_dedup": exact.OP4_SQL, "op8_preference": chat.OP8_SQL}
