@@ -9,8 +9,9 @@ probability 2^-BITS, so the estimate from bit counts is corrected for it; pairs
 
 No group's pairs are written out. In each band group a member chosen by hash is the leader; each document is compared
 with its leaders, the best estimate first, and components are formed. Only members of one band group that are then still
-in different components are compared with each other, which is nothing for a group of near copies, however large. So
-every candidate pair is either compared on full sets or its two documents are already connected: no cap, no sampling.
+in different components are compared with each other, in blocks; for a group whose copies its leaders connect that is
+nothing, however large it is. So every candidate pair is either let go by its estimate, compared on full sets, or its
+two documents are already connected: no cap, no sampling.
 
 Null, empty and blank texts have an empty set and link with nothing. Texts with fewer words than a shingle have the
 whole word sequence as their one shingle. Ids are expected to be unique; rows that repeat an id count as one document.
@@ -31,6 +32,8 @@ from .common import bytes_list, discard, sliced, stored, stored_at, table
 HASHES, BITS, BANDS, ROWS = 128, 4, 40, 5
 #: The chance to lose a link at the threshold itself: (1 - 0.8^5)^40 = 1e-7 for the bands, 1e-9 for the estimate.
 DEVIATIONS = 6
+#: Members of a band group that one task compares with each other.
+BLOCK = 512
 #: Ids of documents to compare that are broadcast at most (8 bytes each); beyond, they are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -155,12 +158,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _sets_of(ids: DataFrame, df: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """Full sets of the documents of ``ids``: texts are read again, only those wanted are cut into shingles."""
+    wanted = stored(ids, "wanted")
+    few = wanted.withColumnRenamed("id", key)
+    rows = df.select(key, text).join(F.broadcast(few) if wanted.count() <= BROADCAST_IDS else few, key, "left_semi")
+    return full_sets(rows, size, key, text).dropDuplicates(["id"])
+
+
 def _links(pairs: DataFrame, df: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    ids = wanted.select(F.col("id").alias(key))
-    rows = df.select(key, text).join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, key, "left_semi")
-    sets, sets_at = stored_at(full_sets(rows, size, key, text).dropDuplicates(["id"]), "sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets, sets_at = stored_at(_sets_of(ids, df, size, key, text), "sets")
     x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     ok = 100 * common >= percent * (F.size("x") + F.size("y") - common)
@@ -169,6 +178,70 @@ def _links(pairs: DataFrame, df: DataFrame, size: int, percent: int, key: str, t
     return found
 
 
+def _inside_links(inside: DataFrame, docs: DataFrame, df: DataFrame, size: int, percent: int, least: float, key: str, text: str) -> DataFrame:
+    """Links between different components within band groups.
+
+    A group is cut into blocks of about BLOCK members, and a task gets two blocks at a time. There, estimates of all
+    pairs come from bit counts; promising pairs, the best first, are confirmed on full sets unless the links found
+    before connect them already. A pair that shares several bands is looked at in the first of them only. What comes
+    out is at most one link less than there are components in the two blocks.
+    """
+    ids = inside.select(F.col("a").alias("id")).distinct()
+    sets, _ = stored_at(_sets_of(ids, df, size, key, text), "sets")
+    rows = inside.join(docs.withColumnRenamed("id", "a"), "a").join(sets.withColumnRenamed("id", "a"), "a")
+    own = F.pmod(F.xxhash64("a", "band"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+    def confirm(group: pa.Table) -> pa.Table:
+        n = group.num_rows
+        matrix = lambda c: np.array(group[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(n, -1)
+        names, label, own = (group[c].to_numpy() for c in ("a", "c", "own"))
+        sig, bands, band, i, j = matrix("sig").view(np.uint64), matrix("bands"), group["band"][0].as_py(), group["i"][0].as_py(), group["j"][0].as_py()
+        parts = group["set"].combine_chunks()
+        starts = parts.offsets.to_numpy()
+        values = parts.values.to_numpy(zero_copy_only=False)
+        sizes = np.diff(starts)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
+        for k in range(n):
+            later = np.arange(k + 1, n)
+            later = later[(label[later] != label[k]) & (10000 * np.minimum(sizes[later], sizes[k]) >= 100 * percent * np.maximum(sizes[later], sizes[k]))]
+            if i != j:
+                later = later[own[later] != own[k]]
+            if not len(later):
+                continue
+            x = sig[later] ^ sig[k]
+            for step in (1 << s for s in range(BITS.bit_length() - 1)):
+                x |= x >> np.uint64(step)
+            equal = 1 - np.bitwise_count(x & ones).sum(1) / HASHES
+            est = (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
+            later, est = later[est >= least], est[est >= least]
+            if not len(later):
+                continue
+            shared = bands[later] == bands[k]
+            first = bands[k][shared.argmax(1)] == band
+            for y in later[first][np.argsort(-est[first], kind="stable")].tolist():
+                a, b = top(int(label[k])), top(int(label[y]))
+                if a == b:
+                    continue
+                common = len(np.intersect1d(values[starts[k] : starts[k + 1]], values[starts[y] : starts[y + 1]], assume_unique=True))
+                if 100 * common >= percent * (int(sizes[k]) + int(sizes[y]) - common):
+                    root[max(a, b)] = min(a, b)
+                    out.append((names[k], names[y]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    columns = rows.select("band", "i", "j", "own", "a", "c", "sig", "bands", "set")
+    return stored(columns.groupBy("band", "i", "j").applyInArrow(confirm, "a long, b long").distinct(), "inside-links")
+
+
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept of each row. Rows with a null key have themselves as component (null, kept)."""
     spark = df.sparkSession
@@ -203,18 +276,15 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     if not more.isEmpty():
         links = links.unionByName(_links(more, df, size, percent, key, text))
         labels = components(links)
-    # members of one band group that are still in different components: one of each component and group goes first,
-    # then whoever is still apart
+    # members of one band group that are still in different components
     of = labels.select(F.col("id").alias("a"), "component")
     member = stored(grouped.join(of, "a", "left").select("band", "a", F.coalesce("component", "a").alias("c")), "members")
-    mixed = member.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band")
+    mixed = member.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     inside = stored(member.join(mixed, "band"), "mixed")
     if not inside.isEmpty():
-        x, y = inside, inside.select("band", F.col("a").alias("b"), F.col("c").alias("d"))
-        rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d"))).select("a", "b").distinct()
-        rest = stored(promising(rest).join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "rest")
+        rest = _inside_links(inside, docs, df, size, percent, least, key, text)
         if not rest.isEmpty():
-            links = links.unionByName(_links(rest, df, size, percent, key, text))
+            links = links.unionByName(rest)
             labels = components(links)
     discard(spark, grouped_at)
     discard(spark, docs_at)
