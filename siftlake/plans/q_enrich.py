@@ -189,8 +189,15 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("inv_id", F.col("rule_id")).withColumn("finding_id", G.finding_id(F.col("rule_id"), F.col("executed_at")))
 
 
+_kept: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return G.build(graph_rows(spark, sf_dir), results(spark, sf_dir))
+    """Nodes and edges of the cases, persisted once for all that reads them; lost parts are computed again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        _kept[key] = tuple(x.persist() for x in G.build(graph_rows(spark, sf_dir), results(spark, sf_dir)))
+    return _kept[key]
 
 
 def nodes_of(name: str, kind: str):
