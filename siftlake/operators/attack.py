@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import is_private
 from .graph import both_ways
+from .lineage import cut
 from .timeline import human_bytes, lookup, with_labels
 
 PHASES = json.loads(Path(__file__).with_name("phases.json").read_text(encoding="utf-8"))
@@ -48,13 +49,14 @@ def operation_phase(operation: Column) -> Column:
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     """(inv_id, finding_id, node): nodes within ``hops`` undirected steps of each finding.
 
-    One join a hop; each frontier leaves out what was reached before. The depth is fixed, so the plan is too.
+    One join a hop; each frontier leaves out what was reached before. Hops are cut by checkpoints, so plans stay small.
     """
-    steps = both_ways(edges).select("inv_id", "node", "other").distinct()
-    seen = seeds.select("inv_id", "finding_id", F.col("finding_id").alias("node")).distinct()
+    steps = cut(both_ways(edges).select("inv_id", "node", "other").distinct())
+    seen = cut(seeds.select("inv_id", "finding_id", F.col("finding_id").alias("node")).distinct())
     frontier = seen
     for _ in range(hops):
         frontier = frontier.join(steps, ["inv_id", "node"]).select("inv_id", "finding_id", F.col("other").alias("node")).distinct().join(seen, ["inv_id", "finding_id", "node"], "left_anti")
+        frontier = cut(frontier)
         seen = seen.unionByName(frontier)
     return seen
 

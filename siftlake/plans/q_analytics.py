@@ -185,8 +185,22 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("inv_id", "finding_id", "name", "severity", "mitre")
 
 
+_steps: dict[tuple[str, str], DataFrame] = {}
+_stories: dict[tuple[str, str], DataFrame] = {}
+
+
 def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attack.steps(findings(spark, sf_dir), *graph(spark, sf_dir))[0]
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _steps:
+        _steps[key] = attack.steps(findings(spark, sf_dir), *graph(spark, sf_dir))[0].persist()
+    return _steps[key]
+
+
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stories:
+        _stories[key] = attack.narratives(findings(spark, sf_dir), *graph(spark, sf_dir)).persist()
+    return _stories[key]
 
 
 @query("ATK1_reachable", "SELECT inv_id, node FROM h5", ATK)
@@ -237,7 +251,7 @@ def atk7(spark, sf_dir):
 
 @query("ATK8_entry_point", "SELECT inv_id, arg_min(target_label, step) AS entry_point FROM pl WHERE edge_type = 'AUTHENTICATED_FROM' GROUP BY 1", ATK)
 def atk8(spark, sf_dir):
-    return attack.narratives(findings(spark, sf_dir), *graph(spark, sf_dir)).where("entry_point IS NOT NULL").select("inv_id", "entry_point")
+    return stories(spark, sf_dir).where("entry_point IS NOT NULL").select("inv_id", "entry_point")
 
 
 IMPACT = "concat_ws('. ', " + ", ".join(f"CASE WHEN bool_or(phase = '{p}') THEN '{s}' END" for p, s in attack.CONCERNS.items()) + ")"
@@ -245,12 +259,12 @@ IMPACT = "concat_ws('. ', " + ", ".join(f"CASE WHEN bool_or(phase = '{p}') THEN
 
 @query("ATK9_impact", f"SELECT inv_id, CASE WHEN {IMPACT} = '' THEN '{attack.NO_CONCERN}' ELSE {IMPACT} || '.' END AS impact FROM pl GROUP BY 1", ATK)
 def atk9(spark, sf_dir):
-    return attack.narratives(findings(spark, sf_dir), *graph(spark, sf_dir)).select("inv_id", "impact")
+    return stories(spark, sf_dir).select("inv_id", "impact")
 
 
 @query("ATK10_summary")
 def atk10(spark, sf_dir):
-    return attack.narratives(findings(spark, sf_dir), *graph(spark, sf_dir)).select("inv_id", "summary")
+    return stories(spark, sf_dir).select("inv_id", "summary")
 
 
 @query("ATK11_narratives", """SELECT inv_id, steps, node_count, edge_count, severity, actors FROM (SELECT inv_id, count(*) AS steps FROM pl GROUP BY 1)
@@ -259,7 +273,7 @@ JOIN (SELECT e.inv_id, count(*) AS edge_count FROM edges e JOIN h5 a ON a.inv_id
 JOIN (SELECT inv_id, string_agg(actor, ',' ORDER BY k) AS actors FROM (SELECT inv_id, source_label AS actor, min(step) AS k FROM pl WHERE source_type = 'Principal' GROUP BY 1, 2) GROUP BY 1) USING (inv_id)
 JOIN rules ON rule_id = inv_id""", ATK)
 def atk11(spark, sf_dir):
-    return attack.narratives(findings(spark, sf_dir), *graph(spark, sf_dir)).select("inv_id", "steps", "node_count", "edge_count", "severity", "actors")
+    return stories(spark, sf_dir).select("inv_id", "steps", "node_count", "edge_count", "severity", "actors")
 
 
 # --- reports --------------------------------------------------------------------------------------------------------------
