@@ -22,8 +22,10 @@ word that tells them apart, every document scores 0.
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 import uuid
+from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,8 +42,10 @@ LANDMARKS, CONTRAST = 128, 32
 LIFT, TIMES = 5.0, 4.0
 #: Eigenvalues of the landmarks' kernel matrix are taken as this at least.
 FLOOR = 0.05
+#: Kernel value up to which a word counts as unlike all telling landmarks when the machine is trained.
+ALIKE = 0.02
 #: Price of a sentence on the wrong side of the margin.
-COST = 1.0
+COST = 0.2
 #: Bounds of the training sample, in documents.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 #: Words of one sentence at most; longer ones are cut.
@@ -170,18 +174,37 @@ def ends_sentence(chunk: str) -> bool:
     return chunk[-1] in ".!?"
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the rows that violate the margin."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w))
-    ridge[-1, -1] = 1e-3
+def svm(blocks: list[tuple[np.ndarray, float, np.ndarray]], c: float, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by Newton steps on the rows that violate the margin.
+
+    blocks: rows, their side (1 or -1) and weights. Rows are taken a few thousand at a time.
+    """
+    m = blocks[0][0].shape[1]
+    w = np.zeros(m + 1)
+    scale = c * sum(len(k) for _, _, k in blocks) / sum(k.sum() for _, _, k in blocks)
+
+    def loss(w: np.ndarray) -> float:
+        total = w[:-1] @ w[:-1] + 1e-3 * w[-1] ** 2
+        for x, side, weight in blocks:
+            total += scale * (weight * np.maximum(0, 1 - side * (x @ w[:-1].astype(np.float32) + w[-1])) ** 2).sum()
+        return float(total)
+
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        a, k = x[active], (c * weight * len(y) / weight.sum())[active]
-        new = np.linalg.solve(ridge + (a * k[:, None]).T @ a, (a * k[:, None]).T @ y[active])
-        done, w = np.abs(new - w).max() < 1e-6, new
-        if done:
+        left, right = np.eye(m + 1), np.zeros(m + 1)
+        left[-1, -1] = 1e-3
+        for x, side, weight in blocks:
+            for k in range(0, len(x), 8192):
+                part, cost = x[k : k + 8192], weight[k : k + 8192]
+                active = (side * (part @ w[:-1] + w[-1]) < 1) & (cost > 0)
+                a = np.column_stack([part[active], np.ones(active.sum())]).astype(np.float64)
+                costed = a * (scale * cost[active])[:, None]
+                left += costed.T @ a
+                right += side * costed.sum(0)
+        step, now, size = np.linalg.solve(left, right) - w, loss(w), 1.0
+        while size > 1e-3 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-5:
             break
     return w[:-1], float(w[-1])
 
@@ -219,17 +242,19 @@ def fit_rows(rows: list[tuple[str, int]], prior: float) -> Model:
     docs, ends = [], []
     for text, _ in rows:
         chunks = chunks_of(text)
-        docs.append(np.array([ids.setdefault(plain(c), len(ids)) for c in chunks], np.int64))
+        docs.append(np.array([ids.setdefault(plain(c), len(ids)) for c in chunks], np.int32))
         ends.append(np.array([ends_sentence(c) for c in chunks], bool))
     words = [*ids]
     # in how many different contexts (word before, word after) a word stands: copies of a document add none
     toxic_df, clean_df = np.zeros(len(words)), np.zeros(len(words))
     for counts, kind in ((toxic_df, 1), (clean_df, 0)):
-        around = [np.stack([d, np.concatenate([[-1], d[:-1]]), np.concatenate([d[1:], [-1]])], 1) for d, y in zip(docs, labels, strict=True) if y == kind and len(d)]
-        if around:
-            x = np.concatenate(around)
-            mixed = (x[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + x[:, 1].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) + x[:, 2].astype(np.uint64)
-            counts += np.bincount(x[np.unique(mixed, return_index=True)[1], 0], minlength=len(words))
+        seen: list[np.ndarray] = []
+        for d in (d for d, y in zip(docs, labels, strict=True) if y == kind and len(d)):
+            x, edge = d.astype(np.uint64), np.array([len(words)], np.uint64)
+            around = (np.concatenate([edge, x[:-1]]) * np.uint64(0xBF58476D1CE4E5B9)) ^ (np.concatenate([x[1:], edge]) * np.uint64(0x94D049BB133111EB))
+            seen.append(x << np.uint64(40) | (around * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24))
+        if seen:
+            counts += np.bincount((np.unique(np.concatenate(seen)) >> np.uint64(40)).astype(np.int64), minlength=len(words))
     usual = (clean_df + 0.5) * toxic_df.sum() / (clean_df.sum() + 1)
     lift = (toxic_df - usual) / np.sqrt(usual + 0.5)
     telling = [k for k in np.argsort(-lift, kind="stable")[: 20 * LANDMARKS].tolist() if lift[k] >= LIFT and toxic_df[k] >= TIMES * usual[k] and 2 < len(words[k]) <= LONG]
@@ -247,23 +272,24 @@ def fit_rows(rows: list[tuple[str, int]], prior: float) -> Model:
     root = vectors / np.sqrt(np.maximum(values, FLOOR)) @ vectors.T
 
     # words that no telling landmark resembles are all alike: the first row, zeros, stands for them
-    row_of, rows = np.zeros(len(words), np.int64), [np.zeros((1, len(marks.words)), np.float32)]
+    row_of, rows = np.zeros(len(words), np.int32), [np.zeros((1, len(marks.words)), np.float32)]
     n_rows = 1
     for k in range(0, len(words), 8192):
         parts = [parts_of(w) for w in words[k : k + 8192]]
         first = np.cumsum([0, *map(len, parts)])[:-1]
         flat = marks.kernel([p for ps in parts for p in ps])
         got = flat if len(flat) == len(parts) else np.maximum.reduceat(flat, first)
-        alike = np.flatnonzero(got[:, : len(chosen)].max(1) > 0.02)
+        alike = np.flatnonzero(got[:, : len(chosen)].max(1) > ALIKE)
         row_of[k + alike] = np.arange(n_rows, n_rows + len(alike))
         rows.append(got[alike])
         n_rows += len(alike)
     raw = np.concatenate(rows)
+    del rows
     x = raw @ root.astype(np.float32)
     clean_weight = np.log1p(np.bincount(row_of, clean_df, n_rows))
-    negative = np.flatnonzero(clean_weight > 0)
     toxic_docs = [row_of[doc] for doc, y in zip(docs, labels, strict=True) if y == 1 and len(doc)]
     score = raw[:, : len(chosen)].max(1)  # at first the word nearest to a telling landmark
+    del raw
     word_of = {int(r): words[k] for k, r in enumerate(row_of.tolist()) if r}
     model = Model(marks)
     for turn in range(6):
@@ -272,10 +298,7 @@ def fit_rows(rows: list[tuple[str, int]], prior: float) -> Model:
         if not len(positive):
             return Model()
         altered = marks.kernel([v for r in np.unique(positive).tolist() for v in variants(word_of[r])]) @ root.astype(np.float32)
-        seen = np.concatenate([x[positive], altered, x[negative]])
-        y = np.concatenate([np.ones(len(positive) + len(altered)), -np.ones(len(negative))])
-        weight = np.concatenate([np.full(len(positive), 0.3 / len(positive)), np.full(len(altered), 0.3 / len(altered)), 0.5 * clean_weight[negative] / clean_weight[negative].sum()])
-        w, b = svm(seen, y, weight, COST)
+        w, b = svm([(x[positive], 1, np.full(len(positive), 0.3 / len(positive))), (altered, 1, np.full(len(altered), 0.3 / len(altered))), (x, -1, 0.5 * clean_weight / clean_weight.sum())], COST)
         score = x @ w + b
     model.alpha, model.bias = (root @ w).astype(np.float32), b
     decisions = np.array([document_decision(score[row_of[d]], e, b) for d, e in zip(docs, ends, strict=True)])
@@ -295,8 +318,15 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return Model()
     order = F.xxhash64(F.lit("toxic sample"), key)
     picked = known.where("__y = 1").orderBy(order, key).limit(SAMPLE_TOXIC).unionByName(known.where("__y = 0").orderBy(order, key).limit(SAMPLE_CLEAN))
-    rows = documents.select(key, no_null(text).alias("t")).join(F.broadcast(picked), key).orderBy(key).select("t", "__y").collect()  # bounded sample
-    return fit_rows([(r["t"], r["__y"]) for r in rows], sizes[1] / (sizes[0] + sizes[1]))
+    prior = sizes[1] / (sizes[0] + sizes[1])
+    rows = documents.select(key, no_null(text).alias("t")).join(F.broadcast(picked), key).select(key, "t", "__y")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted(x for b in batches for x in zip(b[key].to_pylist(), b["t"].to_pylist(), b["__y"].to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows([(t, y) for _, t, y in sample], prior))], pa.binary())], ["model"])
+
+    # one task holds the sample, which is bounded; the driver gets the model alone
+    return pickle.loads(rows.repartition(1).mapInArrow(train, "model binary").first()["model"])
 
 
 def held_out(key: str):
@@ -311,17 +341,19 @@ class Scorer:
 
     def decisions(self, texts: list[str]) -> np.ndarray:
         docs = [chunks_of(t) for t in texts]
-        missing = [*{c for d in docs for c in d if c not in self.seen}]
+        missing = [*{c for d in docs for c in d}.difference(self.seen)]
+        table = self.seen
         if missing:
-            if len(self.seen) + len(missing) > CACHE:
-                self.seen.clear()
-                missing = [*{c for d in docs for c in d}]
             words = [plain(c) for c in missing]
             distinct = [*dict.fromkeys(w for w in words if w)]
             values = dict(zip(distinct, self.model.word_scores(distinct).tolist(), strict=True)) if distinct else {}
-            self.seen.update((c, values.get(w, 0.0) + ENDS * ends_sentence(c)) for c, w in zip(missing, words, strict=True))
+            fresh = {c: values.get(w, 0.0) + ENDS * ends_sentence(c) for c, w in zip(missing, words, strict=True)}
+            if len(self.seen) < CACHE:
+                self.seen.update(fresh)
+            else:  # a full cache stays as it is: what comes often came early
+                table = ChainMap(self.seen, fresh)
         out = np.zeros(len(docs))
-        get = self.seen.__getitem__
+        get = table.__getitem__
         for k, doc in enumerate(docs):
             v = np.fromiter(map(get, doc), np.float64, len(doc))
             ends = v > ENDS / 2
