@@ -62,8 +62,8 @@ def kd_shards(df: DataFrame, dims: list[str], n_shards: int | None = None, targe
             break
         table_of = rows.sparkSession.createDataFrame(cuts, "shard int, dim int, v long, vh long, vi long, right int")  # one row a node
         point = F.struct(F.element_at("x", F.col("dim") + 1), F.col("h"), F.col("i"))
-        right = point >= F.struct("v", "vh", "vi")
-        rows = rows.join(F.broadcast(table_of), "shard", "left").select("size", key, "text_crc32", "h", "i", "x", F.when(F.coalesce(right, F.lit(False)), F.col("right")).otherwise(F.col("shard")).alias("shard"))
+        right = F.col("right").isNotNull() & (point >= F.struct("v", "vh", "vi"))
+        rows = rows.join(F.broadcast(table_of), "shard", "left").select("size", key, "text_crc32", "h", "i", "x", F.when(right, F.col("right")).otherwise(F.col("shard")).alias("shard"))
         nodes = {s: n for node, n in nodes.items() for s, n in ([(node, n // 2), (node + n // 2, n - n // 2)] if n > 1 else [(node, n)])}
     return _slots(stored(rows.select(key, "size", "text_crc32", "shard", "i"), "sharded"), key)
 
