@@ -119,6 +119,7 @@ def repeated_test(prints: DataFrame, rows: int) -> tuple[Callable[[Column], Colu
 def mark_repeated(light: DataFrame, found: tuple, print_col: str = "print", to: str = "maybe_repeated") -> DataFrame:
     """``light`` with a boolean: false only if no other row has the same fingerprint."""
     maybe, filters, segments = found
+    names = light.columns
     if maybe is not None:
         return light.withColumn(to, maybe(print_col))
 
@@ -126,7 +127,7 @@ def mark_repeated(light: DataFrame, found: tuple, print_col: str = "print", to:
         for batch in batches:
             _, at = positions(batch[print_col].to_numpy(zero_copy_only=False).view(np.uint64), segments)
             hit = [bool(_test(np.frombuffer(b, np.uint8), np.zeros(1, np.int64), at[k : k + 1].astype(np.int64))[0]) for k, b in enumerate(batch["bits"].to_pylist())]
-            yield batch.select(light.columns).append_column(to, pa.array(hit, pa.bool_()))
+            yield batch.select(names).append_column(to, pa.array(hit, pa.bool_()))
 
     columns = ", ".join([*[f"`{c}` {t}" for c, t in light.dtypes], f"`{to}` boolean"])
     # the segment that positions() takes: the fingerprint's upper 24 bits modulo the number of segments

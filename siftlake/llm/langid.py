@@ -67,7 +67,7 @@ def text_model(documents: DataFrame, lang: str = "lang", text: str = "text") ->
                 sums[name] = sums.get(name, 0) + gram_counts("\n".join(texts))
         for name, counts in sums.items():
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
 
     rows = documents.where(F.col(lang).isNotNull()).select(lang, text).mapInArrow(count, "lang string, bucket int, n long")
     totals = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))

@@ -85,7 +85,7 @@ def sketch(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
             full = [k for k, s in enumerate(sets) if len(s)]
             low = np.stack([minima(sets[k]) for k in full]).astype(np.uint64) if full else np.empty((0, HASHES), np.uint64)
             bits = _mix(low) & np.uint64((1 << BITS) - 1)
-            sig = np.bitwise_or.reduce(bits.reshape(len(full), -1, lanes) << shift[:, None, :], 2).view(np.int64)
+            sig = np.bitwise_or.reduce(bits.reshape(len(full), HASHES // lanes, lanes) << shift[:, None, :], 2).view(np.int64)
             bands = np.zeros((len(full), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
             for r in range(ROWS):
                 bands = _mix(bands + low[:, _BAND[:, r]] * _FOLD[r])
