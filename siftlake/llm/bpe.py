@@ -24,7 +24,7 @@ RARE = regex.compile("[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u1c8a\u208f\u2
 STEP, WHOLE = 4096, 1024
 NO_RANK = 1 << 60
 #: Characters of one block of text, and entries of a piece cache.
-BLOCK, CACHE = 1 << 16, 400_000
+BLOCK, CACHE = 1 << 16, 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -197,9 +197,8 @@ class TextStream:
                 stream = PieceStream(self.merges, self.ahead)
                 return [i for part in (*stream.feed(data), stream.finish()) for i in part]
             got = self.merges.merge(data)
-            if len(self.piece_ids) >= CACHE:
-                self.piece_ids.clear()
-            self.piece_ids[piece] = got
+            if len(self.piece_ids) < CACHE:  # a full cache stays as it is: what comes often came early
+                self.piece_ids[piece] = got
         return got
 
     def cut(self, chunk: str) -> list[str]:
@@ -210,9 +209,7 @@ class TextStream:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
         got = self.value([i for p in self.cut(lead + chunk) for i in self.ids_of(p)])
-        if len(chunk) < 64:
-            if len(cache) >= CACHE:
-                cache.clear()
+        if len(chunk) < 64 and len(cache) < CACHE:
             cache[chunk] = got
         return got
 

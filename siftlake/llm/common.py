@@ -82,3 +82,14 @@ def sliced(batches, column: str, most: int = 4 << 20):
         rows = max(1, int(batch.num_rows * most / size))
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+_worker: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, make):
+    """What an operator keeps in a Python worker from task to task. A worker keeps one operator's state at a time."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]

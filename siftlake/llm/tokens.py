@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import BLOCK, CACHE, RARE, ByteToText, Merges, TextStream
-from .common import table, text_list
+from .common import sliced, table, text_list, worker_state
 
 #: Arrays given to ``ByteToText`` at once.
 DECODE_AT_ONCE = 1 << 15
@@ -49,9 +51,12 @@ def library_pieces(path: str):
     return pieces
 
 
-@lru_cache(maxsize=2)
 def ids_stream(path: str) -> TextStream:
     """Kept by each Python worker, with its caches, from task to task."""
+    return worker_state(("ids", path), lambda: _ids_stream(path))
+
+
+def _ids_stream(path: str) -> TextStream:
     merges = merges_of(path)
     own = merges.ids  # one int object for each id, so that caches stay small
 
@@ -66,8 +71,14 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = ids_stream(path)
-        for batch in batches:
-            out = pa.array([[i for block in stream.document(t) for ids, _ in block for i in ids] for t in text_list(batch[text])], pa.list_(pa.int32()))
+        for batch in sliced(batches, text):
+            flat, ends = array("i"), [0]
+            for t in text_list(batch[text]):
+                for block in stream.document(t):
+                    for ids, _ in block:
+                        flat.extend(ids)
+                ends.append(len(flat))
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], out], [*keep, to])
 
     keep = [c for c in df.columns if c != to]
@@ -79,11 +90,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body = merges_of(path).bytes_of
-        for batch in batches:
+        for batch in sliced(batches, ids):
             texts = []
-            for row in batch[ids].to_pylist():
-                state, row = ByteToText(), row or []
-                texts.append("".join(state.feed(b"".join([body[i] for i in row[k : k + DECODE_AT_ONCE]])) for k in range(0, len(row), DECODE_AT_ONCE)) + state.finish())
+            for row in batch[ids]:
+                state, row = ByteToText(), [] if row.values is None else row.values.to_numpy()
+                texts.append("".join(state.feed(b"".join([body[i] for i in row[k : k + DECODE_AT_ONCE].tolist()])) for k in range(0, len(row), DECODE_AT_ONCE)) + state.finish())
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(texts, pa.string())], [*keep, to])
 
     keep = [c for c in df.columns if c != to]
@@ -163,9 +174,7 @@ class TokenCounter:
         else:
             plain = (word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")).lower()
             n = sum(1 if piece in self.whole else self._merged(piece) for piece in WORDS.findall(plain))
-        if len(word) < 64:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
+        if len(word) < 64 and len(self.seen) < CACHE:
             self.seen[word] = n
         return n
 
@@ -200,17 +209,12 @@ class TokenCounter:
         yield text[at:] if at else text
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 def count_tokens(df: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_tokens, over_limit of each row."""
     proven = df.sparkSession.sparkContext.broadcast(prove_whole(path))  # at most the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = TokenCounter(path, proven.value)
-        counter = _counters[path]
+        counter = worker_state(("count", path), lambda: TokenCounter(path, proven.value))
         for batch in batches:
             texts = text_list(batch[text])
             n = [counter.text(t) for t in texts]

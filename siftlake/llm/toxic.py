@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import no_null, sliced, table, text_list
+from .common import no_null, sliced, table, text_list, worker_state
 
 DECAY, SPAN, POWER = 0.7, 6, 2
 LANDMARKS, CONTRAST = 128, 32
@@ -52,7 +52,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 SENTENCE = 32
 #: Letters of a word that are compared at once; longer words are cut into overlapping parts.
 LONG = 24
-CACHE = 400_000
+CACHE = 250_000
 ENDS = 4096.0
 _GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 _NOT_LETTERS = re.compile(r"[\W_]+")
@@ -322,6 +322,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rows = documents.select(key, no_null(text).alias("t")).join(F.broadcast(picked), key).select(key, "t", "__y")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("training",), lambda: None)  # frees what the worker kept before
         sample = sorted(x for b in batches for x in zip(b[key].to_pylist(), b["t"].to_pylist(), b["__y"].to_pylist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows([(t, y) for _, t, y in sample], prior))], pa.binary())], ["model"])
 
@@ -361,9 +362,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """All columns of ``df`` and the score."""
     keep = [c for c in df.columns if c != to]
@@ -372,12 +370,10 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sent.value
-        if found.name not in _scorers:
-            _scorers.clear()
-            _scorers[found.name] = Scorer(found)
+        scorer = worker_state(("toxic", found.name), lambda: Scorer(found))
         for batch in sliced(batches, text):
             texts = text_list(batch[text])
-            values = found.probability(_scorers[found.name].decisions(texts)) if found.weights is not None else np.zeros(len(texts))
+            values = found.probability(scorer.decisions(texts)) if found.weights is not None else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(values, pa.float64())], [*keep, to])
 
     return df.mapInArrow(run, schema)
