@@ -3,7 +3,8 @@
 Texts are cut into words: A-Z lower-cased, runs of digits, letters a-z and all characters from U+0080 on. A window is
 ``WINDOW`` consecutive words of a benchmark item; an item with fewer words is one window, an item without words none.
 The windows' vocabulary and hashes go to all tasks in blocks of a checked size (``BLOCK_BYTES`` of benchmark text; more
-than one block means more than one scan, whose spans are then united). A task turns each document into vocabulary ids,
+than one block means more than one scan; the rows are then written once with an id of their own, by which the spans of
+the scans are united). A task turns each document into vocabulary ids,
 looks up the hash of each run of known words, and compares every hit word by word.
 
 Null and empty texts have no words and no hits. Repeated rows and ties are handled row by row. Items with the same text
@@ -28,6 +29,8 @@ BLOCK_BYTES = 4 << 20
 #: Lower-cases A-Z and turns every byte that is not in a word into a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SPANS = "array<struct<start:long,stop:long>>"
+#: A row's own id, since keys may be repeated or null.
+ROW = "_row"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -79,9 +82,8 @@ class Windows:
                     yield n, part[ok], where[ok], items
 
 
-def scan(df: DataFrame, windows: Windows, key: str, text: str, cut: bool = False) -> DataFrame:
-    """key, n_words, spans (of words that are hit; merged, in order), items (sorted as strings), and with ``cut`` the
-    text without the hit words."""
+def scan(df: DataFrame, windows: Windows, keys: list[str], text: str) -> DataFrame:
+    """keys, n_words, spans (of words that are hit; merged, in order), items (sorted as strings)."""
     sent = df.sparkSession.sparkContext.broadcast(windows)  # built from at most BLOCK_BYTES of text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,19 +103,18 @@ def scan(df: DataFrame, windows: Windows, key: str, text: str, cut: bool = False
                 for doc, w in {*zip((np.searchsorted(ends, at, "right") - 1).tolist(), where.tolist(), strict=True)}:
                     items.setdefault(doc, set()).update(names[w])
             inside = (np.cumsum(hit) > 0).astype(np.int8)
-            spans, cleaned = [], []
-            for k, t in enumerate(texts):
+            spans = []
+            for k in range(len(texts)):
                 mine = []
                 if k in items or inside[bounds[k] : bounds[k + 1]].any():
                     edge = np.flatnonzero(np.diff(inside[bounds[k] : bounds[k + 1]], prepend=0, append=0)).tolist()
                     mine = [{"start": a, "stop": b} for a, b in zip(edge[::2], edge[1::2])]
                 spans.append(mine)
-                if cut:
-                    cleaned.append(without(t, mine) if mine else None)
-            out = [batch[key], pa.array([b - a - 1 for a, b in zip(bounds, bounds[1:])], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(items.get(k, ())) for k in range(len(texts))], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(cleaned, pa.string())] * cut, [key, "n_words", "spans", "items", *["cleaned"] * cut])
+            out = [*(batch[k] for k in keys), pa.array([b - a - 1 for a, b in zip(bounds, bounds[1:])], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(items.get(k, ())) for k in range(len(texts))], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(out, [*keys, "n_words", "spans", "items"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_words long, spans {SPANS}, items array<string>" + ", cleaned string" * cut)
+    typed = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return df.select(*keys, text).mapInArrow(run, f"{typed}n_words long, spans {SPANS}, items array<string>")
 
 
 def without(text: bytes, spans: list[dict]) -> str:
@@ -126,45 +127,61 @@ def without(text: bytes, spans: list[dict]) -> str:
     return b"".join([*out, text[at:]]).decode()
 
 
-def blocks(bench: DataFrame, item: str, text: str) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Benchmark items in blocks that the driver and each task can hold."""
+def blocks(bench: DataFrame, item: str, text: str) -> tuple[int, Iterator[list[tuple[str | None, bytes]]]]:
+    """Number of blocks, and benchmark items in blocks that the driver and each task can hold."""
     sized = bench.select(F.col(item).cast("string").alias("item"), no_null(text).alias("text"))
     total = sized.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = -(-total // BLOCK_BYTES) if total > BLOCK_BYTES else 1
-    for k in range(n):
-        mine = sized if n == 1 else sized.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"].encode()) for r in mine.toLocalIterator()]
+    parts = (sized if n == 1 else sized.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n))
+    return n, ([(r["item"], r["text"].encode()) for r in part.toLocalIterator()] for part in parts)
 
 
-def find(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """key, n_words, spans, items of each row."""
-    found = [scan(df, Windows(b, window), key, text) for b in blocks(bench, item, item_text)]
-    if len(found) == 1:
-        return found[0]
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    # spans of several scans of a document: sort, then join what touches; the scans of one document are few
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with ids of their own, written so that all scans see the same ids."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def united(df: DataFrame, n: int, found: Iterator[list[tuple[str | None, bytes]]], keys: list[str], text: str, window: int) -> DataFrame:
+    """keys, n_words, spans, items of each row; ``keys`` has ROW if there are several blocks."""
+    rows = scan(df, Windows(next(found), window), keys, text)
+    if n == 1:
+        return rows
+    for block in found:
+        rows = rows.unionByName(scan(df, Windows(block, window), keys, text).where(F.size("spans") > 0))
+    # spans of several scans of a row: sort, then join those that overlap or touch; a row has one list for each block at most
     merge = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))),
         F.array().cast(SPANS),
         lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(done, F.array(s))),
     )
-    return rows.groupBy(key).agg(F.first("n_words").alias("n_words"), merge.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    kept = [F.first(k).alias(k) for k in keys if k != ROW]
+    return rows.groupBy(ROW).agg(*kept, F.first("n_words").alias("n_words"), merge.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def find(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """key, n_words, spans, items of each row."""
+    n, found = blocks(bench, item, item_text)
+    if n == 1:
+        return united(df, n, found, [key], text, window)
+    return united(numbered(df.select(key, text)), n, found, [ROW, key], text, window).drop(ROW)
+
+
+def hit_rows(rows: DataFrame, bench: DataFrame, text: str) -> DataFrame:
+    """ROW and spans of the numbered rows with a hit."""
+    return stored(united(rows, *blocks(bench, "item_id", "text"), [ROW], text, WINDOW).where(F.size("spans") > 0).select(ROW, "spans"), "hits")
 
 
 def drop_contaminated(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without a hit, with their columns. Rows with a null key stay."""
-    bad = stored(find(df, bench, key, text).where(F.size("spans") > 0).select(key), "contaminated")
-    return df.join(bad, key, "left_anti")
+    """The rows of ``df`` without a hit, with their columns, whatever their keys."""
+    rows = numbered(df)
+    return rows.join(hit_rows(rows, bench, text), ROW, "left_anti").select(*df.columns)
 
 
 def remove_spans(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows of ``df``, with hit words cut out of the text. One pass over the rows for each block of the benchmark."""
-    for block in blocks(bench, "item_id", "text"):
-        cut = stored(scan(df, Windows(block, WINDOW), key, text, cut=True).where("cleaned IS NOT NULL").select(key, "cleaned"), "cut")
-        df = df.join(cut.dropDuplicates([key]), key, "left").withColumn(text, F.coalesce("cleaned", text)).select(*df.columns)
-    return df
+    """All rows of ``df``, with hit words cut out of the text: the spans of all blocks, found on the text as it was."""
+    rows = numbered(df)
+    cut = F.udf(lambda t, spans: without(t.encode(), spans) if spans else t, "string")
+    return rows.join(hit_rows(rows, bench, text), ROW, "left").withColumn(text, cut(text, "spans")).select(*df.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,29 @@ def test_leaks(spark, monkeypatch, block):
     assert clean.count() <= 2  # what stands together after the cut may be a window of its own
 
 
+@pytest.mark.parametrize("block", [4 << 20, 100])
+def test_leaks_row_by_row(spark, monkeypatch, block):
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", block)
+    items = benchmark_rows()
+    first, second = items[0][1], items[1][1]
+    half = lambda t: " ".join(t.split()[:5])
+    # repeated and null keys; item 20 overlaps the end of item 0, and only longer items take part
+    items = [items[0], items[1], items[8], (20, " ".join([*first.split()[-5:], "qq", *second.split()[:4]]))]
+    overlap = first + " qq " + " ".join(second.split()[:4])
+    rows = [(1, "zz"), (1, "zz"), (1, "zz " + first), (None, "zz yy"), (None, second + " xx"), (None, None), (2, overlap + " end"), (3, half(first) + " pp " + second + " pp " + half(first))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(repr(r.doc_id), r.n_words, [(s.start, s.stop) for s in r.spans], r["items"]) for r in leaks.find(df, bench).collect()]
+    a, b = ["0", "8"], ["1"]
+    n = len(overlap.split())
+    want = [("1", 1, [], []), ("1", 1, [], []), ("1", 31, [(1, 31)], a), ("None", 2, [], []), ("None", 13, [(0, 12)], b), ("None", 0, [], []), ("2", n + 1, [(0, n)], ["0", "20", "8"]), ("3", 24, [(6, 18)], b)]
+    assert sorted(got) == sorted(want)
+    cleaned = [(r.doc_id, r.text) for r in leaks.remove_spans(df, bench).collect()]
+    assert sorted(cleaned, key=repr) == sorted([(1, "zz"), (1, "zz"), (1, "zz "), (None, "zz yy"), (None, " xx"), (None, None), (2, " end"), (3, f"{half(first)} pp  pp {half(first)}")], key=repr)
+    left = [(r.doc_id, r.text) for r in leaks.drop_contaminated(df, bench).collect()]
+    assert sorted(left, key=repr) == sorted([(1, "zz"), (1, "zz"), (None, "zz yy"), (None, None)], key=repr)
+
+
 def test_leaks_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert leaks.find(frame(spark, corpus()).limit(0), bench).count() == 0
