@@ -181,12 +181,12 @@ PLACED = "pl AS (SELECT st.*, row_number() OVER (PARTITION BY inv_id, finding_id
 ATK = (*GRAPH, LABELLED, BOTH, *HOP, OPS, TECH, ORD, MITRE, STEPS, PLACED)
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).select("inv_id", "finding_id", "name", "severity", "mitre")
+def findings(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return results(spark, sf_dir, whole).select("inv_id", "finding_id", "name", "severity", "mitre")
 
 
 _steps: dict[tuple[str, str], DataFrame] = {}
-_stories: dict[tuple[str, str], DataFrame] = {}
+_stories: dict[tuple[str, str, bool], DataFrame] = {}
 
 
 def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,10 +196,10 @@ def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps[key]
 
 
-def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
+def stories(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, whole)
     if key not in _stories:
-        _stories[key] = attack.narratives(findings(spark, sf_dir), *graph(spark, sf_dir)).persist()
+        _stories[key] = attack.narratives(findings(spark, sf_dir, whole), *graph(spark, sf_dir, whole)).persist()
     return _stories[key]
 
 

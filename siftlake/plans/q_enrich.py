@@ -11,7 +11,7 @@ from ..operators import graph as G
 from ..sources.adapter import FLAT, events
 from .registry import AS_OF, DETECT, END, EV, HITS, RULES, START, W, query
 
-#: Investigated rules of the registered queries.
+#: Investigated rules of the registered queries whose SQL names them; ``whole`` investigates every triggered rule instead.
 CASES = ["detect-cloudtrail-tampering", "detect-port-scan", "detect-nxdomain-spike"]
 CASE_RULES = [r for r in RULES if r["id"] in CASES]
 
@@ -34,8 +34,15 @@ def window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).where(D.in_window(START, END))
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.hits(events(spark, sf_dir), CASE_RULES, START, END).withColumnRenamed("rule_id", "inv_id")
+def triggered(spark: SparkSession, sf_dir: str) -> list[dict]:
+    """The rules that trigger in the window, out of all; their ids are no more than there are rules."""
+    ids = {r["rule_id"] for r in D.run_all(events(spark, sf_dir), RULES, START, END).where("triggered").select("rule_id").collect()}
+    return [r for r in RULES if r["id"] in ids]
+
+
+def matches(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Matched events of the cases; ``whole``: of all rules that triggered."""
+    return D.hits(events(spark, sf_dir), triggered(spark, sf_dir) if whole else CASE_RULES, START, END).withColumnRenamed("rule_id", "inv_id")
 
 
 def ids_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,29 +181,34 @@ EDGES = """edges AS (
   FROM (SELECT inv_id, edge_type, source_id, target_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS event_count, string_agg(DISTINCT port::VARCHAR, ',' ORDER BY port::VARCHAR) AS ports,
           sum(bytes_in)::BIGINT AS bytes_in, sum(bytes_out)::BIGINT AS bytes_out FROM edge_c GROUP BY 1, 2, 3, 4))"""
 GRAPH = (*DETECT, M, IDS, EVW, ENR, ROWS, NODE_C, NODES, EDGE_C, EDGES)
+#: The same expressions over every triggered rule.
+WHOLE = {M: "m AS (SELECT rule_id AS inv_id, * FROM hits WHERE rule_id IN (SELECT rule_id FROM results WHERE triggered))", NODES: NODES[: NODES.rindex("WHERE rule_id IN")] + "WHERE triggered)"}
+
 
+def graph_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Matched and enriching events of the cases, each once for an investigation; a match counts as a match.
 
-def graph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched and enriching events of the cases, each once for an investigation; a match counts as a match."""
-    found, ev = matches(spark, sf_dir), window(spark, sf_dir)
+    Enrichment reads all sources without a limit, so that it has all rows of the cross-source step, which reads the others.
+    """
+    found, ev = matches(spark, sf_dir, whole), window(spark, sf_dir)
     extra = E.enrich_all(ev, E.identifiers(found)).join(found.select("inv_id", "event_uid"), ["inv_id", "event_uid"], "left_anti")
     rows = found.withColumn("is_match", F.lit(True)).unionByName(extra.withColumn("is_match", F.lit(False)))
     return rows.withColumn("finding_id", G.finding_id(F.col("inv_id"), F.lit(AS_OF).cast("timestamp")))
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = D.run_all(events(spark, sf_dir), CASE_RULES, START, END).withColumn("executed_at", F.lit(AS_OF).cast("timestamp"))
+def results(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    got = D.run_all(events(spark, sf_dir), triggered(spark, sf_dir) if whole else CASE_RULES, START, END).withColumn("executed_at", F.lit(AS_OF).cast("timestamp"))
     return got.withColumn("inv_id", F.col("rule_id")).withColumn("finding_id", G.finding_id(F.col("rule_id"), F.col("executed_at")))
 
 
-_kept: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_kept: dict[tuple[str, str, bool], tuple[DataFrame, DataFrame]] = {}
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the cases, persisted once for all that reads them; lost parts are computed again."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, whole)
     if key not in _kept:
-        _kept[key] = tuple(x.persist() for x in G.build(graph_rows(spark, sf_dir), results(spark, sf_dir)))
+        _kept[key] = tuple(x.persist() for x in G.build(graph_rows(spark, sf_dir, whole), results(spark, sf_dir, whole)))
     return _kept[key]
 
 

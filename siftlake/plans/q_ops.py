@@ -14,7 +14,7 @@ from ..operators import enrich as E
 from ..sources.adapter import EV, events
 from .q_analytics import TL, stories
 from .q_detect import HISTORY, history
-from .q_enrich import GRAPH, graph, graph_rows
+from .q_enrich import CROSS, GRAPH, WHOLE, graph, graph_rows, matches, window
 from .registry import AS_OF, DETECT, END, RULES, START, query
 
 
@@ -201,19 +201,33 @@ def inv1(spark, sf_dir):
 INV2 = "SELECT inv_id, 'nodes' AS artifact, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT inv_id, 'edges', count(*) FROM edges GROUP BY 1 UNION ALL SELECT inv_id, 'timeline', count(*) FROM tl GROUP BY 1 UNION ALL SELECT inv_id, 'clusters', count(DISTINCT cluster) FROM cl GROUP BY 1 UNION ALL SELECT inv_id, 'events', count(*) FROM g GROUP BY 1"
 
 
-@query("INV2_investigation", INV2, TL)
-def inv2(spark, sf_dir):
-    """Triggered results -> enrichment -> graph -> timeline, clusters: artifact counts of each investigation."""
-    nodes, edges = graph(spark, sf_dir)
+def artifacts(spark: SparkSession, sf_dir: str, whole: bool) -> dict[str, DataFrame]:
+    nodes, edges = graph(spark, sf_dir, whole)
     lines = timeline.extract(nodes, edges)
-    parts = {"nodes": nodes, "edges": edges, "timeline": lines, "clusters": timeline.with_clusters(lines).select("inv_id", "cluster").distinct(), "events": graph_rows(spark, sf_dir)}
+    return {"nodes": nodes, "edges": edges, "timeline": lines, "clusters": timeline.with_clusters(lines).select("inv_id", "cluster").distinct(), "events": graph_rows(spark, sf_dir, whole)}
+
+
+def counted(parts: dict[str, DataFrame]) -> DataFrame:
     return E.concat([rows.groupBy("inv_id").agg(F.count("*").alias("n")).withColumn("artifact", F.lit(name)) for name, rows in parts.items()])
 
 
+@query("INV2_investigation", INV2, TL)
+def inv2(spark, sf_dir):
+    """Enrichment -> graph -> timeline, clusters of the three cases that the SQL names: artifact counts of each."""
+    return counted(artifacts(spark, sf_dir, False))
+
+
+@query("INV3_all_investigations", INV2 + " UNION ALL SELECT inv_id, 'cross-source', count(*) FROM cross_rows GROUP BY 1", tuple(WHOLE.get(c, c) for c in (*TL, CROSS)))
+def inv3(spark, sf_dir):
+    """Every triggered result -> enrichment -> cross-source -> graph -> timeline, clusters: artifact counts of each investigation."""
+    ids = E.identifiers(matches(spark, sf_dir, True))
+    return counted(artifacts(spark, sf_dir, True) | {"cross-source": E.cross_source(window(spark, sf_dir), ids, "cloudtrail")})
+
+
 @query("INV2_scores_and_paths")
 def inv2_more(spark, sf_dir):
-    """The parts of an investigation that SQL has no words for: narratives, with anomalies and patterns counted."""
-    nodes, edges = graph(spark, sf_dir)
-    odd = anomaly.scores(anomaly.entity_counts(graph_rows(spark, sf_dir), "inv_id"), "inv_id").groupBy("inv_id").agg(F.count("*").alias("anomalies"))
+    """The parts of every triggered rule's investigation that SQL has no words for: narratives, with anomalies and patterns counted."""
+    nodes, edges = graph(spark, sf_dir, True)
+    odd = anomaly.scores(anomaly.entity_counts(graph_rows(spark, sf_dir, True), "inv_id"), "inv_id").groupBy("inv_id").agg(F.count("*").alias("anomalies"))
     shapes = patterns.detect(nodes, edges).groupBy("inv_id").agg(F.count("*").alias("patterns"))
-    return stories(spark, sf_dir).select("inv_id", "steps", "phases", "impact").join(odd, "inv_id", "left").join(shapes, "inv_id", "left").na.fill(0)
+    return stories(spark, sf_dir, True).select("inv_id", "steps", "phases", "impact").join(odd, "inv_id", "left").join(shapes, "inv_id", "left").na.fill(0)
