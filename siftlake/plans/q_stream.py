@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.adapter import EV
+from ..sources.adapter import EV, events
 from ..streaming import windows as S
 from .q_enrich import CASE_RULES, CASES, M, window
 from .q_ops import shared
-from .registry import HITS, query
+from .registry import END, HITS, RULES, query
 
 LISTED = ", ".join(f"'{c}'" for c in CASES)
 LEAST = "CASE rule_id " + " ".join(f"WHEN '{r['id']}' THEN {r['threshold']}" for r in CASE_RULES) + " END"
@@ -63,10 +63,31 @@ def str4(spark, sf_dir):
 
 @query("STR5_first_investigations", f"SELECT rule_id, count(*) AS n FROM (SELECT DISTINCT rule_id FROM hits WHERE rule_id IN ({LISTED})) GROUP BY 1", (EV, HITS))
 def str5(spark, sf_dir):
-    """A rule's first match opens an investigation; matches of the same batch do not open another."""
-    source, state = files(spark, sf_dir)
-    rows = S.rule_hits(source, CASE_RULES).select("rule_id", F.col("time_dt").alias("executed_at"))
-    return S.run(S.first_per_rule(rows), f"s{uuid.uuid4().hex}", "append", state).groupBy("rule_id").agg(F.count("*").alias("n"))
+    """The rules of the three cases that open an investigation, each once: its first. STR7 has all that they open."""
+    return daily(spark, sf_dir, CASE_RULES).select("rule_id").distinct().groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+def daily(spark: SparkSession, sf_dir: str, rules: list[dict]) -> DataFrame:
+    """Investigations that the window's events open, fed in several batches and up to ten minutes out of order."""
+    path, rows = shared(spark, "stream"), window(spark, sf_dir)
+    # a heartbeat after the window's end moves the watermark past its last event
+    beat = events(spark, sf_dir).limit(1).withColumn("time_dt", F.lit(END).cast("timestamp") + F.expr("INTERVAL 1 DAY")).withColumn("class_uid", F.lit(-1).cast(rows.schema["class_uid"].dataType))
+    arrival = F.unix_micros("time_dt") + F.pmod(F.xxhash64("event_uid"), F.lit(600_000_000))
+    rows.unionByName(beat).withColumn("arrival", arrival).repartitionByRange(12, "arrival").drop("arrival").write.parquet(path)
+    S.in_order(spark, path)
+    source = S.stream(spark.read.parquet(path), path, files=2)
+    return S.run_to_files(S.daily_investigations(source, rules), shared(spark, "opened"), shared(spark, "stream-state"))
+
+
+DAILY = """SELECT rule_id, epoch_us(opened) AS opened_us FROM (WITH RECURSIVE t AS MATERIALIZED (SELECT DISTINCT rule_id, time_dt FROM hits), o AS (
+  SELECT rule_id, min(time_dt) AS opened FROM t GROUP BY 1
+  UNION ALL SELECT o.rule_id, min(t.time_dt) FROM o JOIN t ON t.rule_id = o.rule_id AND t.time_dt >= o.opened + INTERVAL 24 HOUR GROUP BY o.rule_id) SELECT * FROM o)"""
+
+
+@query("STR7_daily_investigations", DAILY, (EV, HITS))
+def str7(spark, sf_dir):
+    """All investigations of all rules: one a rule within 24 hours of event time."""
+    return daily(spark, sf_dir, RULES).select("rule_id", F.unix_micros("opened_at").alias("opened_us"))
 
 
 @query("STR6_late_rows", f"SELECT count(*) AS windows, sum(n)::BIGINT AS matches FROM (SELECT rule_id, time_bucket(INTERVAL 60 MINUTE, time_dt) AS w, count(*) AS n FROM hits WHERE rule_id IN ({LISTED}) GROUP BY 1, 2)", (EV, HITS))

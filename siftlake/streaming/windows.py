@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.detect import rule_predicate
 
@@ -48,9 +50,60 @@ def freshness_monitor(events: DataFrame, seen: Callable[[DataFrame, int], None])
     return events.writeStream.foreachBatch(batch)
 
 
-def first_per_rule(results: DataFrame, at: str = "executed_at", within: str = "24 hours") -> DataFrame:
-    """One investigation a rule within a day: later ones of the same rule are dropped while its state lives."""
-    return results.withWatermark(at, within).dropDuplicatesWithinWatermark(["rule_id"])
+def daily_investigations(events: DataFrame, rules: list[dict], hours: int = 24, late: str = LATE) -> DataFrame:
+    """(rule_id, opened_at): a match opens an investigation unless the rule opened one less than ``hours`` before, in event time.
+
+    Matches wait in the rule's state until the watermark has passed them, so that neither the order of arrival within
+    ``late`` nor the cut into batches matters; matches within the hours of an opened investigation do not wait.
+    """
+    found = F.array_compact(F.array(*[F.when(rule_predicate(events, r), F.lit(r["id"])) for r in rules]))
+    # all events move the watermark: a filter that does not read the time would be pushed in front of it
+    marks = F.when(F.col("time_dt").isNotNull(), found)
+    rows = events.withWatermark("time_dt", late).select(F.explode(marks).alias("rule_id"), "time_dt", F.unix_micros("time_dt").alias("us"))
+    span = hours * 3_600_000_000
+
+    def opened(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, [])
+        mark, times = state.getCurrentWatermarkMs() * 1000, set(waiting)
+        for part in parts:
+            times.update(int(t) for t in part["us"] if last is None or t >= last + span)
+        out, later = [], []
+        for t in sorted(times):
+            if last is not None and t < last + span:
+                continue
+            if t > mark:
+                later.append(t)
+            else:
+                out.append(t)
+                last = t
+        state.update((last, later))
+        if later:
+            # at its end the timeout's millisecond has wholly passed
+            state.setTimeoutTimestamp(max(later[0] // 1000 + 1, mark // 1000 + 1))
+        if out:
+            yield pd.DataFrame({"rule_id": [key[0]] * len(out), "us": out})
+
+    got = rows.groupBy("rule_id").applyInPandasWithState(opened, "rule_id string, us long", "last long, waiting array<long>", "append", "EventTimeTimeout")
+    return got.select("rule_id", F.timestamp_micros("us").alias("opened_at"))
+
+
+def in_order(spark: SparkSession, path: str) -> None:
+    """Give the files of a written folder times in the order of their names: the order in which a stream reads them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((str(x.getPath().getName()), x) for x in fs.listStatus(at) if x.getPath().getName().startswith("part-"))
+    first = min((x.getModificationTime() for _, x in found), default=0) - 1000 * len(found)
+    for k, (_, x) in enumerate(found):
+        fs.setTimes(x.getPath(), first + 1000 * k, -1)
+
+
+def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an appending stream over all that is there into Parquet files; ``late_rows`` counts the rows dropped as late."""
+    spark = df.sparkSession
+    query = df.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    late = sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(df.schema).parquet(path).withColumn("late_rows", F.lit(late))
 
 
 def run(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
