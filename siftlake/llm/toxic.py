@@ -1,33 +1,42 @@
-"""Toxicity by a subsequence string kernel and a support vector machine on Nyström features (operator 5).
-
-The kernel of two words counts their common subsequences of three characters, word borders included, each weighted by
-``DECAY`` to the power of the stretch it covers, up to ``SPAN`` characters, normalised and raised to ``POWER``. Inserted or left-out
-characters cost some weight but do not hide a word. Marks inside a word are dropped before, and runs of
-single letters are read as one word. Each distinct
-word is looked at once, and a sentence decides like the word in it that is nearest to what the machine has learnt.
-
-Training works on sentences of labelled documents: all words of all sentences of clean documents are negative; of each
-toxic document the word that the machine itself finds worst is positive, chosen again in each round, and so are copies
-of these words with a character inserted. Landmarks are the
-words that tell toxic from clean documents best, and common clean words. Features are the kernel values to the landmarks
-times the inverse root of the landmarks' kernel matrix (Nyström). A document's score is a logistic curve over its worst
-sentence, fitted on documents and on words with an inserted character.
+"""Toxicity by a subsequence string kernel over sentences, Nyström landmarks and a support vector machine (operator 5).
+
+Texts are cut into sentences: letters and digits in lower case, words set apart by one space, marks inside a word left
+out, three or more single letters in a row read as one word. The kernel of two stretches of a sentence counts their
+common subsequences of ``ORDER`` characters (spaces count as characters), each weighted by ``DECAY`` to the power of the
+stretch it covers, up to ``SPAN`` characters, and divides by what stretches of these widths without a repeated
+character would give. Inserted or set-apart characters cost some weight but hide nothing, and a word split in two or an
+insult of two words is one stretch like any other.
+
+All stretches of ``WIDTHS`` characters of a sentence are looked at, wherever they begin; a sentence decides like its
+worst one. Landmarks are stretches of labelled sentences: words and word pairs that stand in more toxic documents than
+chance explains, those stretches of clean sentences that resemble them most, and some at random. Nyström features are
+kernel values to the landmarks times the inverse root of the landmarks' kernel matrix. The machine is trained on
+sentences: positive are the worst stretches of those sentences of toxic documents that hold a telling word or that the
+machine itself finds toxic, and forms of telling words with a character inserted or a space in the middle; negative is
+the worst stretch of each sentence of clean documents, and a stretch without any likeness. They are chosen again in each
+of ``TURNS`` rounds. So a document that is labelled toxic by mistake adds no sentence. The score is a logistic curve over
+two numbers of a document: the decision on its worst sentence, and how large a part of the text is toxic, since words
+that are telling in number also stand alone in some clean texts.
+
+As the kernel is a sum over subsequences, the machine's weights fold into one number for each subsequence, and a text is
+scored by looking these up and by running sums: no kernel matrix, nothing kept from text to text.
 
 Only labels and texts are learnt from; identity, language and source are never inputs. The model is fitted on at most
-``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents, chosen by a hash; scoring reads every text whole. Null and
-empty texts score like a sentence without words. Repeated rows score alike. Without labels of both kinds, or without a
-word that tells them apart, every document scores 0.
+``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents, chosen by a hash; scoring reads every text whole, long ones in
+blocks. Null and empty texts count as a stretch without any likeness. Repeated rows score alike. Columns of other names
+are kept as they are; a column named like the result is replaced. Without labels of both kinds every document scores 0;
+without a telling word, the share of toxic documents among the labelled ones (0.49 at most). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
 import pickle
-import re
 import uuid
-from collections import ChainMap
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,110 +45,161 @@ from pyspark.sql import functions as F
 
 from .common import no_null, sliced, table, text_list, worker_state
 
-DECAY, SPAN, POWER = 0.7, 6, 2
-LANDMARKS, CONTRAST = 128, 32
-#: A word is telling if it stands in toxic documents this many standard deviations and times more often than in clean ones.
-LIFT, TIMES = 5.0, 4.0
+ORDER, DECAY, SPAN = 4, 0.8, 6
+#: Characters of the stretches that are scored, wherever they begin.
+WIDTHS = (7, 11)
+#: Landmarks: telling stretches at most and their longest length, and clean stretches.
+TELLING, LONGEST, CONTRAST = 128, 16, 480
+#: Telling words that a toxic document should hold before others are looked for.
+COVER = 3
+#: Subsequences are numbered by a hash of so many bits; one that no landmark has is taken for one of theirs in less than 1 % of cases.
+SLOTS = 21
+#: Words and pairs are telling if chance would make fewer than this many like them.
+BY_CHANCE = 1.0
 #: Eigenvalues of the landmarks' kernel matrix are taken as this at least.
-FLOOR = 0.05
-#: Kernel value up to which a word counts as unlike all telling landmarks when the machine is trained.
-ALIKE = 0.02
-#: Price of a sentence on the wrong side of the margin.
-COST = 0.2
+FLOOR = 0.002
+#: Price of the wrong side of the margin, rounds of training, and clean stretches that a round takes in, the worst ones.
+COST, TURNS, HARD = 500.0, 4, 20_000
 #: Bounds of the training sample, in documents.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
-#: Words of one sentence at most; longer ones are cut.
-SENTENCE = 32
-#: Letters of a word that are compared at once; longer words are cut into overlapping parts.
-LONG = 24
-CACHE = 250_000
-ENDS = 4096.0
-_GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
-_NOT_LETTERS = re.compile(r"[\W_]+")
-_SPELLED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
-
-
-def plain(chunk: str) -> str:
-    """The letters and digits of a lower-cased chunk."""
-    return chunk if chunk.isalnum() else _NOT_LETTERS.sub("", chunk)
-
-
-def chunks_of(text: str) -> list[str]:
-    """Lower-cased chunks between white space; runs of three or more single characters are joined to one."""
-    chunks = text.lower().split()
-    singles = [k for k, c in enumerate(chunks) if len(c) == 1]
-    if len(singles) < 3:
-        return chunks
-    out, at = [], 0
-    for _, run in itertools.groupby(enumerate(singles), lambda x: x[1] - x[0]):
-        run = [k for _, k in run]
-        if len(run) > 2:
-            out += chunks[at : run[0]]
-            joined = "".join(chunks[k] for k in run)
-            out += [joined[k : k + LONG] for k in range(0, len(joined), LONG)]
-            at = run[-1] + 1
-    return out + chunks[at:]
-
-
-def parts_of(word: str) -> list[str]:
-    return [word] if len(word) <= LONG else [word[k : k + LONG] for k in range(0, len(word) - LONG // 2, LONG // 2)]
-
-
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word index, feature (44 bits) and weight of each subsequence feature, sorted; each feature of a word once."""
-    marked = [f"\x02{w}\x03" for w in words]
-    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    of = np.repeat(np.arange(len(words), dtype=np.uint64), [len(m) for m in marked])
-    keys, weights = [], []
-    for a, b in _GAPS:
-        n = len(chars) - a - b
-        if n <= 0:
-            continue
-        same = of[:n] == of[a + b :]
-        code = (chars[:n] << np.uint64(42) | chars[a : n + a] << np.uint64(21) | chars[a + b :])[same]
-        code = (code ^ (code >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        keys.append(of[:n][same] << np.uint64(44) | code >> np.uint64(20))
-        weights.append(np.full(len(keys[-1]), DECAY ** (a + b + 1), np.float32))
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.float32)
-    key, weight = np.concatenate(keys), np.concatenate(weights)
-    order = np.argsort(key)
-    key, weight = key[order], weight[order]
-    first = np.flatnonzero(np.diff(key, prepend=np.uint64((1 << 64) - 1)))
-    weight = np.add.reduceat(weight, first) if len(first) else weight
-    key = key[first]
-    return (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1), weight
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+#: Characters that are laid out at once, and by how much blocks of a longer text overlap.
+BLOCK, OVERLAP = 1 << 18, 4096
+_GAPS = [g for g in itertools.product(range(1, SPAN), repeat=ORDER - 1) if sum(g) < SPAN]
+_SPREAD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+#: Marks that end a sentence if white space follows (fixed: Latin, Arabic, Devanagari and CJK full stops).
+_ENDS = ".!?…؟۔।。！？"
+LETTER, MARK, BLANK, BREAK, END = range(5)
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """What each code point is: letter or digit, other mark, white space, line break, or a mark that ends sentences."""
+    kinds = np.array([LETTER if chr(c).isalnum() else BLANK if chr(c).isspace() else MARK for c in range(0x110000)], np.uint8)
+    for ch in "\n\r\x85  ":
+        kinds[ord(ch)] = BREAK
+    for ch in _ENDS:
+        kinds[ord(ch)] = END
+    return kinds
+
+
+@dataclass
+class Sentences:
+    """Sentences of some texts in one row of characters, each with a space before and after.
+
+    first: where each sentence begins; of: the text it belongs to.
+    """
+
+    chars: np.ndarray
+    first: np.ndarray
+    of: np.ndarray
+
+    def stops(self) -> np.ndarray:
+        return np.append(self.first[1:], len(self.chars))
+
+    def text(self, start: int, stop: int) -> str:
+        return self.chars[start:stop].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def sentences(texts: list[str]) -> Sentences:
+    low = [t.lower() for t in texts]
+    chars = code_points(low)
+    kinds = classes()[chars]
+    at = np.flatnonzero(kinds == LETTER)
+    if not len(at):
+        return Sentences(np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
+    ends = np.cumsum([len(t) for t in low])
+    doc = np.searchsorted(ends, at, "right")
+    # what stands between each letter and the one before it: white space, line breaks, ends of sentences
+    weight = np.array([0, 0, 1, 1 | 1 << 21, 1 << 42], np.int64)
+    passed = np.cumsum(weight[kinds])[at]
+    between = np.diff(passed, prepend=passed[0])
+    low21 = (1 << 21) - 1
+    space = (between & low21) > 0
+    new = (between >> 21 & low21 > 0) | (space & (between >> 42 > 0)) | (np.diff(doc, prepend=-1) > 0)
+    gap = np.where(new, 2, space.astype(np.int8))
+    # runs of three or more words of one letter become one word
+    words = np.flatnonzero(gap)
+    single = np.diff(words, append=len(at)) == 1
+    linked = single & np.concatenate([[False], single[:-1]]) & (gap[words] == 1)
+    edge = np.flatnonzero(np.diff(linked.astype(np.int8), prepend=0, append=0))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        if b - a > 1:
+            gap[words[a:b]] = 0
+    place = np.arange(len(at)) + np.cumsum(gap) - 1
+    out = np.full(place[-1] + 2, 32, np.uint32)
+    out[place] = chars[at]
+    starts = np.flatnonzero(new)
+    return Sentences(out, place[starts] - 1, doc[starts])
+
+
+def norm(width: int) -> float:
+    """Length of the feature vector of ``width`` characters, all different."""
+    return sum(max(0, width - sum(g)) * DECAY ** (2 * (sum(g) + 1)) for g in _GAPS) ** 0.5
+
+
+def subsequences(chars: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Characters covered, and numbers of all subsequences along the last axis, by gaps."""
+    n = chars.shape[-1]
+    terms = [(chars ^ (chars >> np.uint32(7))) * m for m in _SPREAD]
+    for gaps in _GAPS:
+        long = sum(gaps)
+        if long < n:
+            number, at = terms[0][..., : n - long].copy(), 0
+            for term, gap in zip(terms[1:], gaps, strict=True):
+                at += gap
+                number += term[..., at : n - long + at]
+            number ^= number >> np.uint32(15)
+            number *= np.uint32(0x2C1B3C6D)
+            number >>= np.uint32(32 - SLOTS)
+            yield long + 1, number
 
 
 class Landmarks:
-    """Kernel values of words to a list of landmark words."""
-
-    def __init__(self, words: list[str]):
-        self.words = words
-        of, code, weight = features(words)
-        norm = np.sqrt(np.bincount(of, weight.astype(np.float64) ** 2, len(words)))
-        # features -> landmarks that have them, as one sorted list
-        order = np.argsort(code, kind="stable")
-        self.codes, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
-        self.of, self.weight = of[order], (weight / np.maximum(norm, 1e-9)[of])[order]
-
-    def kernel(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel to the power POWER, one row a word."""
-        m = len(self.words)
-        out = np.zeros((len(words), m), np.float32)
-        for k in range(0, len(words), 2048):
-            part = words[k : k + 2048]
-            of, code, weight = features(part)
-            norm = np.sqrt(np.bincount(of, weight.astype(np.float64) ** 2, len(part)))
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            known = self.codes[at] == code
-            at, of, weight = at[known], of[known], weight[known]
-            n = self.count[at]
-            where = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            dot = np.bincount(np.repeat(of * m, n) + self.of[where], np.repeat(weight, n) * self.weight[where], len(part) * m)
-            x = np.minimum(dot.reshape(len(part), m) / np.maximum(norm, 1e-9)[:, None], 1)
-            out[k : k + len(part)] = x**POWER
+    """Kernel values of stretches to landmark stretches."""
+
+    def __init__(self, stretches: list[str]):
+        self.stretches = stretches
+        rows, entries = {}, []
+        for k, s in enumerate(stretches):
+            for span, numbers in subsequences(code_points([s])):
+                entries += [(rows.setdefault(u, len(rows) + 1), k, DECAY**span / norm(len(s))) for u in numbers.tolist()]
+        self.numbers = np.array([*rows], np.uint32)
+        #: by subsequence (row 0: none of any landmark) and landmark
+        self.weights = np.zeros((len(rows) + 1, len(stretches)), np.float32)
+        for r, k, v in entries:
+            self.weights[r, k] += v
+        self.having, self.landmark = np.nonzero(self.weights)
+        self.count = np.bincount(self.having, minlength=len(rows) + 1)
+        self.start = np.cumsum(self.count) - self.count
+
+    def rows(self) -> np.ndarray:
+        out = np.zeros(1 << SLOTS, np.int32)
+        out[self.numbers] = np.arange(1, len(self.numbers) + 1)
+        return out
+
+    def kernel(self, stretches: list[tuple[str, int]]) -> np.ndarray:
+        """One row for each (stretch, the width it counts as)."""
+        m = len(self.stretches)
+        out = np.zeros((len(stretches), m), np.float32)
+        long = max((len(s) for s, _ in stretches), default=0)
+        scale, row_of = {w: norm(w) for w in {w for _, w in stretches}}, self.rows()
+        for k in range(0, len(stretches), 1024):
+            part = stretches[k : k + 1024]
+            chars = code_points([s.ljust(long, "\0") for s, _ in part]).reshape(len(part), long)
+            total = np.zeros(len(part) * m)
+            for span, numbers in subsequences(chars):
+                rows = row_of[numbers]
+                rows[(chars[:, span - 1 :] == 0)] = 0
+                here, place = np.nonzero(rows)
+                row = rows[here, place]
+                n = self.count[row]
+                at = np.repeat(self.start[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                total += np.bincount(np.repeat(here * m, n) + self.landmark[at], self.weights[self.having[at], self.landmark[at]], len(total)) * DECAY**span
+            out[k : k + len(part)] = total.reshape(len(part), m) / np.array([scale[w] for _, w in part])[:, None]
         return out
 
 
@@ -148,165 +208,267 @@ class Model:
     landmarks: Landmarks | None = None
     alpha: np.ndarray | None = None
     bias: float = -1.0
-    weights: np.ndarray | None = None
+    weights: np.ndarray | None = None  # of the logistic curve
+    prior: float = 0.0
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """The worst part of each word."""
-        parts = [parts_of(w) for w in words]
-        flat = [p for ps in parts for p in ps]
-        values = np.concatenate([self.landmarks.kernel(flat[k : k + 8192]) @ self.alpha for k in range(0, len(flat), 8192)] or [np.zeros(0)])
-        return np.maximum.reduceat(values, np.cumsum([0, *map(len, parts)])[:-1]) if words else values
+    def folded(self) -> np.ndarray:
+        """The machine's weight of each subsequence."""
+        out = np.zeros(1 << SLOTS, np.float32)
+        out[self.landmarks.numbers] = (self.landmarks.weights @ self.alpha)[1:]
+        return out
 
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([decision, np.ones(len(decision))]) @ self.weights, -500, 500)))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        if self.weights is None:
+            return np.full(len(evidence), min(self.prior, 0.49))
+        return 1 / (1 + np.exp(-np.clip(np.column_stack([evidence, np.ones(len(evidence))]) @ self.weights, -500, 500)))
+
+
+def decided(found: Sentences, model: Model, folded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each character: decision of the worst stretch that begins there, and that stretch's width."""
+    n = len(found.chars)
+    sums: dict[int, np.ndarray] = {}
+    for span, numbers in subsequences(found.chars):
+        sums[span] = sums[span] + folded[numbers] if span in sums else folded[numbers]
+    sums = {span: np.concatenate([[0.0], np.cumsum(x.astype(np.float64) * DECAY**span), np.zeros(n - len(x))]) for span, x in sums.items()}
+    stops, here = np.repeat(found.stops(), np.diff(found.first, append=n)), np.arange(n)
+    best, width = np.full(n, -np.inf), np.zeros(n, np.int8)
+    for w in WIDTHS:
+        value, stop = np.zeros(n), np.minimum(here + w, stops)
+        for span, x in sums.items():
+            value += x[np.maximum(stop - span + 1, here)] - x[:n]
+        value /= norm(w)
+        width[value > best] = w
+        np.maximum(best, value, out=best)
+    return best + model.bias, width
+
+
+def worst(found: Sentences, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decision of each sentence, and where its worst stretch begins."""
+    top = np.maximum.reduceat(value, found.first)
+    where = np.flatnonzero(value == np.repeat(top, np.diff(found.first, append=len(value))))
+    return top, where[np.searchsorted(where, found.first)]
+
+
+def blocks_of(text: str) -> Iterator[str]:
+    """A long text in blocks: cut at a line break where there is one, else overlapping."""
+    at = 0
+    while len(text) - at > BLOCK:
+        cut = text.rfind("\n", at + BLOCK // 2, at + BLOCK)
+        yield text[at : cut if cut > 0 else at + BLOCK]
+        at = cut if cut > 0 else at + BLOCK - OVERLAP
+    yield text[at:]
+
+
+def batched(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts' blocks, some at a time, with the texts' positions."""
+    of, held, size = [], [], 0
+    for k, t in enumerate(texts):
+        for block in blocks_of(t):
+            if held and size + len(block) > BLOCK:
+                yield of, held
+                of, held, size = [], [], 0
+            of.append(k)
+            held.append(block)
+            size += len(block)
+    if held:
+        yield of, held
 
 
-def sentence_starts(ends: np.ndarray) -> np.ndarray:
-    """First chunk of each sentence: after one that ends a sentence, and every ``SENTENCE`` chunks within one."""
-    starts = np.concatenate([[True], ends[:-1]])
-    at = np.flatnonzero(starts)
-    place = np.arange(len(ends)) - at[np.cumsum(starts) - 1]
-    return np.flatnonzero(place % SENTENCE == 0)
+class Scorer:
+    def __init__(self, model: Model):
+        self.model = model
+        self.folded = model.folded() if model.alpha is not None else None
 
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """Two numbers for each text: the decision on its worst stretch, and the logarithm of the part of it that is toxic."""
+        top, mass, size = np.full(len(texts), self.model.bias), np.zeros(len(texts)), np.zeros(len(texts))
+        if self.folded is not None:
+            for of, held in batched(texts):
+                found = sentences(held)
+                if len(found.first):
+                    doc, (value, _) = np.array(of)[found.of], decided(found, self.model, self.folded)
+                    np.maximum.at(top, doc, worst(found, value)[0])
+                    np.add.at(mass, doc, np.add.reduceat(np.clip(value, 0, 1), found.first))
+                    np.add.at(size, doc, np.diff(found.first, append=len(value)))
+        return np.column_stack([top, np.log((mass + 0.1) / (size + 100))])
 
-def ends_sentence(chunk: str) -> bool:
-    return chunk[-1] in ".!?"
 
+# --- training -------------------------------------------------------------------------------------------------------------
 
-def svm(blocks: list[tuple[np.ndarray, float, np.ndarray]], c: float, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the rows that violate the margin.
 
-    blocks: rows, their side (1 or -1) and weights. Rows are taken a few thousand at a time.
-    """
-    m = blocks[0][0].shape[1]
-    w = np.zeros(m + 1)
-    scale = c * sum(len(k) for _, _, k in blocks) / sum(k.sum() for _, _, k in blocks)
+def svm(x: np.ndarray, side: np.ndarray, weight: np.ndarray, c: float, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by Newton steps on the rows that violate the margin."""
+    m = x.shape[1]
+    w, a = np.zeros(m + 1), np.column_stack([x, np.ones(len(x))]).astype(np.float64)
+    scale = c * weight / weight.sum()
+    prior = np.append(np.ones(m), 1e-3)
 
     def loss(w: np.ndarray) -> float:
-        total = w[:-1] @ w[:-1] + 1e-3 * w[-1] ** 2
-        for x, side, weight in blocks:
-            total += scale * (weight * np.maximum(0, 1 - side * (x @ w[:-1].astype(np.float32) + w[-1])) ** 2).sum()
-        return float(total)
+        return float(prior @ w**2 + (scale * np.maximum(0, 1 - side * (a @ w)) ** 2).sum())
 
     for _ in range(rounds):
-        left, right = np.eye(m + 1), np.zeros(m + 1)
-        left[-1, -1] = 1e-3
-        for x, side, weight in blocks:
-            for k in range(0, len(x), 8192):
-                part, cost = x[k : k + 8192], weight[k : k + 8192]
-                active = (side * (part @ w[:-1] + w[-1]) < 1) & (cost > 0)
-                a = np.column_stack([part[active], np.ones(active.sum())]).astype(np.float64)
-                costed = a * (scale * cost[active])[:, None]
-                left += costed.T @ a
-                right += side * costed.sum(0)
-        step, now, size = np.linalg.solve(left, right) - w, loss(w), 1.0
+        active = side * (a @ w) < 1
+        costed = a[active] * scale[active, None]
+        step, now, size = np.linalg.solve(np.diag(prior) + costed.T @ a[active], costed.T @ side[active]) - w, loss(w), 1.0
         while size > 1e-3 and loss(w + size * step) > now:
             size /= 2
         w = w + size * step
-        if np.abs(size * step).max() < 1e-5:
+        if np.abs(size * step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
 
 
 def logistic(s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    x = np.column_stack([s, np.ones(len(s))])
+    """Weights of the columns and the constant, by Newton steps that never raise the loss."""
+    middle, scale = s.mean(0), s.std(0) + 1e-9
+    x = np.column_stack([(s - middle) / scale, np.ones(len(s))])
     w, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
+    loss = lambda w: float((weight * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + w @ ridge @ w / 2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ w)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        step, size = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ w), 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return w
+    return np.append(w[:-1] / scale, w[-1] - w[:-1] @ (middle / scale))
 
 
-def variants(word: str) -> list[str]:
-    """The word with one character too many at a quarter, half and three quarters of it."""
-    return [word[:k] + "xqz"[n] + word[k:] for n, k in enumerate(max(1, len(word) * q // 4) for q in (1, 2, 3))]
+def altered(stretch: str) -> list[str]:
+    """A telling stretch with a character inserted at five places, or a space in the middle."""
+    word = stretch.strip()
+    cuts = [max(1, len(word) * q // 6) for q in range(1, 6)]
+    return [f" {x} " for x in (*(word[:k] + "xaqez"[n] + word[k:] for n, k in enumerate(cuts)), word[: cuts[2]] + " " + word[cuts[2] :])]
 
 
-def document_decision(word_decisions: np.ndarray, ends: np.ndarray, bias: float) -> float:
-    """Decision on the worst sentence; a sentence decides like its worst word."""
-    return float(np.maximum.reduceat(word_decisions, sentence_starts(ends)).max()) if len(word_decisions) else bias
+def surprise(toxic: np.ndarray, all_: np.ndarray, share: float) -> np.ndarray:
+    """Lower bound of -log of the chance that of ``all_`` documents at least ``toxic`` are toxic if each is by ``share``."""
+    q = np.clip(toxic / np.maximum(all_, 1), 1e-12, 1)
+    rest = np.where(q < 1, (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - share)), 0)
+    return np.where(q > share, all_ * (q * np.log(q / share) + rest), 0)
+
+
+def telling(docs: list[np.ndarray], labels: np.ndarray, n: int, usable: Callable[[int], bool]) -> list[int]:
+    """Numbers below ``n`` that stand in more toxic documents than chance explains.
+
+    At most TELLING, chosen one by one: the one in most toxic documents that hold fewer than COVER chosen ones.
+    """
+    counts = np.zeros((2, n), np.int64)
+    for d, y in zip(docs, labels.tolist(), strict=True):
+        counts[y, np.unique(d)] += 1
+    found = surprise(counts[1], counts.sum(0), float(labels.mean()))
+    good = [k for k in np.argsort(-found, kind="stable")[: 16 * TELLING].tolist() if found[k] > np.log(max(n, 1) / BY_CHANCE) and usable(k)]
+    if not good:
+        return []
+    holds = np.array([np.isin(good, d) for d, y in zip(docs, labels.tolist(), strict=True) if y], np.int64)
+    covered, out = np.zeros(len(holds), int), []
+    while len(out) < min(TELLING, len(good)):
+        gain = (covered < COVER).astype(np.int64) @ holds
+        gain[out] = -1
+        out.append(int(gain.argmax()))
+        covered += holds[:, out[-1]]
+    return [good[k] for k in out]
+
+
+def sentence_words(text: str) -> list[list[str]]:
+    out = []
+    for held in blocks_of(text):
+        found = sentences([held])
+        out += [found.text(a, b).split() for a, b in zip(found.first.tolist(), found.stops().tolist())]
+    return out
+
+
+def telling_stretches(texts: list[str], labels: np.ndarray) -> list[str]:
+    """Words, then pairs of neighbouring words of documents without such a word, each between spaces."""
+    ids: dict[str, int] = {}
+    lines = [[np.array([ids.setdefault(w, len(ids)) for w in s], np.int64) for s in sentence_words(t)] for t in texts]
+    words = [*ids]
+    docs = [np.concatenate(d) if d else np.empty(0, np.int64) for d in lines]
+    good = telling(docs, labels, len(words), lambda k: 3 <= len(words[k]) <= LONGEST)
+    out = [f" {words[k]} " for k in good]
+    rest = [k for k, d in enumerate(docs) if not np.isin(d, good).any()]
+    pairs = [np.unique(np.concatenate([s[:-1] << 32 | s[1:] for s in lines[k]])) if lines[k] else np.empty(0, np.int64) for k in rest]
+    if pairs and labels[rest].any() and not labels[rest].all():
+        names, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        numbered = np.split(at, np.cumsum([len(p) for p in pairs])[:-1])
+        pair = lambda k: f"{words[names[k] >> 32]} {words[names[k] & 0xFFFFFFFF]}"
+        out += [f" {pair(k)} " for k in telling(numbered, labels[rest], len(names), lambda k: len(pair(k)) <= LONGEST)]
+    return out[:TELLING]
 
 
 def fit_rows(rows: list[tuple[str, int]], prior: float) -> Model:
     """Model of (text, label) rows. prior: the share of toxic documents among all labelled ones."""
     rows = [*dict.fromkeys(rows)]
-    labels = np.array([y for _, y in rows])
-    n_toxic, n_clean = int((labels == 1).sum()), int((labels == 0).sum())
-    if not n_toxic or not n_clean:
+    texts, labels = [t for t, _ in rows], np.array([y for _, y in rows], np.int64)
+    if not labels.any() or labels.all():
         return Model()
-    ids: dict[str, int] = {}
-    docs, ends = [], []
-    for text, _ in rows:
-        chunks = chunks_of(text)
-        docs.append(np.array([ids.setdefault(plain(c), len(ids)) for c in chunks], np.int32))
-        ends.append(np.array([ends_sentence(c) for c in chunks], bool))
-    words = [*ids]
-    # in how many different contexts (word before, word after) a word stands: copies of a document add none
-    toxic_df, clean_df = np.zeros(len(words)), np.zeros(len(words))
-    for counts, kind in ((toxic_df, 1), (clean_df, 0)):
-        seen: list[np.ndarray] = []
-        for d in (d for d, y in zip(docs, labels, strict=True) if y == kind and len(d)):
-            x, edge = d.astype(np.uint64), np.array([len(words)], np.uint64)
-            around = (np.concatenate([edge, x[:-1]]) * np.uint64(0xBF58476D1CE4E5B9)) ^ (np.concatenate([x[1:], edge]) * np.uint64(0x94D049BB133111EB))
-            seen.append(x << np.uint64(40) | (around * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24))
-        if seen:
-            counts += np.bincount((np.unique(np.concatenate(seen)) >> np.uint64(40)).astype(np.int64), minlength=len(words))
-    usual = (clean_df + 0.5) * toxic_df.sum() / (clean_df.sum() + 1)
-    lift = (toxic_df - usual) / np.sqrt(usual + 0.5)
-    telling = [k for k in np.argsort(-lift, kind="stable")[: 20 * LANDMARKS].tolist() if lift[k] >= LIFT and toxic_df[k] >= TIMES * usual[k] and 2 < len(words[k]) <= LONG]
-    if not telling:
-        return Model()
-    near = Landmarks([words[k] for k in telling]).kernel([words[k] for k in telling])
-    chosen: list[int] = []
-    for k in range(len(telling)):
-        if len(chosen) < LANDMARKS and (not chosen or near[k, chosen].max() < 0.6):
-            chosen.append(k)
-    common = [k for k in np.argsort(-clean_df, kind="stable").tolist() if lift[k] < 1 and 2 < len(words[k]) <= LONG][:CONTRAST]
-    marks = Landmarks([words[telling[k]] for k in chosen] + [words[k] for k in common])
-    own = marks.kernel(marks.words).astype(np.float64)
+    marks = telling_stretches(texts, labels)
+    if not marks:
+        return Model(prior=prior)
+    laid = [(np.array(of)[found.of], found) for of, held in batched(texts) if len((found := sentences(held)).first)]
+    # clean landmarks: those stretches of clean sentences that are most like the telling ones, and others at random
+    spread, like, other = np.random.default_rng(7), [], []
+    first = Model(Landmarks(marks), np.ones(len(marks), np.float32), 0.0)
+    folded = first.folded()
+    for doc, found in laid:
+        value, widths = decided(found, first, folded)
+        top, place = worst(found, value)
+        clean = np.flatnonzero(labels[doc] == 0)
+        for k in clean[np.argsort(-top[clean], kind="stable")[:CONTRAST]].tolist():
+            at = int(place[k])
+            like.append((float(top[k]), found.text(at, min(at + int(widths[at]), int(found.stops()[k])))))
+        for k in spread.permutation(clean)[: 1 + CONTRAST // len(laid)].tolist():
+            at = int(spread.integers(found.first[k], max(found.first[k] + 1, found.stops()[k] - 12)))
+            other.append(found.text(at, min(at + 12, int(found.stops()[k]))))
+    usable = lambda found: [s for s in dict.fromkeys(found) if len(s) > 3 and not any(m in s for m in marks)]
+    other, like = usable(other)[: CONTRAST // 3], usable(s for _, s in sorted(like, reverse=True)[: 32 * CONTRAST])
+    # in turn for each telling stretch, so that a frequent family of words does not take all places
+    nearest = first.landmarks.kernel([(s, WIDTHS[-1]) for s in like]).argmax(1) if like else np.empty(0, int)
+    turns = Counter()
+    for k, m in enumerate(nearest.tolist()):
+        turns[m] += 1
+        nearest[k] = turns[m]
+    like = [like[k] for k in np.argsort(nearest, kind="stable").tolist() if like[k] not in other]
+    land = Landmarks(marks + other + like[: CONTRAST - len(other)])
+    own = land.kernel([(s, len(s)) for s in land.stretches]).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, FLOOR)) @ vectors.T
-
-    # words that no telling landmark resembles are all alike: the first row, zeros, stands for them
-    row_of, rows = np.zeros(len(words), np.int32), [np.zeros((1, len(marks.words)), np.float32)]
-    n_rows = 1
-    for k in range(0, len(words), 8192):
-        parts = [parts_of(w) for w in words[k : k + 8192]]
-        first = np.cumsum([0, *map(len, parts)])[:-1]
-        flat = marks.kernel([p for ps in parts for p in ps])
-        got = flat if len(flat) == len(parts) else np.maximum.reduceat(flat, first)
-        alike = np.flatnonzero(got[:, : len(chosen)].max(1) > ALIKE)
-        row_of[k + alike] = np.arange(n_rows, n_rows + len(alike))
-        rows.append(got[alike])
-        n_rows += len(alike)
-    raw = np.concatenate(rows)
-    del rows
-    x = raw @ root.astype(np.float32)
-    clean_weight = np.log1p(np.bincount(row_of, clean_df, n_rows))
-    toxic_docs = [row_of[doc] for doc, y in zip(docs, labels, strict=True) if y == 1 and len(doc)]
-    score = raw[:, : len(chosen)].max(1)  # at first the word nearest to a telling landmark
-    del raw
-    word_of = {int(r): words[k] for k, r in enumerate(row_of.tolist()) if r}
-    model = Model(marks)
-    for turn in range(6):
-        worst = np.array([d[np.argmax(score[d])] for d in toxic_docs], np.int64)
-        positive = worst[score[worst] > (0.2 if turn == 0 else 0)]
-        if not len(positive):
-            return Model()
-        altered = marks.kernel([v for r in np.unique(positive).tolist() for v in variants(word_of[r])]) @ root.astype(np.float32)
-        w, b = svm([(x[positive], 1, np.full(len(positive), 0.3 / len(positive))), (altered, 1, np.full(len(altered), 0.3 / len(altered))), (x, -1, 0.5 * clean_weight / clean_weight.sum())], COST)
-        score = x @ w + b
-    model.alpha, model.bias = (root @ w).astype(np.float32), b
-    decisions = np.array([document_decision(score[row_of[d]], e, b) for d, e in zip(docs, ends, strict=True)])
-    # altered words count in the curve as documents of their own
-    changed = altered @ w + b
-    decisions = np.concatenate([decisions, changed])
-    balance = np.concatenate([np.where(labels == 1, prior / n_toxic, (1 - prior) / n_clean), np.full(len(changed), prior / len(changed))]) * len(labels)
-    model.weights = logistic(decisions, np.concatenate([labels, np.ones(len(changed), int)]), balance)
+    changed = [x for m in marks for x in altered(m)]
+    features = lambda stretches: land.kernel(stretches) @ root
+    width_of = lambda s: next((w for w in WIDTHS if len(s) <= w), WIDTHS[-1])
+    fixed = features([(x, width_of(x)) for x in (*marks, *changed)])
+    # at first a stretch is as toxic as it is like the telling landmarks
+    model = Model(land, (np.arange(len(land.stretches)) < len(marks)).astype(np.float32), 0.0, prior=prior)
+    seen: Counter[tuple[str, int]] = Counter()
+    good = np.empty((0, len(land.stretches)))
+    for turn in range(TURNS):
+        folded, positive, hard = model.folded(), Counter(), []
+        for doc, found in laid:
+            value, widths = decided(found, model, folded)
+            top, place = worst(found, value)
+            stop = np.minimum(place + widths[place], found.stops())
+            cut = lambda k: (found.text(int(place[k]), int(stop[k])), int(widths[place[k]]))
+            toxic = labels[doc] == 1
+            some = [cut(k) for k in np.flatnonzero(toxic & (top > 0)).tolist()]
+            positive.update(x for x in some if turn or any(m.strip() in x[0] for m in marks))
+            clean = np.flatnonzero(~toxic)
+            hard += [(float(top[k]), *cut(k)) for k in clean[np.argsort(-top[clean], kind="stable")[:HARD]].tolist()]
+        hard.sort(reverse=True)
+        now = Counter((s, w) for _, s, w in hard[:HARD])
+        new = [x for x in now if x not in seen]
+        seen.update(now)
+        good = np.concatenate([good, features(new)])
+        bad = features([*positive])
+        x = np.concatenate([bad, fixed, good, np.zeros((1, good.shape[1]))])  # last: a stretch like no landmark
+        side = np.concatenate([np.ones(len(bad) + len(fixed)), -np.ones(len(good) + 1)])
+        parts = ((0.2, [*positive.values()]), (0.3, [1] * len(fixed)), (0.4, [*seen.values()]), (0.1, [1]))
+        w, b = svm(x, side, np.concatenate([part * np.array(n, float) / max(1, sum(n)) for part, n in parts]), COST * len(land.stretches))
+        model.alpha, model.bias = (root @ w).astype(np.float32), b
+    evidence = Scorer(model).evidence(texts)
+    weight = np.where(labels == 1, prior / labels.sum(), (1 - prior) / (labels == 0).sum()) * len(labels)
+    model.weights = logistic(evidence, labels, weight)
     return model
 
 
@@ -334,34 +496,6 @@ def held_out(key: str):
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
 
-class Scorer:
-    """Scores texts; keeps the numbers of words it has met."""
-
-    def __init__(self, model: Model):
-        self.model, self.seen = model, {}
-
-    def decisions(self, texts: list[str]) -> np.ndarray:
-        docs = [chunks_of(t) for t in texts]
-        missing = [*{c for d in docs for c in d}.difference(self.seen)]
-        table = self.seen
-        if missing:
-            words = [plain(c) for c in missing]
-            distinct = [*dict.fromkeys(w for w in words if w)]
-            values = dict(zip(distinct, self.model.word_scores(distinct).tolist(), strict=True)) if distinct else {}
-            fresh = {c: values.get(w, 0.0) + ENDS * ends_sentence(c) for c, w in zip(missing, words, strict=True)}
-            if len(self.seen) < CACHE:
-                self.seen.update(fresh)
-            else:  # a full cache stays as it is: what comes often came early
-                table = ChainMap(self.seen, fresh)
-        out = np.zeros(len(docs))
-        get = table.__getitem__
-        for k, doc in enumerate(docs):
-            v = np.fromiter(map(get, doc), np.float64, len(doc))
-            ends = v > ENDS / 2
-            out[k] = document_decision(v - ENDS * ends + self.model.bias, ends, self.model.bias)
-        return out
-
-
 def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """All columns of ``df`` and the score."""
     keep = [c for c in df.columns if c != to]
@@ -372,8 +506,7 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
         found = sent.value
         scorer = worker_state(("toxic", found.name), lambda: Scorer(found))
         for batch in sliced(batches, text):
-            texts = text_list(batch[text])
-            values = found.probability(scorer.decisions(texts)) if found.weights is not None else np.zeros(len(texts))
+            values = found.probability(scorer.evidence(text_list(batch[text])))
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(values, pa.float64())], [*keep, to])
 
     return df.mapInArrow(run, schema)
@@ -381,7 +514,16 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
 
 def keep_clean(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``df`` that score below one half, with their columns."""
-    return score(df, model, text, "__toxic").where("__toxic < 0.5").drop("__toxic")
+    to = fresh_name(df, "toxicity")
+    return score(df, model, text, to).where(F.col(to) < 0.5).drop(to)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,61 +1,11 @@
-"""Toxicity, language, chat pairs and the pipeline."""
+"""Language, chat pairs and the pipeline."""
 
 import random
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 
-from siftlake.llm import chat, langid, toxic
-
-SYL = ["th", "er", "in", "on", "at", "es", "re", "an", "ti", "en", "or", "st"]
-
-
-def labelled(n, seed=1):
-    rng, bad, out = random.Random(seed), ["idiot", "moron", "clown", "scum", "loser"], []
-    for k in range(n):
-        words = ["".join(rng.choice(SYL) for _ in range(rng.randint(1, 3))) for _ in range(60)]
-        y = int(k % 4 == 0)
-        for _ in range(rng.randint(1, 4) * y):
-            words.insert(rng.randrange(len(words)), rng.choice(bad))
-        out.append((k, " ".join(w + "." if rng.random() < 0.1 else w for w in words), y))
-    return out
-
-
-@pytest.fixture(scope="module")
-def model():
-    return toxic.fit_rows([(t, y) for _, t, y in labelled(400)], 0.25)
-
-
-def score(model, *texts):
-    return model.probability(toxic.Scorer(model).decisions(list(texts)))
-
-
-def test_held_out_accuracy(model):
-    rows = labelled(200, seed=2)
-    p = score(model, *[t for _, t, _ in rows])
-    assert sum((x >= 0.5) == bool(y) for x, (_, _, y) in zip(p, rows, strict=True)) >= 190
-
-
-def test_gaps_and_inserted_characters(model):
-    base = "then erin the thatre {} on an ester."
-    assert (score(model, *[base.format(x) for x in ("idiot", "id-iot", "i d i o t", "IDIOT!", "idxiot")]) >= 0.5).all()
-    assert score(model, base.format("ontire"))[0] < 0.5 and score(model, "")[0] < 0.5
-
-
-def test_fit_and_score(spark):
-    docs = spark.createDataFrame([(i, t) for i, t, _ in labelled(300)] + [(900, None), (901, "x " * 20_000)], "doc_id long, text string").withColumn("__toxic_note", F.lit(1))
-    labels = spark.createDataFrame([(i, y) for i, _, y in labelled(300)] + [(900, None), (None, 1)], "doc_id long, toxic int")
-    got = toxic.score(docs, toxic.fit(docs, labels))
-    assert got.count() == 302 and got.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
-    assert toxic.keep_clean(docs, toxic.fit(docs, labels)).columns == docs.columns
-    none = toxic.fit(docs, labels.limit(0))
-    assert toxic.keep_clean(docs, none).count() == 302 and toxic.score(docs.limit(0), none).count() == 0
-
-
-def test_long_words_are_read_whole(model):
-    assert score(model, "er" * 500 + "idiot" + "an" * 500)[0] > score(model, "er" * 1000)[0]
-
+from siftlake.llm import chat, langid
 
 TURNS = [
     (0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", "why?"), (2, 0, "user", "alone"), (4, 0, "user", "same"), (5, 0, "user", "same"),
