@@ -61,7 +61,7 @@ FLOOR = 0.002
 #: Price of the wrong side of the margin, rounds of training, and clean stretches that a round takes in, the worst ones.
 COST, TURNS, HARD = 500.0, 4, 20_000
 #: Bounds of the training sample, in documents.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 #: Characters that are laid out at once, and by how much blocks of a longer text overlap.
 BLOCK, OVERLAP = 1 << 18, 4096
 _GAPS = [g for g in itertools.product(range(1, SPAN), repeat=ORDER - 1) if sum(g) < SPAN]
@@ -300,17 +300,23 @@ class Scorer:
 def svm(x: np.ndarray, side: np.ndarray, weight: np.ndarray, c: float, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the rows that violate the margin."""
     m = x.shape[1]
-    w, a = np.zeros(m + 1), np.column_stack([x, np.ones(len(x))]).astype(np.float64)
-    scale = c * weight / weight.sum()
-    prior = np.append(np.ones(m), 1e-3)
+    w, scale, prior = np.zeros(m + 1), c * weight / weight.sum(), np.append(np.ones(m), 1e-3)
+
+    def margins(w: np.ndarray) -> np.ndarray:
+        return side * (x @ w[:-1].astype(x.dtype) + w[-1])
 
     def loss(w: np.ndarray) -> float:
-        return float(prior @ w**2 + (scale * np.maximum(0, 1 - side * (a @ w)) ** 2).sum())
+        return float(prior @ w**2 + (scale * np.maximum(0, 1 - margins(w)) ** 2).sum())
 
     for _ in range(rounds):
-        active = side * (a @ w) < 1
-        costed = a[active] * scale[active, None]
-        step, now, size = np.linalg.solve(np.diag(prior) + costed.T @ a[active], costed.T @ side[active]) - w, loss(w), 1.0
+        left, right, active = np.diag(prior), np.zeros(m + 1), np.flatnonzero(margins(w) < 1)
+        for k in range(0, len(active), 4096):
+            rows = active[k : k + 4096]
+            a = np.column_stack([x[rows], np.ones(len(rows))]).astype(np.float64)
+            costed = a * scale[rows, None]
+            left += costed.T @ a
+            right += costed.T @ side[rows]
+        step, now, size = np.linalg.solve(left, right) - w, loss(w), 1.0
         while size > 1e-3 and loss(w + size * step) > now:
             size /= 2
         w = w + size * step
@@ -436,13 +442,13 @@ def fit_rows(rows: list[tuple[str, int]], prior: float) -> Model:
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, FLOOR)) @ vectors.T
     changed = [x for m in marks for x in altered(m)]
-    features = lambda stretches: land.kernel(stretches) @ root
+    features = lambda stretches: land.kernel(stretches) @ root.astype(np.float32)
     width_of = lambda s: next((w for w in WIDTHS if len(s) <= w), WIDTHS[-1])
     fixed = features([(x, width_of(x)) for x in (*marks, *changed)])
     # at first a stretch is as toxic as it is like the telling landmarks
     model = Model(land, (np.arange(len(land.stretches)) < len(marks)).astype(np.float32), 0.0, prior=prior)
     seen: Counter[tuple[str, int]] = Counter()
-    good = np.empty((0, len(land.stretches)))
+    good = np.empty((0, len(land.stretches)), np.float32)
     for turn in range(TURNS):
         folded, positive, hard = model.folded(), Counter(), []
         for doc, found in laid:
@@ -455,13 +461,15 @@ def fit_rows(rows: list[tuple[str, int]], prior: float) -> Model:
             positive.update(x for x in some if turn or any(m.strip() in x[0] for m in marks))
             clean = np.flatnonzero(~toxic)
             hard += [(float(top[k]), *cut(k)) for k in clean[np.argsort(-top[clean], kind="stable")[:HARD]].tolist()]
+            if len(hard) > 8 * HARD:
+                hard = sorted(hard, reverse=True)[:HARD]
         hard.sort(reverse=True)
         now = Counter((s, w) for _, s, w in hard[:HARD])
         new = [x for x in now if x not in seen]
         seen.update(now)
         good = np.concatenate([good, features(new)])
         bad = features([*positive])
-        x = np.concatenate([bad, fixed, good, np.zeros((1, good.shape[1]))])  # last: a stretch like no landmark
+        x = np.concatenate([bad, fixed, good, np.zeros((1, good.shape[1]), np.float32)])  # last: a stretch like no landmark
         side = np.concatenate([np.ones(len(bad) + len(fixed)), -np.ones(len(good) + 1)])
         parts = ((0.2, [*positive.values()]), (0.3, [1] * len(fixed)), (0.4, [*seen.values()]), (0.1, [1]))
         w, b = svm(x, side, np.concatenate([part * np.array(n, float) / max(1, sum(n)) for part, n in parts]), COST * len(land.stretches))
