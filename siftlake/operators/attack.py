@@ -13,6 +13,7 @@ from .graph import both_ways
 from .lineage import cut
 from .timeline import human_bytes, lookup, with_labels
 
+#: Phases of techniques and operations.
 PHASES = json.loads(Path(__file__).with_name("phases.json").read_text(encoding="utf-8"))
 #: Phases in kill-chain order.
 ORDER = "Reconnaissance InitialAccess Execution Persistence PrivilegeEscalation DefenseEvasion CredentialAccess Discovery LateralMovement Collection Exfiltration Impact Unknown".split()
@@ -133,16 +134,18 @@ def narratives(findings: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     actors = _in_order(rows, "actor", "actors")
     login = (F.col("edge_type") == "AUTHENTICATED_FROM") & (F.col("target_type") == "IPAddress")
     worry = F.col("phase").isin("DefenseEvasion", "Exfiltration", "Impact", "Persistence")
-    told = F.when(worry, F.struct("step", "narrative"))
+    # the first three of each finding, ranked with a limit in each task
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("step"))
+    told = rows.where(worry & F.col("narrative").isNotNull()).select(*key, "step", "narrative").withColumn("k", rank).where("k <= 3").groupBy(*key).agg(F.array_agg(F.struct("step", "narrative")).alias("told"))
     base = rows.groupBy(*key).agg(
         F.count("*").alias("steps"), F.max("mitre_phase").alias("mitre_phase"), F.min_by("target", F.when(login, F.col("step"))).alias("entry_point"),
-        F.concat_ws(". ", *[F.when(F.bool_or(F.col("phase") == p), s) for p, s in CONCERNS.items()]).alias("concerns"), F.array_agg(told).alias("told"),
+        F.concat_ws(". ", *[F.when(F.bool_or(F.col("phase") == p), s) for p, s in CONCERNS.items()]).alias("concerns"),
     )
-    out = base.join(phases, key, "left").join(actors, key, "left").join(counts, key).join(findings.select(*key, "name", "severity"), key)
+    out = base.join(told, key, "left").join(phases, key, "left").join(actors, key, "left").join(counts, key).join(findings.select(*key, "name", "severity"), key)
     found = F.coalesce("phases", F.array().cast("array<string>"))
     found = F.when(F.col("mitre_phase").isNull(), found).otherwise(F.concat(F.array("mitre_phase"), F.filter(found, lambda p: p != F.col("mitre_phase"))))
     out = out.withColumn("phases", found)
-    key_points = F.array_join(F.transform(F.slice(F.array_sort("told"), 1, 3), lambda x: x["narrative"]), " ")
+    key_points = F.coalesce(F.array_join(F.transform(F.array_sort("told"), lambda x: x["narrative"]), " "), F.lit(""))
     summary = F.concat(
         F.lit("Detection '"), "name", F.lit("' triggered an investigation"), F.coalesce(F.concat(F.lit(" originating from "), "entry_point"), F.lit("")),
         F.coalesce(F.concat(F.lit(" involving "), F.array_join("actors", ", ")), F.lit("")), F.lit("."),

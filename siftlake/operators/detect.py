@@ -13,6 +13,7 @@ from ..functions.fields import field
 from ..functions.predicates import all_of, any_of, compile_all, is_ipv4
 from ..sources.catalog import ALIASES
 from ..sources.schema import CLASS_UID
+from .lineage import cut
 
 MOST_ROWS, SAMPLE = 10_000, 100
 
@@ -41,8 +42,13 @@ def in_window(start: datetime | str, end: datetime | str, time: str = "time_dt")
     return (F.col(time) >= F.lit(str(start)).cast("timestamp")) & (F.col(time) < F.lit(str(end)).cast("timestamp"))
 
 
-def scan(events: DataFrame, class_uid: int | None, start, end, where: Column | None = None, limit: int | None = None) -> DataFrame:
-    """Events of a class in a time window that satisfy a predicate; all of them, or the first ``limit``."""
+def scan(events: DataFrame, class_uid: int | None, start, end, where: Column | None = None, limit: int | None = None, strict: bool = False) -> DataFrame:
+    """Events of a class in a time window that satisfy a predicate; all of them, or the first ``limit``.
+
+    A limit above MOST_ROWS is an error if ``strict``, else MOST_ROWS is taken, as the search interface does.
+    """
+    if strict and limit is not None and limit > MOST_ROWS:
+        raise ValueError(f"at most {MOST_ROWS} rows, or None for all")
     rows = events.where(in_window(start, end))
     if class_uid is not None:
         rows = rows.where(F.col("class_uid") == class_uid)
@@ -92,7 +98,7 @@ def hits(events: DataFrame, rules: list[dict], start, end) -> DataFrame:
 def evaluate(counts: DataFrame, rules: DataFrame) -> DataFrame:
     """Threshold evaluation of (rule_id, total_matches) for all rules, those without a match included."""
     rows = F.broadcast(rules).join(counts, "rule_id", "left").withColumn("total_matches", F.coalesce("total_matches", F.lit(0).cast("long")))
-    rows = rows.withColumn("match_count", F.least("total_matches", F.least("row_limit", F.lit(MOST_ROWS).cast("long")))).withColumn("triggered", F.col("match_count") >= F.col("threshold"))
+    rows = rows.withColumn("match_count", F.least("total_matches", F.least("row_limit", F.lit(MOST_ROWS).cast("long")))).withColumn("triggered", F.col("total_matches") >= F.col("threshold"))
     said = F.when(F.col("triggered"), F.format_string("Detection '%s' triggered with %d matches (threshold: %d)", "name", "match_count", "threshold"))
     return rows.withColumn("message", said.otherwise(F.format_string("Detection '%s' did not trigger (%d matches, threshold: %d)", "name", "match_count", "threshold")))
 
@@ -115,11 +121,13 @@ def samples(found: DataFrame, n: int = SAMPLE) -> DataFrame:
 
 
 def count_and_sample(found: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """rule_id, total_matches, and the ids of the first ``n`` hits: both from the same hits, in one job.
+    """rule_id, total_matches, and the ids of the first ``n`` hits, from one scan of the events.
 
-    Each group keeps ``n`` rows at most: partial heaps of ids and times, no window over all hits.
+    The hits' rules, times and ids are kept once and read twice: counted by partial sums, and cut to ``n`` a rule in each
+    task before they are shuffled.
     """
-    first = samples(found.select("rule_id", "time_dt", "event_uid"), n).groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_rank", "event_uid"))), lambda x: x["event_uid"]).alias("sample"))
+    found = cut(found.select("rule_id", "time_dt", "event_uid"))
+    first = samples(found, n).groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_rank", "event_uid"))), lambda x: x["event_uid"]).alias("sample"))
     return found.groupBy("rule_id").agg(F.count("*").alias("total_matches")).join(first, "rule_id")
 
 

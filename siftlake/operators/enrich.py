@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import field, first_text, objects
 from ..functions.predicates import is_arn, is_ipv4
+from .lineage import cut
 
 USER_CLASSES = (6003, 3002, 3001)
 
@@ -102,9 +103,11 @@ def lateral_movement(events: DataFrame, seeds: DataFrame, most_resources: int =
     other users who called on them, without the users of the first hop.
     """
     user, src = field(events, "actor.user.name"), field(events, "src_endpoint.ip")
-    hop1 = events.where(F.col("class_uid").isin(3002, 6003) & user.isNotNull()).select(src.alias("seed_ip"), user.alias("user")).distinct().join(seeds.where(is_ipv4(F.col("seed_ip"))).distinct(), "seed_ip")
-    calls = events.where((F.col("class_uid") == 6003) & user.isNotNull()).select(user.alias("user"), field(events, "api.service.name").alias("service"), F.explode_outer(F.transform(objects(events, "resources"), lambda r: r["uid"])).alias("arn")).distinct()
-    hop2 = hop1.join(calls, "user").select("seed_ip", "service", "arn").distinct()
+    # who did what from where, once: small next to the events, and all that the hops read
+    done = cut(events.where(F.col("class_uid").isin(3002, 6003) & user.isNotNull()).select("class_uid", src.alias("src"), user.alias("user"), field(events, "api.service.name").alias("service"), F.explode_outer(F.transform(objects(events, "resources"), lambda r: r["uid"])).alias("arn")).distinct())
+    hop1 = cut(done.select(F.col("src").alias("seed_ip"), "user").distinct().join(seeds.where(is_ipv4(F.col("seed_ip"))).distinct(), "seed_ip"))
+    calls = done.where("class_uid = 6003").select("user", "service", "arn").distinct()
+    hop2 = cut(hop1.join(calls, "user").select("seed_ip", "service", "arn").distinct())
     order = F.row_number().over(Window.partitionBy("seed_ip").orderBy("arn"))
     arns = hop2.where(is_arn(F.col("arn"))).select("seed_ip", "arn").distinct().withColumn("k", order).where(F.col("k") <= most_resources).drop("k")
     others = arns.join(calls.select("arn", "user").distinct(), "arn").select("seed_ip", "user").distinct().join(hop1, ["seed_ip", "user"], "left_anti")
@@ -115,11 +118,38 @@ def lateral_movement(events: DataFrame, seeds: DataFrame, most_resources: int =
 
 
 def enrich_all(events: DataFrame, ids: DataFrame, limit: int | None = None) -> DataFrame:
-    """All four kinds of identifiers in one job, each event once for an investigation."""
+    """All four kinds of identifiers in one job, each event once for an investigation.
+
+    Without a limit: one pass gives every event the identifiers that its class is looked up by, one join of these with
+    ``ids`` gives the pairs (inv_id, event_uid), which alone are made distinct, and a second read brings in the events.
+    """
+    if limit is None:
+        return found_keys(events, ids).join(events, "event_uid")
     parts = [by_user(events, of_kind(ids, "user"), limit=limit), by_ip(events, of_kind(ids, "src_ip", "dst_ip"), limit=limit), by_resource(events, of_kind(ids, "resource"), limit), by_domain(events, of_kind(ids, "domain"), limit)]
     return once(reduce(lambda a, b: a.unionByName(b), parts))
 
 
+def looked_up(events: DataFrame) -> DataFrame:
+    """(event_uid, kind, value): the identifiers by which enrichment finds an event, by the event's class."""
+    of = F.col("class_uid")
+    single = [
+        F.when(of.isin(*USER_CLASSES), F.struct(F.lit("user").alias("kind"), field(events, "actor.user.name").alias("value"))),
+        F.when(of.isin(4001, 6003, 3002), F.struct(F.lit("ip").alias("kind"), field(events, "src_endpoint.ip").alias("value"))),
+        F.when(of == 4001, F.struct(F.lit("ip").alias("kind"), field(events, "dst_endpoint.ip").alias("value"))),
+        F.when(of == 4003, F.struct(F.lit("domain").alias("kind"), field(events, "query.hostname").alias("value"))),
+    ]
+    listed = F.when(of == 6003, F.transform(objects(events, "resources"), lambda r: F.struct(F.lit("resource").alias("kind"), r["uid"].alias("value"))))
+    whole = F.concat(F.array_compact(F.array(*single)), F.coalesce(listed, F.array().cast("array<struct<kind:string,value:string>>")))
+    return events.select("event_uid", F.explode(F.array_distinct(whole)).alias("x")).select("event_uid", "x.kind", "x.value").where("value IS NOT NULL")
+
+
+def found_keys(events: DataFrame, ids: DataFrame) -> DataFrame:
+    """(inv_id, event_uid) of the events that carry an identifier of an investigation."""
+    kind = F.when(F.col("kind").isin("src_ip", "dst_ip"), F.when(is_ipv4(F.col("value")), "ip")).when(F.col("kind") == "resource", F.when(is_arn(F.col("value")), "resource")).when(F.col("kind").isin("user", "domain"), F.col("kind"))
+    wanted = ids.where(F.col("value") != "").select("inv_id", kind.alias("kind"), "value").where("kind IS NOT NULL").distinct()
+    return looked_up(events).join(wanted, ["kind", "value"]).select("inv_id", "event_uid").distinct()
+
+
 def cross_source(events: DataFrame, ids: DataFrame, primary: str, limit: int = 200) -> DataFrame:
     """The same identifiers against all other sources, at most ``limit`` events of each source for an investigation."""
     return capped(enrich_all(events.where(F.col("source_name") != primary), ids), limit, "inv_id", "source_name")

@@ -142,7 +142,11 @@ def merge_edges(contributions: DataFrame) -> DataFrame:
 
 def build(rows: DataFrame, results: DataFrame, events: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of events (with inv_id, finding_id, is_match) and their findings."""
-    leaves = event_leaves(rows)
+    return from_leaves(event_leaves(rows), results, events)
+
+
+def from_leaves(leaves: DataFrame, results: DataFrame, events: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The same of event_leaves(), which both sides read: keep it, so that they read the events once."""
     nodes = merge_nodes(node_contributions(leaves, events)).unionByName(finding_nodes(results))
     return nodes, merge_edges(edge_contributions(leaves, events))
 

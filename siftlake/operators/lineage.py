@@ -1,15 +1,25 @@
-"""Cut the lineage of iterated DataFrames."""
+"""Cut the lineage of DataFrames that are read more than once, by files in a folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a temporary folder only on a local master, where it may be unset (tests)."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if told:
+        return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="siftlake-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from files in the folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """``df`` from files in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siftlake-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

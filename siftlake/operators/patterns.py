@@ -32,8 +32,9 @@ def privilege_fanout(edges: DataFrame, nodes: DataFrame, least: int = 5) -> Data
 
 def resource_convergence(edges: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
     access = _of(edges, nodes, "ACCESSED_RESOURCE").select("inv_id", F.col("source_id").alias("api"), "target_id", "target_label")
-    calls = _of(edges, nodes, "CALLED_API").where("source_type = 'Principal'").select("inv_id", F.col("target_id").alias("api"), F.col("source_label").alias("principal"))
-    rows = access.join(calls, ["inv_id", "api"]).groupBy("inv_id", "target_id").agg(F.min("target_label").alias("entity"), F.collect_set("principal").alias("members"))
+    # an API's principals as one row: the join has as many rows as there are accesses
+    calls = _of(edges, nodes, "CALLED_API").where("source_type = 'Principal'").groupBy("inv_id", F.col("target_id").alias("api")).agg(F.collect_set("source_label").alias("principals"))
+    rows = access.join(calls, ["inv_id", "api"]).groupBy("inv_id", "target_id").agg(F.min("target_label").alias("entity"), F.array_distinct(F.flatten(F.collect_set("principals"))).alias("members"))
     rows = rows.withColumn("n", F.size("members")).where(F.col("n") >= least)
     return _row(rows, "resource_convergence", F.least(F.lit(0.9), 0.5 + 0.3 * (F.col("n") - least) / least))
 

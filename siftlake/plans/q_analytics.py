@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, attack, patterns, timeline
 from ..sources.adapter import EV
 from .q_detect import HISTORY, history
-from .q_enrich import EVW, GRAPH, graph, results, window
+from .q_enrich import EVW, GRAPH, graph, kept, results, window
 from .registry import DETECT, RULES, query
 
 COUNTS = "counts AS (SELECT 'user' AS kind, user_name AS entity, count(*) AS event_count FROM evw WHERE user_name IS NOT NULL GROUP BY 2 UNION ALL SELECT 'ip', src_ip, count(*) FROM evw WHERE src_ip IS NOT NULL GROUP BY 2 UNION ALL SELECT 'service', service, count(*) FROM evw WHERE service IS NOT NULL GROUP BY 2)"
@@ -185,22 +185,12 @@ def findings(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame
     return results(spark, sf_dir, whole).select("inv_id", "finding_id", "name", "severity", "mitre")
 
 
-_steps: dict[tuple[str, str], DataFrame] = {}
-_stories: dict[tuple[str, str, bool], DataFrame] = {}
-
-
 def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _steps:
-        _steps[key] = attack.steps(findings(spark, sf_dir), *graph(spark, sf_dir))[0].persist()
-    return _steps[key]
+    return kept(spark, sf_dir, "steps", lambda: attack.steps(findings(spark, sf_dir), *graph(spark, sf_dir))[0])
 
 
 def stories(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, whole)
-    if key not in _stories:
-        _stories[key] = attack.narratives(findings(spark, sf_dir, whole), *graph(spark, sf_dir, whole)).persist()
-    return _stories[key]
+    return kept(spark, sf_dir, f"stories of {'all' if whole else 'cases'}", lambda: attack.narratives(findings(spark, sf_dir, whole), *graph(spark, sf_dir, whole)))
 
 
 @query("ATK1_reachable", "SELECT inv_id, node FROM h5", ATK)
@@ -282,7 +272,9 @@ def atk11(spark, sf_dir):
 @query("AGG10_entity_summary", "SELECT inv_id, node_type, count(*) AS n, array_to_string(list_slice(list_sort(list(DISTINCT label)), 1, 5), ',') AS examples FROM nodes GROUP BY 1, 2", GRAPH)
 def agg10(spark, sf_dir):
     nodes, _ = graph(spark, sf_dir)
-    return nodes.groupBy("inv_id", "node_type").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("label")), 1, 5), ",").alias("examples"))
+    rank = F.row_number().over(Window.partitionBy("inv_id", "node_type").orderBy("label"))
+    first = nodes.where("label IS NOT NULL").select("inv_id", "node_type", "label").distinct().withColumn("k", rank).where("k <= 5").groupBy("inv_id", "node_type").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("examples"))
+    return nodes.groupBy("inv_id", "node_type").agg(F.count("*").alias("n")).join(first, ["inv_id", "node_type"], "left")
 
 
 @query("AGG11_detection_report", "SELECT severity, count(*) AS rules, count(*) FILTER (triggered) AS triggered, sum(match_count)::BIGINT AS matches FROM results GROUP BY 1", DETECT)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,31 +187,66 @@ GRAPH = (*DETECT, M, IDS, EVW, ENR, ROWS, NODE_C, NODES, EDGE_C, EDGES)
 WHOLE = {M: "m AS (SELECT rule_id AS inv_id, * FROM hits WHERE rule_id IN (SELECT rule_id FROM results WHERE triggered))", NODES: NODES[: NODES.rindex("WHERE rule_id IN")] + "WHERE triggered)"}
 
 
+#: What several queries of one session read: (application, table folder, name) -> the events file's state, and the table.
+_kept: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of the events table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in found)
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A persisted table, made once for as long as the events file is the same; lost parts are computed again."""
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), stamp(spark, sf_dir)
+    if key in _kept and _kept[key][0] != now:
+        _kept.pop(key)[1].unpersist()
+    if key not in _kept:
+        _kept[key] = (now, make().persist())
+    return _kept[key][1]
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of all that kept() holds for this session."""
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        _kept.pop(key)[1].unpersist()
+
+
 def graph_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Matched and enriching events of the cases, each once for an investigation; a match counts as a match.
 
     Enrichment reads all sources without a limit, so that it has all rows of the cross-source step, which reads the others.
+    The events are read three times: for the matches, which are kept, for the keys of enriching events, and for these.
     """
-    found, ev = matches(spark, sf_dir, whole), window(spark, sf_dir)
+    found, ev = kept(spark, sf_dir, f"matches of {'all' if whole else 'cases'}", lambda: matches(spark, sf_dir, whole)), window(spark, sf_dir)
     extra = E.enrich_all(ev, E.identifiers(found)).join(found.select("inv_id", "event_uid"), ["inv_id", "event_uid"], "left_anti")
     rows = found.withColumn("is_match", F.lit(True)).unionByName(extra.withColumn("is_match", F.lit(False)))
     return rows.withColumn("finding_id", G.finding_id(F.col("inv_id"), F.lit(AS_OF).cast("timestamp")))
 
 
 def results(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    got = D.run_all(events(spark, sf_dir), triggered(spark, sf_dir) if whole else CASE_RULES, START, END).withColumn("executed_at", F.lit(AS_OF).cast("timestamp"))
+    found = kept(spark, sf_dir, f"matches of {'all' if whole else 'cases'}", lambda: matches(spark, sf_dir, whole))
+    counts = found.groupBy(F.col("inv_id").alias("rule_id")).agg(F.count("*").alias("total_matches"))
+    got = D.evaluate(counts, D.rule_table(spark, triggered(spark, sf_dir) if whole else CASE_RULES)).withColumn("executed_at", F.lit(AS_OF).cast("timestamp"))
     return got.withColumn("inv_id", F.col("rule_id")).withColumn("finding_id", G.finding_id(F.col("rule_id"), F.col("executed_at")))
 
 
-_kept: dict[tuple[str, str, bool], tuple[DataFrame, DataFrame]] = {}
+def leaves(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """What graphs are made of, for matched and enriching events; read by nodes and edges."""
+    return kept(spark, sf_dir, f"leaves of {'all' if whole else 'cases'}", lambda: G.event_leaves(graph_rows(spark, sf_dir, whole)))
 
 
 def graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the cases, persisted once for all that reads them; lost parts are computed again."""
-    key = (spark.sparkContext.applicationId, sf_dir, whole)
-    if key not in _kept:
-        _kept[key] = tuple(x.persist() for x in G.build(graph_rows(spark, sf_dir, whole), results(spark, sf_dir, whole)))
-    return _kept[key]
+    """Nodes and edges of the cases, kept for all that reads them."""
+    of = "all" if whole else "cases"
+    made: list[tuple[DataFrame, DataFrame]] = []
+
+    def part(k: int) -> Callable[[], DataFrame]:
+        return lambda: (made or made.append(G.from_leaves(leaves(spark, sf_dir, whole), results(spark, sf_dir, whole))) or made)[0][k]
+
+    return kept(spark, sf_dir, f"nodes of {of}", part(0)), kept(spark, sf_dir, f"edges of {of}", part(1))
 
 
 def nodes_of(name: str, kind: str):
@@ -234,14 +271,12 @@ def grf5(spark, sf_dir):
 
 @query("GRF8_match_edges", "SELECT inv_id, edge_type, count(*) AS n FROM edge_c WHERE (inv_id, event_uid) IN (SELECT (inv_id, event_uid) FROM m) GROUP BY 1, 2", GRAPH)
 def grf8(spark, sf_dir):
-    leaves = G.event_leaves(graph_rows(spark, sf_dir).where("is_match"))
-    return G.edge_contributions(leaves).groupBy("inv_id", "edge_type").agg(F.count("*").alias("n"))
+    return G.edge_contributions(leaves(spark, sf_dir).where("is_match")).groupBy("inv_id", "edge_type").agg(F.count("*").alias("n"))
 
 
 @query("GRF9_enrichment_edges", "SELECT inv_id, edge_type, count(*) AS n FROM edge_c WHERE (inv_id, event_uid) NOT IN (SELECT (inv_id, event_uid) FROM m) GROUP BY 1, 2", GRAPH)
 def grf9(spark, sf_dir):
-    leaves = G.event_leaves(graph_rows(spark, sf_dir).where("NOT is_match"))
-    return G.edge_contributions(leaves).groupBy("inv_id", "edge_type").agg(F.count("*").alias("n"))
+    return G.edge_contributions(leaves(spark, sf_dir).where("NOT is_match")).groupBy("inv_id", "edge_type").agg(F.count("*").alias("n"))
 
 
 def edges_of(name: str, where: str):
@@ -287,12 +322,12 @@ def grf16(spark, sf_dir):
 
 @query("GRF17_build_stats", "SELECT inv_id, count(*) AS events, count(*) FILTER (is_match) AS matched, count(*) FILTER (NOT is_match) AS enriched FROM g GROUP BY 1", GRAPH)
 def grf17(spark, sf_dir):
-    return graph_rows(spark, sf_dir).groupBy("inv_id").agg(F.count("*").alias("events"), F.count_if("is_match").alias("matched"), F.count_if(~F.col("is_match")).alias("enriched"))
+    return leaves(spark, sf_dir).groupBy("inv_id").agg(F.count("*").alias("events"), F.count_if("is_match").alias("matched"), F.count_if(~F.col("is_match")).alias("enriched"))
 
 
 @query("GRF18_api_status", "SELECT inv_id, api_id, count(*) FILTER (lower(status) IN ('success', 'succeeded', 'ok')) AS success_count, count(*) FILTER (lower(status) NOT IN ('success', 'succeeded', 'ok')) AS failure_count FROM g WHERE api_id IS NOT NULL GROUP BY 1, 2", GRAPH)
 def grf18(spark, sf_dir):
-    return G.api_status(G.event_leaves(graph_rows(spark, sf_dir)))
+    return G.api_status(leaves(spark, sf_dir))
 
 
 @query("GRF19_without_events", "SELECT inv_id, edge_type, count(*) AS n FROM edges WHERE NOT starts_with(source_id, 'Event:') AND NOT starts_with(target_id, 'Event:') GROUP BY 1, 2", GRAPH)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_dir
 from ..operators import anomaly, ops, patterns, timeline
 from ..operators import detect as D
 from ..operators import enrich as E
@@ -36,9 +36,8 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a temporary one only where none is named."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siftlake-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("AGG1_class_summary", "SELECT class_uid, class_name, count(*) AS n, epoch_us(min(time_dt)) AS earliest_us, epoch_us(max(time_dt)) AS latest_us FROM ev GROUP BY 1, 2")
