@@ -153,6 +153,11 @@ def self_test(spark: SparkSession, cases: list[dict], rules: list[dict]) -> Data
     return got.select("rule_id", "name", "match_count", "threshold", "expected", ok.alias("passed"))
 
 
+def bundled_cases() -> list[dict]:
+    """The test cases that come with the bundled rules (rule, name, events, expected outcome)."""
+    return json.loads(Path(__file__).with_name("rule_cases.json").read_text(encoding="utf-8"))
+
+
 def cases_of(rules: list[dict]) -> list[dict]:
     """Two cases a rule made from its own predicate: threshold many matching events, and as many that miss one filter."""
     out = []

@@ -72,6 +72,15 @@ def test_rule_files(tmp_path):
     assert len(detect.load_rules()) == 55 and len(CLASS_UID) == 39
 
 
+def test_bundled_rules_pass_the_cases_that_come_with_them(spark):
+    cases = detect.bundled_cases()
+    assert len(cases) == 84 and len({c["rule_id"] for c in cases}) == 31
+    got = detect.self_test(spark, cases, detect.load_rules()).collect()
+    assert len(got) == 84 and [(r.rule_id, r.name) for r in got if not r.passed] == []
+    wrong = [c | {"expected": c["expected"] | {"triggered": not c["expected"]["triggered"]}} for c in cases[:10]]
+    assert not any(r.passed for r in detect.self_test(spark, wrong, detect.load_rules()).collect())
+
+
 def test_bundled_rules_pass_their_cases(spark):
     rules = [r for r in detect.load_rules() if r["threshold"] <= 50]
     got = detect.self_test(spark, detect.cases_of(rules), rules)
