@@ -252,7 +252,23 @@ def atk9(spark, sf_dir):
     return stories(spark, sf_dir).select("inv_id", "impact")
 
 
-@query("ATK10_summary")
+BYTES = "CASE WHEN b >= 1000000000 THEN printf('%.1f GB', b / 1000000000) WHEN b >= 1000000 THEN printf('%.1f MB', b / 1000000) WHEN b >= 1000 THEN printf('%.1f KB', b / 1000) ELSE b || ' B' END"
+TOLD = f"""told AS (SELECT *, CASE edge_type WHEN 'COMMUNICATED_WITH' THEN source_label || ' communicated with ' || target_label
+    || CASE own WHEN 'Exfiltration' THEN ' — ' || (SELECT {BYTES} FROM (SELECT coalesce(bytes_out, 0)::DOUBLE AS b)) || ' outbound to external host' WHEN 'InitialAccess' THEN ' — inbound from external' ELSE '' END || '.'
+    WHEN 'RESOLVED_TO' THEN source_label || ' resolved ' || target_label || '.' WHEN 'ORIGINATED_FROM' THEN 'Event originated from ' || target_label || '.' ELSE narrative END AS line FROM pl)"""
+SUMMARY = """SELECT inv_id, 'Detection ''' || name || ''' triggered an investigation' || coalesce(' originating from ' || entry, '') || coalesce(' involving ' || actors, '') || '.'
+  || CASE WHEN n > 1 THEN ' The attack path spans ' || n || ' kill chain phases: ' || spans || '.' ELSE '' END || coalesce(' Key concerns: ' || points, '') AS summary
+FROM (SELECT DISTINCT inv_id FROM pl) JOIN (SELECT rule_id AS inv_id, name FROM rules) USING (inv_id)
+LEFT JOIN (SELECT inv_id, arg_min(target_label, step) AS entry FROM pl WHERE edge_type = 'AUTHENTICATED_FROM' AND target_type = 'IPAddress' GROUP BY 1) USING (inv_id)
+LEFT JOIN (SELECT inv_id, string_agg(actor, ', ' ORDER BY k) AS actors FROM (SELECT inv_id, source_label AS actor, min(step) AS k FROM pl WHERE source_type = 'Principal' GROUP BY 1, 2) GROUP BY 1) USING (inv_id)
+LEFT JOIN (SELECT inv_id, count(*) AS n, string_agg(phase, ' → ' ORDER BY k) AS spans FROM (
+  SELECT DISTINCT inv_id, mitre_phase AS phase, 0 AS k FROM pl WHERE mitre_phase IS NOT NULL
+  UNION ALL SELECT inv_id, phase, min(step) FROM pl WHERE phase <> 'Unknown' AND phase IS DISTINCT FROM mitre_phase GROUP BY 1, 2) GROUP BY 1) USING (inv_id)
+LEFT JOIN (SELECT inv_id, string_agg(line, ' ' ORDER BY step) AS points FROM (SELECT *, row_number() OVER (PARTITION BY inv_id ORDER BY step) AS r FROM told
+  WHERE phase IN ('DefenseEvasion', 'Exfiltration', 'Impact', 'Persistence') AND line IS NOT NULL) WHERE r <= 3 GROUP BY 1) USING (inv_id)"""
+
+
+@query("ATK10_summary", SUMMARY, (*ATK, TOLD))
 def atk10(spark, sf_dir):
     return stories(spark, sf_dir).select("inv_id", "summary")
 

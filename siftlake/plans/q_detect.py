@@ -9,7 +9,7 @@ from ..functions import predicates as P
 from ..functions.fields import field, first_text, objects
 from ..operators import detect as D
 from ..sources import catalog
-from ..sources.adapter import events
+from ..sources.adapter import events, FINDING_EV, finding_events
 from ..sources.schema import event_classes
 from .registry import DETECT, END, EV, HITS, RULES, START, W, query, rule_sql
 
@@ -55,6 +55,13 @@ def src6(spark, sf_dir):
     return D.findings(events(spark, sf_dir), START, END).select("event_uid", micros())
 
 
+@query("SRC13_findings_by_severity", f"SELECT event_uid, severity, source_name, {US} FROM fev WHERE {W} AND severity = 'High'", (FINDING_EV,))
+def src13(spark, sf_dir):
+    """The finding scan over all sources with findings of a security product among them."""
+    both = events(spark, sf_dir).unionByName(finding_events(spark, sf_dir))
+    return D.findings(both, START, END, "High").select("event_uid", "severity", "source_name", micros())
+
+
 @query("SRC7_named_sources", "SELECT source_name, count(*) AS n, CASE source_name WHEN 'cloudtrail' THEN 'lake_table_us_west_2_cloud_trail_mgmt' WHEN 'vpc-flow' THEN 'lake_table_us_west_2_vpc_flow' ELSE 'lake_table_us_west_2_route53' END AS table_name FROM ev GROUP BY 1")
 def src7(spark, sf_dir):
     named = catalog.sources(spark, "us-west-2").select(F.col("name").alias("source_name"), "table_name")

@@ -6,7 +6,7 @@ nests the leaves into structs, ``EV`` is the same projection as a common table e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OPERATIONS = "AssumeRole GetObject ListBuckets CreateAccessKey StopLogging AttachUserPolicy RunInstances DeleteBucket GetCallerIdentity PutObject ConsoleLogin Invoke".split()
@@ -63,11 +63,11 @@ def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(*[F.expr(e.format(string="STRING")).alias(n) for n, e in FLAT.items()])
 
 
-def nest(flat: DataFrame) -> DataFrame:
+def nest(flat: DataFrame, severity: Column | None = None) -> DataFrame:
     """Flat leaves as nested canonical events."""
     c = F.col
     return flat.select(
-        "event_uid", "class_uid", "class_name", "time_dt", "status", "status_id", F.lit(None).cast("string").alias("severity"), F.lit(None).cast("int").alias("severity_id"), "rcode_id",
+        "event_uid", "class_uid", "class_name", "time_dt", "status", "status_id", (F.lit(None).cast("string") if severity is None else severity).alias("severity"), F.lit(None).cast("int").alias("severity_id"), "rcode_id",
         F.struct(
             F.struct(c("user_name").alias("name"), c("user_type").alias("type"), F.lit(None).cast("string").alias("uid"), c("uid_alt"), F.lit(None).cast("string").alias("account_uid")).alias("user"),
             F.struct(F.lit(None).cast("string").alias("uid")).alias("session"),
@@ -84,5 +84,18 @@ def nest(flat: DataFrame) -> DataFrame:
     )
 
 
+#: The leaves of findings: errors of more than 100 are told as findings of a security product.
+FINDING = FLAT | {"class_uid": "2001", "class_name": "'Security Finding'", "source_name": "'security-hub'"}
+FINDING_SEVERITY = "CASE WHEN value > 250 THEN 'Critical' WHEN value > 150 THEN 'High' ELSE 'Medium' END"
+FINDING_EV = "fev AS (SELECT " + ", ".join(f"{e.format(string='VARCHAR')} AS {n}" for n, e in FINDING.items()) + f", {FINDING_SEVERITY} AS severity FROM events WHERE event_type = 'error' AND value > 100)"
+
+
+def finding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings (class 2001) as canonical events, with their severity."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error' AND value > 100")
+    flat = raw.select(*[F.expr(e.format(string="STRING")).alias(n) for n, e in FINDING.items()], F.expr(FINDING_SEVERITY).alias("told"))
+    return nest(flat, F.col("told"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nest(flat_events(spark, sf_dir))

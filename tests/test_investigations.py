@@ -48,3 +48,10 @@ def test_daily_investigations_by_batch(spark, tmp_path, files):
         S.rule_predicate = real
     assert sorted(round(r.opened_at.timestamp() / 3600 - 1000, 2) for r in got) == [0.0, 24.0, 48.1]
     assert files > 1 or {r.late_rows for r in got} == {1}
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    from siftlake.plans import q_stream
+
+    got = q_stream.closed_windows(spark, "/root/testdata/sf0.001")
+    assert got.count() > 0 and got.first().late_rows > 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import predicates as P
 from siftlake.functions.fields import field, first_text
-from siftlake.operators import anomaly, attack, detect, graph, timeline
+from siftlake.operators import anomaly, attack, detect, enrich, graph, ops, patterns, timeline
 from siftlake.sources.catalog import guarded_sql
 from siftlake.sources.schema import CLASS_UID
 
@@ -134,3 +134,50 @@ def test_one_scan_for_all_rules(spark):
 
     plan = QUERIES["DET3_run_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Python" not in plan
+
+
+def small_graph(spark, calls, access=()):
+    """Principals that call APIs, and APIs that access resources."""
+    names = {x for a, b in [*calls, *access] for x in (a, b)}
+    kind = lambda x: "Principal" if x.startswith("P") else "APIOperation" if ":" in x else "Resource"
+    nodes = spark.createDataFrame([("i", n, kind(n), n) for n in sorted(names)], "inv_id string, id string, node_type string, label string")
+    edges = spark.createDataFrame([("i", k, a, b) for k, rows in (("CALLED_API", calls), ("ACCESSED_RESOURCE", access)) for a, b in rows], "inv_id string, edge_type string, source_id string, target_id string")
+    return nodes, edges
+
+
+def test_service_bridges(spark):
+    """Only who alone uses two services together is a bridge; pairs used by two principals count for none."""
+    nodes, edges = small_graph(spark, [("P1", "s3:Get"), ("P1", "iam:List"), ("P2", "s3:Get"), ("P2", "ec2:Run"), ("P3", "s3:Put"), ("P3", "ec2:Run"), ("P1", "sts:Who")])
+    got = [(r.entity, r.n, round(r.severity, 3), r.members) for r in patterns.service_bridge(edges, nodes).collect()]
+    assert got == [("P1", 3, 0.8, "iam, s3, sts")]
+    assert patterns.service_bridge(edges.limit(0), nodes).count() == 0
+
+
+def test_resource_convergence(spark):
+    nodes, edges = small_graph(spark, [(f"P{k}", "s3:Get") for k in range(4)] + [("P9", "s3:Put")], [("s3:Get", "bucket"), ("s3:Put", "bucket"), ("s3:Put", "other")])
+    got = [(r.entity, r.n, r.members) for r in patterns.resource_convergence(edges, nodes).collect()]
+    assert got == [("bucket", 5, "P0, P1, P2, P3, P9")]
+
+
+def test_freshness_alerts(spark):
+    rows = spark.createDataFrame([("a", 119.0), ("b", 121.0), ("c", 360.0), ("d", 361.0), ("e", None)], "source_name string, age_minutes double")
+    assert [(r.rule_id, r.severity) for r in ops.freshness_alerts(rows).orderBy("rule_id").collect()] == [("freshness-b", "medium"), ("freshness-c", "medium"), ("freshness-d", "high")]
+    assert "121 minutes stale" in ops.freshness_alerts(rows).where("rule_id = 'freshness-b'").first().message
+
+
+def test_scan_limits(spark):
+    with pytest.raises(ValueError):
+        detect.scan(spark.range(1), None, "2024-01-01", "2024-01-02", limit=50_000, strict=True)
+
+
+def test_enrichment_keys(spark):
+    """Each identifier finds events of its classes only, and each event once for an investigation."""
+    row = "event_uid string, class_uid int, actor struct<user:struct<name:string>>, src_endpoint struct<ip:string>, dst_endpoint struct<ip:string>, query struct<hostname:string>, resources array<struct<uid:string,type:string,name:string>>"
+    ev = spark.createDataFrame(
+        [("a", 6003, (("u",),), ("1.2.3.4",), None, None, [("arn:aws:s3:::b", None, None)] * 2), ("b", 4001, None, ("9.9.9.9",), ("1.2.3.4",), None, None), ("c", 4003, (("u",),), ("1.2.3.4",), None, ("h",), None), ("d", 3001, (("u",),), ("1.2.3.4",), None, None, None), ("e", 1, (("u",),), ("1.2.3.4",), None, ("h",), None)],
+        row,
+    )
+    ids = spark.createDataFrame([("i", "user", "u"), ("i", "src_ip", "1.2.3.4"), ("i", "resource", "arn:aws:s3:::b"), ("j", "domain", "h"), ("j", "resource", "not an arn"), ("j", "dst_ip", "1.2.3.4"), ("k", "service", "s3")], "inv_id string, kind string, value string")
+    got = sorted((r.inv_id, r.event_uid) for r in enrich.enrich_all(ev, ids).collect())
+    assert got == [("i", "a"), ("i", "b"), ("i", "d"), ("j", "a"), ("j", "b"), ("j", "c")]
+    assert enrich.enrich_all(ev.limit(0), ids).count() == 0 == enrich.enrich_all(ev, ids.limit(0)).count()

@@ -12,7 +12,7 @@ from siftlake.plans.all import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: One query of each part; TEST_ALL=1 runs every query.
-CHOSEN = "SRC1_event_class_scan SRC2_count_and_sample FLT2_not_equals FLT7_list_any_equals DET3_run_all ENR3_by_ip ENR14_lateral_movement GRF1_principal_nodes GRF13_edge_merge AGG3_anomaly_scores TML3_clusters PAT3_multi_source_auth AGG5_health ALR3_auto_investigate PLB1_playbook_match STR1_tumbling_detection STR3_sessions".split()
+CHOSEN = "SRC1_event_class_scan SRC2_count_and_sample FLT2_not_equals FLT7_list_any_equals DET3_run_all ENR3_by_ip ENR14_lateral_movement GRF1_principal_nodes GRF13_edge_merge AGG3_anomaly_scores TML3_clusters PAT3_multi_source_auth AGG5_health ALR3_auto_investigate SRC13_findings_by_severity ATK10_summary PLB1_playbook_match STR1_tumbling_detection STR3_sessions".split()
 
 
 def plain(v):
@@ -46,4 +46,4 @@ def test_query(spark, duck, name):
 
 def test_every_listed_operator_has_an_oracle():
     without = {n for n in QUERIES if n not in ORACLE_SQL}
-    assert without == {"ATK10_summary", "INV2_scores_and_paths"}
+    assert without == {"INV2_scores_and_paths"}
