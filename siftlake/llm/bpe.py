@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import regex
@@ -23,8 +24,8 @@ RARE = regex.compile("[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u1c8a\u208f\u2
 #: Bytes that a window takes in at once, and the longest piece that is merged whole.
 STEP, WHOLE = 4096, 1024
 NO_RANK = 1 << 60
-#: Characters of one block of text, and entries of a piece cache.
-BLOCK, CACHE = 1 << 16, 250_000
+#: Characters of one block of text, and bytes of what a stream or counter keeps of words it has met.
+BLOCK, CACHE_BYTES = 1 << 16, 96 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -174,15 +175,22 @@ class PieceStream:
         return ids
 
 
+def kept_bytes(key: str, value: object) -> int:
+    """About what an entry of a dictionary takes: key, value, and their places."""
+    inner = sum(map(sys.getsizeof, value)) if isinstance(value, tuple) else 0
+    return 110 + sys.getsizeof(key) + sys.getsizeof(value) + inner
+
+
 class TextStream:
     """Text in blocks -> blocks of values, one value for each chunk that merges never cross.
 
     ``value`` turns a list of ids into what is kept and returned for a chunk (ids, packed bytes, a count ...).
-    ``split`` cuts chunks with characters of ``RARE`` (the tokenizer library's own cutter).
+    ``split`` cuts chunks with characters of ``RARE`` (the tokenizer library's own cutter). What words it has met give is
+    kept until it takes ``room`` bytes; it then stays as it is, since what comes often came early.
     """
 
-    def __init__(self, merges: Merges, ahead: int, value: Callable[[list[int]], object], split: Callable[[str], list[str]]):
-        self.merges, self.ahead, self.value, self.split = merges, ahead, value, split
+    def __init__(self, merges: Merges, ahead: int, value: Callable[[list[int]], object], split: Callable[[str], list[str]], room: int = CACHE_BYTES):
+        self.merges, self.ahead, self.value, self.split, self.room = merges, ahead, value, split, room
         self.pieces = regex.compile(PIECES)
         self.piece_ids: dict[str, list[int]] = {}
         self.spaced: dict[str, object] = {}
@@ -197,8 +205,9 @@ class TextStream:
                 stream = PieceStream(self.merges, self.ahead)
                 return [i for part in (*stream.feed(data), stream.finish()) for i in part]
             got = self.merges.merge(data)
-            if len(self.piece_ids) < CACHE:  # a full cache stays as it is: what comes often came early
+            if self.room > 0 and len(piece) < 64:
                 self.piece_ids[piece] = got
+                self.room -= kept_bytes(piece, got)
         return got
 
     def cut(self, chunk: str) -> list[str]:
@@ -209,8 +218,9 @@ class TextStream:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
         got = self.value([i for p in self.cut(lead + chunk) for i in self.ids_of(p)])
-        if len(chunk) < 64 and len(cache) < CACHE:
+        if self.room > 0 and len(chunk) < 64:
             cache[chunk] = got
+            self.room -= kept_bytes(chunk, got)
         return got
 
     def _lines(self, text: str) -> list | None:

@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import TextStream
+from .bpe import TextStream, byte_alphabet
 from .common import new_path, sliced, stored, table, text_list, worker_state
 from .tokens import library_of, library_pieces, lookahead_of, merges_of
 
 MAGIC = b"SLIDFW01"
 BLOCK_IDS = 1 << 16
-#: Distinct words whose ids a worker keeps.
-WORDS_KEPT = 900_000
+#: What a worker keeps of the ids of words it has met.
+WORDS_BYTES = 200 << 20
 
 
 def width_of(vocabulary: int) -> int:
@@ -140,52 +141,20 @@ class Reader:
         return None if k < self.n_null else int(self.keys[k])
 
 
-def packed_stream(path: str) -> TextStream:
-    return worker_state(("packed", path), lambda: _packed_stream(path))
+def library_stream(path: str) -> TextStream:
+    """Cuts text into words and pieces; the ids of a piece come from the tokenizers library, once for each word kept.
 
-
-def _packed_stream(path: str) -> TextStream:
-    """Cuts text into words; the ids of a word come from the tokenizers library, once for each distinct word of some texts.
-
-    Merges never cross such words, so a text's ids are those of its words one after the other.
+    Merges never cross such pieces, so a text's ids are those of its pieces one after the other.
     """
-    library = library_of(path)
-    merges = merges_of(path)
-    line_break = library.encode("\n", add_special_tokens=False).ids[0]
+    model = library_of(path).model
+    letters = {b: ch for ch, b in byte_alphabet().items()}
 
     class Words(TextStream):
-        def prepare(self, texts: list[str]) -> None:
-            """Encode the words of some texts that the cache lacks, all in one call: one word a line.
-
-            The line break is a token of its own here, as no word holds one, so it tells where a word's ids end.
-            """
-            words: set[str] = set()
-            for text in texts:
-                for line in text.split("\n"):
-                    words.update(line.split(" "))
-            fresh = [w for w in words.difference(self.spaced) if w and len(w) < 64 and w.strip() == w]
-            values = {}
-            for k in range(0, len(fresh), 20_000):
-                part = fresh[k : k + 20_000]
-                ids = np.array(library.encode_batch_fast([" " + "\n ".join(part) + "\n"], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.flatnonzero(ids == line_break).tolist()
-                data, at = ids.tobytes(), 0
-                for w, end in zip(part, ends, strict=True):
-                    values[w] = data[4 * at : 4 * end]
-                    at = end + 1
-            if len(self.spaced) + len(values) <= WORDS_KEPT:
-                self.spaced.update(values)
-            self.fresh = values
-
-        def _chunk(self, chunk: str, lead: str, cache: dict) -> object | None:
-            if lead and (got := self.fresh.get(chunk)) is not None:
-                return got
-            return super()._chunk(chunk, lead, cache)
-
         def ids_of(self, piece: str) -> list[int]:
-            return library.encode(piece, add_special_tokens=False).ids
+            return [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
 
-    return Words(merges, lookahead_of(path), lambda ids: np.array(ids, "<u4").tobytes(), library_pieces(path))
+    merges = merges_of(path)
+    return worker_state(("library", path), lambda: Words(merges, lookahead_of(path), lambda ids: array("I", ids).tobytes(), library_pieces(path), WORDS_BYTES))
 
 
 def write(df: DataFrame, path: str, end_id: int, to: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,15 +168,13 @@ def write(df: DataFrame, path: str, end_id: int, to: str, key: str = "doc_id", t
     width = width_of(max(len(merges_of(path).bytes_of), end_id + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, part = packed_stream(path), TaskContext.get().partitionId()
+        stream, part = library_stream(path), TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(to)
         name, own = f"{root}/part-{part:06d}.ids", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
         writer = sink = None
         end = np.array([end_id], np.uint32)
         for batch in sliced(batches, text):
-            texts = text_list(batch[text])
-            stream.prepare(texts)
-            for k, whole in zip(batch[key].to_pylist(), texts, strict=True):
+            for k, whole in zip(batch[key].to_pylist(), text_list(batch[text]), strict=True):
                 if writer is None:
                     store.create_dir(root)
                     sink = store.open_output_stream(own)
@@ -229,6 +196,7 @@ def read(manifest: DataFrame, to: str, key: str = "doc_id") -> DataFrame:
     from pyarrow import fs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("read",))
         for batch in batches:
             for name, before in zip(batch["file"].to_pylist(), batch["before"].to_pylist(), strict=True):
                 store, _ = fs.FileSystem.from_uri(to)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import BLOCK, CACHE, RARE, ByteToText, Merges, TextStream
+from .bpe import BLOCK, CACHE_BYTES, RARE, ByteToText, Merges, TextStream, kept_bytes
 from .common import sliced, table, text_list, worker_state
 
 #: Arrays given to ``ByteToText`` at once.
@@ -52,10 +52,15 @@ def library_pieces(path: str):
 
 
 def ids_stream(path: str) -> TextStream:
-    """Kept by each Python worker, with its caches, from task to task."""
+    """Values are ids and their digits. Kept by each Python worker, with its caches, from task to task."""
     return worker_state(("ids", path), lambda: _ids_stream(path))
 
 
+def packed_stream(path: str) -> TextStream:
+    """Values are ids alone, as 32-bit integers."""
+    return worker_state(("packed", path), lambda: TextStream(merges_of(path), lookahead_of(path), lambda ids: array("i", ids).tobytes(), library_pieces(path), CACHE_BYTES // 2))
+
+
 def _ids_stream(path: str) -> TextStream:
     merges = merges_of(path)
     own = merges.ids  # one int object for each id, so that caches stay small
@@ -66,23 +71,32 @@ def _ids_stream(path: str) -> TextStream:
     return TextStream(merges, lookahead_of(path), value, library_pieces(path))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """All columns of ``df`` and ``to``: array<int>, the ids of the whole text (an existing column ``to`` is replaced)."""
+def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", lossless: str | None = None) -> DataFrame:
+    """All columns of ``df`` and ``to``: array<int>, the ids of the whole text (an existing column ``to`` is replaced).
+
+    ``lossless`` names a column that tells whether decoding the ids gives the text again; it is found in the same pass.
+    """
+    added = [to] if lossless is None else [to, lossless]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = ids_stream(path)
-        for batch in sliced(batches, text):
-            flat, ends = array("i"), [0]
+        stream, body = packed_stream(path), merges_of(path).bytes_of
+        for batch in sliced(batches, text, 1 << 20):
+            flat, ends, same = bytearray(), [0], []
             for t in text_list(batch[text]):
+                state, back = ByteToText(), []
                 for block in stream.document(t):
-                    for ids, _ in block:
-                        flat.extend(ids)
-                ends.append(len(flat))
-            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], out], [*keep, to])
+                    ids = b"".join(block)
+                    flat += ids
+                    if lossless is not None:
+                        back.append(state.feed(b"".join([body[i] for i in memoryview(ids).cast("i")])))
+                ends.append(len(flat) // 4)
+                same.append("".join(back) + state.finish() == t)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], ids, pa.array(same, pa.bool_())][: len(keep) + len(added)], [*keep, *added])
 
-    keep = [c for c in df.columns if c != to]
-    return df.mapInArrow(run, ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], f"`{to}` array<int>"]))
+    keep = [c for c in df.columns if c not in added]
+    kinds = [f"`{to}` array<int>", f"`{lossless}` boolean"][: len(added)]
+    return df.mapInArrow(run, ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], *kinds]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -90,7 +104,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body = merges_of(path).bytes_of
-        for batch in sliced(batches, ids):
+        for batch in sliced(batches, ids, 1 << 20):
             texts = []
             for row in batch[ids]:
                 state, row = ByteToText(), [] if row.values is None else row.values.to_numpy()
@@ -166,6 +180,7 @@ class TokenCounter:
     def __init__(self, path: str, whole: frozenset[str]):
         self.path, self.whole, self.merges = path, whole, merges_of(path)
         self.seen: dict[str, int] = {}
+        self.room = CACHE_BYTES
         self.specials = list(self.merges.special)
 
     def word(self, word: str) -> int:
@@ -174,8 +189,9 @@ class TokenCounter:
         else:
             plain = (word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")).lower()
             n = sum(1 if piece in self.whole else self._merged(piece) for piece in WORDS.findall(plain))
-        if len(word) < 64 and len(self.seen) < CACHE:
+        if self.room > 0 and len(word) < 64:
             self.seen[word] = n
+            self.room -= kept_bytes(word, 0)
         return n
 
     def _merged(self, piece: str) -> int:
