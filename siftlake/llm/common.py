@@ -1,9 +1,13 @@
-"""Helpers shared by the training-data operators: shared storage, inputs, Arrow columns."""
+"""Helpers shared by the training-data operators: shared storage, inputs, Arrow columns, joins on hot keys."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +19,20 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 _own_shared: dict[str, str] = {}
 
 
+#: Paths made within each open scratch(), innermost last.
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a temporary folder of this process is taken.
+    Only on a local master, where it may be unset (tests), a temporary folder of this process is taken.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_shared:
         _own_shared[app] = "file://" + tempfile.mkdtemp(prefix="siftlake-")
@@ -30,7 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all intermediate tables made within; what is computed from them must be written before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -84,12 +108,50 @@ def sliced(batches, column: str, most: int = 4 << 20):
             yield batch.slice(k, rows)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker's peak else stays with it for good."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _worker: dict[tuple, object] = {}
 
 
-def worker_state(key: tuple, make):
-    """What an operator keeps in a Python worker from task to task. A worker keeps one operator's state at a time."""
+def worker_state(key: tuple, make=lambda: None):
+    """What an operator keeps in a Python worker from task to task.
+
+    A worker keeps one operator's state at a time; operators that keep none call this too, with a key alone, and so free
+    what the operator before has left.
+    """
     if key not in _worker:
-        _worker.clear()
+        if _worker:
+            _worker.clear()
+            give_back()
         _worker[key] = make()
     return _worker[key]
+
+
+#: Rows of one key that one task joins at most, unless that made more than MOST_HOT keys hot.
+HOT_ROWS, MOST_HOT = 50_000, 10_000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, pieces) of the keys that have more rows than one task should join; at most MOST_HOT of them."""
+    most = max(HOT_ROWS, -(-rows.count() // MOST_HOT))
+    return rows.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("pieces"))
+
+
+def split_join(rows: DataFrame, few: DataFrame, key: str, spread: Column, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """``rows`` joined with ``few``, which has one row a key, on ``key``: the rows of hot keys are cut by a hash of
+    ``spread`` into pieces, each of which gets a copy of the key's row in ``few``. ``hot``: rows of hot_keys(), if known."""
+    hot = hot_keys(rows, key).collect() if hot is None else hot  # at most MOST_HOT
+    if not hot:
+        return rows.join(few, key, how)
+    kind = next(f.dataType.simpleString() for f in rows.schema.fields if f.name == key)
+    table_of = F.broadcast(rows.sparkSession.createDataFrame([tuple(h) for h in hot], f"`{key}` {kind}, __pieces int"))
+    left = rows.join(table_of, key, "left").withColumn("__piece", F.pmod(F.xxhash64(spread), F.coalesce("__pieces", F.lit(1))).cast("int")).drop("__pieces")
+    right = few.join(table_of, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__pieces")
+    return left.join(right, [key, "__piece"], how).drop("__piece")

@@ -7,16 +7,21 @@ compared by their full digest.
 
 The filter is cut into segments, each built by one task from the bit positions that every input partition has already
 merged for itself, so a text that fills a third of all rows sends each segment one position from each partition. Its
-size follows the row count (``BITS_PER_ROW``). Up to ``BROADCAST_BYTES`` the second filter goes to all tasks; beyond,
-the light rows (key, fingerprint, length; never texts) go to the segments.
-
-Null text counts as empty. Of equal texts the row with the most code points stays, then the smallest key; rows that tie
-in both (repeated rows) count one by one and share their keep_id. Null keys sort last.
+size follows the row count (``BITS_PER_ROW``). The second filter goes to all tasks in pieces of at most
+``BROADCAST_BYTES``: with more than one piece, the rows are written by the piece that tests them (no shuffle), and each
+piece's rows are read again with that piece alone.
+
+Null text counts as empty, and empty texts are equal texts like others. Of equal texts the row with the most code points
+stays, then the smallest key; rows that tie in both (repeated rows) count one by one, share their keep_id and stay or go
+together. Null keys sort last. A key that has several texts is decided text by text. A text that fills a third of all
+rows is joined with its verdict in pieces. Texts of any length are digested in the JVM. An empty table gives no rows.
+Columns of other names are kept by ``keep_first``, whatever they are called.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import no_null, squeezed, stored, table
+from .common import new_path, no_null, split_join, squeezed, stored, table, worker_state
 
 BITS_PER_ROW, HASHES, SEGMENT_BITS = 16, 3, 1 << 16
-#: The largest second filter that is broadcast.
+#: The largest piece of the second filter that is broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -42,6 +47,7 @@ def positions(prints: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray
 
 def _marks(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
     """Each partition's distinct fingerprints by segment, and which of them it holds twice."""
+    worker_state(("bloom",))
     for chunk in _gathered(batches):
         prints, counts = np.unique(chunk, return_counts=True)
         segment = positions(prints, segments)[0]
@@ -97,76 +103,98 @@ def _test(bits: np.ndarray, segment: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((bits[base >> 3] >> (7 - (base & 7)).astype(np.uint8)) & 1).all(axis=1)
 
 
-def repeated_test(prints: DataFrame, rows: int) -> tuple[Callable[[Column], Column] | None, DataFrame, int]:
-    """A function that makes the test of a fingerprint column from it; None if the filter is too large to broadcast."""
-    filters, segments = repeated_filter(prints, rows)
-    filters = stored(filters, "bloom")
-    if segments * SEGMENT_BITS // 8 > BROADCAST_BYTES:
-        return None, filters, segments
-    bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for row in filters.toLocalIterator():
-        bits[row.segment] = np.frombuffer(row.bits, np.uint8)
-    sent = prints.sparkSession.sparkContext.broadcast(bits.ravel())  # at most BROADCAST_BYTES
-
-    @F.pandas_udf("boolean")
-    def maybe(col: pd.Series) -> pd.Series:
-        segment, at = positions(col.to_numpy().view(np.uint64), segments)
-        return pd.Series(_test(sent.value, segment, at.astype(np.int64)))
-
-    return maybe, filters, segments
-
-
-def mark_repeated(light: DataFrame, found: tuple, print_col: str = "print", to: str = "maybe_repeated") -> DataFrame:
-    """``light`` with a boolean: false only if no other row has the same fingerprint."""
-    maybe, filters, segments = found
-    names = light.columns
-    if maybe is not None:
-        return light.withColumn(to, maybe(print_col))
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, at = positions(batch[print_col].to_numpy(zero_copy_only=False).view(np.uint64), segments)
-            hit = [bool(_test(np.frombuffer(b, np.uint8), np.zeros(1, np.int64), at[k : k + 1].astype(np.int64))[0]) for k, b in enumerate(batch["bits"].to_pylist())]
-            yield batch.select(names).append_column(to, pa.array(hit, pa.bool_()))
-
-    columns = ", ".join([*[f"`{c}` {t}" for c, t in light.dtypes], f"`{to}` boolean"])
+def with_print(rows: DataFrame, digest: str, n: int, names: tuple[str, str]) -> DataFrame:
+    """``rows`` with the fingerprint of a digest column and the piece of a filter for ``n`` rows that tests it."""
+    segments, a_piece = max(1, -(-n * BITS_PER_ROW // SEGMENT_BITS)), max(1, BROADCAST_BYTES * 8 // SEGMENT_BITS)
+    number, piece = names
     # the segment that positions() takes: the fingerprint's upper 24 bits modulo the number of segments
-    segment = F.shiftrightunsigned(print_col, 40) % F.lit(segments)
-    return light.withColumn("segment", segment).join(filters, "segment").mapInArrow(joined, columns)
-
-
-def digests(df: DataFrame, key: str, text: str) -> DataFrame:
-    sha = F.sha2(squeezed(no_null(text)), 256)
-    return df.select(F.col(key), F.char_length(no_null(text)).alias("n"), sha.alias("text_sha256")).withColumn("print", F.xxhash64("text_sha256"))
+    rows = rows.withColumn(number, F.xxhash64(digest))
+    return rows.withColumn(piece, F.floor(F.shiftrightunsigned(number, 40) % F.lit(segments) / a_piece).cast("int"))
+
+
+def split_repeated(rows: DataFrame, filters: DataFrame, n: int, names: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of with_print() in two: those that no other row has the fingerprint of, and the rest."""
+    spark, (number, piece) = rows.sparkSession, names
+    flag = f"tested {number}"
+    segments, a_piece = max(1, -(-n * BITS_PER_ROW // SEGMENT_BITS)), max(1, BROADCAST_BYTES * 8 // SEGMENT_BITS)
+    pieces = -(-segments // a_piece)
+    if pieces == 1:
+        parts = [(0, rows)]
+    else:
+        path = new_path(spark, "by-piece")
+        rows.write.partitionBy(piece).parquet(path)
+        again = spark.read.schema(rows.schema).parquet(path)
+        parts = [(p, again.where(F.col(piece) == p)) for p in range(pieces)]
+    unique, some = [], []
+    for p, part in parts:
+        first, stop = p * a_piece, min(segments, (p + 1) * a_piece)
+        bits = np.zeros((stop - first, SEGMENT_BITS // 8), np.uint8)
+        for row in filters.where(F.col("segment").between(first, stop - 1)).toLocalIterator():
+            bits[row.segment - first] = np.frombuffer(row.bits, np.uint8)
+        sent = spark.sparkContext.broadcast(bits.ravel())  # at most BROADCAST_BYTES
+
+        @F.pandas_udf("boolean")
+        def maybe(col, sent=sent, first=first):
+            segment, at = positions(col.to_numpy().view(np.uint64), segments)
+            return pd.Series(_test(sent.value, segment - first, at.astype(np.int64)))
+
+        tested = part.withColumn(flag, maybe(number))
+        if pieces > 1:  # one piece of the filter at a time
+            tested = stored(tested, "tested")
+            sent.destroy()
+        unique.append(tested.where(~F.col(flag)).drop(flag, number, piece))
+        some.append(tested.where(F.col(flag)).drop(flag, number, piece))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return union(unique), union(some)
+
+
+def digest(text: str) -> Column:
+    return F.sha2(squeezed(no_null(text)), 256)
+
+
+#: Names of the columns that hold a row's fingerprint and the piece of the filter that tests it.
+LIGHT = ("print", "piece")
 
 
 def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``df``: key, keep_id, group_size, kept, text_sha256."""
-    light = stored(digests(df, key, text), "digests")
-    return _verdicts(light, repeated_test(light.select("print"), light.count()), key)
+    light = stored(df.select(F.col(key), F.char_length(no_null(text)).alias("n"), digest(text).alias("text_sha256")), "digests")
+    unique, some = _split(light)
+    unique = unique.select(key, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    return unique.unionByName(_verdicts(some, key))
+
+
+def _split(light: DataFrame) -> tuple[DataFrame, DataFrame]:
+    n = light.count()
+    rows = with_print(light, "text_sha256", n, LIGHT)
+    return split_repeated(rows, stored(repeated_filter(rows.select(LIGHT[0]), n)[0], "bloom"), n, LIGHT)
 
 
-def _verdicts(light: DataFrame, found: tuple, key: str) -> DataFrame:
-    marked = mark_repeated(light, found)
-    unique = marked.where(~F.col("maybe_repeated")).select(key, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    some = stored(marked.where("maybe_repeated"), "maybe-repeated")
+def _verdicts(some: DataFrame, key: str) -> DataFrame:
+    some = stored(some, "maybe-repeated")
     # most code points, then smallest key; partial sums in each task first, so that a hot text sends few rows
     first = F.min_by(F.col(key), F.struct(-F.col("n"), F.col(key).isNull(), F.col(key)))
     groups = some.groupBy("text_sha256").agg(first.alias("keep_id"), F.count("*").alias("group_size"))
-    again = some.join(groups, "text_sha256").select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return unique.unionByName(again)
+    again = split_join(some, groups, "text_sha256", F.col(key))
+    return again.select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their columns. Unique ones pass straight through; rows with a null key stay."""
-    light = stored(digests(df, key, text), "digests")
-    found = repeated_test(light.select("print"), light.count())
-    dropped = stored(_verdicts(light, found, key).where("NOT kept").select(key), "dropped")
-    if found[0] is None:
-        return df.join(dropped, key, "left_anti")
-    tested = df.withColumn("__maybe", found[0](F.xxhash64(F.sha2(squeezed(no_null(text)), 256))))
-    unique, some = tested.where(~F.col("__maybe")), tested.where("__maybe")
-    return unique.unionByName(some.join(dropped, key, "left_anti")).drop("__maybe").select(*df.columns)
+    """The rows of ``df`` that stay, with their columns. Unique ones pass straight through; rows with a null key stay.
+
+    Rows go if their key and text together were dropped, so a key with several texts loses only the repeated ones.
+    """
+    light = stored(df.select(F.col(key), F.char_length(no_null(text)).alias("n"), digest(text).alias("text_sha256")), "digests")
+    n = light.count()
+    prints = with_print(light, "text_sha256", n, LIGHT)
+    filters = stored(repeated_filter(prints.select(LIGHT[0]), n)[0], "bloom")
+    verdicts = _verdicts(split_repeated(prints, filters, n, LIGHT)[1], key)
+    dropped = stored(verdicts.where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("dropped_key"), F.col("text_sha256").alias("dropped_sha")).distinct(), "dropped")
+    names = [f"{c} of {key} and {text}" for c in ("digest", "print", "piece")]  # names that no table has
+    whole = with_print(df.withColumn(names[0], digest(text)), names[0], n, (names[1], names[2]))
+    unique, some = split_repeated(whole, filters, n, (names[1], names[2]))
+    kept = some.join(dropped, (some[key] == dropped["dropped_key"]) & (some[names[0]] == dropped["dropped_sha"]), "left_anti")
+    return unique.unionByName(kept).select(*df.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 Texts are cut into words: A-Z lower-cased, runs of digits, letters a-z and all characters from U+0080 on. A window is
 ``WINDOW`` consecutive words of a benchmark item; an item with fewer words is one window, an item without words none.
-The windows' vocabulary and hashes go to all tasks in blocks of a checked size (``BLOCK_BYTES`` of benchmark text; more
-than one block means more than one scan; the rows are then written once with an id of their own, by which the spans of
-the scans are united). A task turns each document into vocabulary ids,
-looks up the hash of each run of known words, and compares every hit word by word.
-
-Null and empty texts have no words and no hits. Repeated rows and ties are handled row by row. Items with the same text
-all count. Null item ids are left out of the list of items, but their windows hit.
+Documents are scanned once, whatever the benchmark's size. Up to ``BLOCK_BYTES`` of benchmark text, the windows' words
+and hashes go to all tasks; a task turns each document into word numbers, looks up the hash of each run of known words,
+and compares every hit word by word. Beyond, a bit set of the windows' hashes goes to all tasks (``FILTER_BITS`` at
+most); windows of documents that it lets through are joined with the benchmark's windows by their words, hot ones in
+pieces, and give the same spans and items.
+
+Null and empty texts have no words and no hits; texts of any length are read whole. Repeated rows and ties are handled
+row by row, whatever their keys. Items with the same text all count. Null item ids are left out of the list of items,
+but their windows hit. An empty table gives no rows, an empty benchmark no hits. Columns of other names are left out by
+``find`` and kept by ``drop_contaminated`` and ``remove_spans``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,19 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_list, no_null, sliced, stored, table
+from .common import bytes_list, no_null, sliced, split_join, stored, table, worker_state
 
 WINDOW = 10
-#: Benchmark text that one scan takes; with its windows at most about 60 times as much in a task's memory.
+#: Benchmark text whose windows go to all tasks; with them at most about 60 times as much in a task's memory.
 BLOCK_BYTES = 4 << 20
+#: Bits of the set of window hashes, at most: 64 MB.
+FILTER_BITS = 1 << 29
 #: Lower-cases A-Z and turns every byte that is not in a word into a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SPANS = "array<struct<start:long,stop:long>>"
 #: A row's own id, since keys may be repeated or null.
-ROW = "_row"
+ROW = "row of this scan"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -82,11 +88,20 @@ class Windows:
                     yield n, part[ok], where[ok], items
 
 
-def scan(df: DataFrame, windows: Windows, keys: list[str], text: str) -> DataFrame:
-    """keys, n_words, spans (of words that are hit; merged, in order), items (sorted as strings)."""
+#: Names of what a scan adds to a row.
+FOUND = ("n_words", "spans", "items")
+
+
+def columns_of(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def scan(df: DataFrame, windows: Windows, keep: list[str], text: str, names: tuple[str, str, str] = FOUND) -> DataFrame:
+    """``keep`` and: number of words, spans (of words that are hit; merged, in order), items (sorted as strings)."""
     sent = df.sparkSession.sparkContext.broadcast(windows)  # built from at most BLOCK_BYTES of text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("leaks",))
         found = sent.value
         for batch in sliced(batches, text):
             texts = bytes_list(batch[text])
@@ -97,11 +112,11 @@ def scan(df: DataFrame, windows: Windows, keys: list[str], text: str) -> DataFra
                 bounds.append(len(ids))
             ends = np.array(bounds)
             hit, items = np.zeros(len(ids) + 1, np.int64), {}
-            for n, at, where, names in found.hits(np.array(ids, np.int64)):
+            for n, at, where, owners in found.hits(np.array(ids, np.int64)):
                 np.add.at(hit, at, 1)
                 np.add.at(hit, at + n, -1)
                 for doc, w in {*zip((np.searchsorted(ends, at, "right") - 1).tolist(), where.tolist(), strict=True)}:
-                    items.setdefault(doc, set()).update(names[w])
+                    items.setdefault(doc, set()).update(owners[w])
             inside = (np.cumsum(hit) > 0).astype(np.int8)
             spans = []
             for k in range(len(texts)):
@@ -110,11 +125,11 @@ def scan(df: DataFrame, windows: Windows, keys: list[str], text: str) -> DataFra
                     edge = np.flatnonzero(np.diff(inside[bounds[k] : bounds[k + 1]], prepend=0, append=0)).tolist()
                     mine = [{"start": a, "stop": b} for a, b in zip(edge[::2], edge[1::2])]
                 spans.append(mine)
-            out = [*(batch[k] for k in keys), pa.array([b - a - 1 for a, b in zip(bounds, bounds[1:])], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(items.get(k, ())) for k in range(len(texts))], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out, [*keys, "n_words", "spans", "items"])
+            out = [pa.array([b - a - 1 for a, b in zip(bounds, bounds[1:])], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(items.get(k, ())) for k in range(len(texts))], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), *out], [*keep, *names])
 
-    typed = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-    return df.select(*keys, text).mapInArrow(run, f"{typed}n_words long, spans {SPANS}, items array<string>")
+    kinds = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("long", SPANS, "array<string>"), strict=True))
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{columns_of(df, keep)}, {kinds}")
 
 
 def without(text: bytes, spans: list[dict]) -> str:
@@ -127,61 +142,147 @@ def without(text: bytes, spans: list[dict]) -> str:
     return b"".join([*out, text[at:]]).decode()
 
 
-def blocks(bench: DataFrame, item: str, text: str) -> tuple[int, Iterator[list[tuple[str | None, bytes]]]]:
-    """Number of blocks, and benchmark items in blocks that the driver and each task can hold."""
+_FACTORS = np.random.default_rng(20240301).integers(1, 1 << 62, 64, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def window_numbers(words: list[bytes], n: int) -> np.ndarray:
+    """A 64-bit hash of each run of n words."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    out = np.full(len(h) - n + 1, n, np.uint64)
+    for k in range(n):
+        out += h[k : len(h) - n + 1 + k] * _FACTORS[k % 64]
+        out ^= out >> np.uint64(29)
+    return out * np.uint64(0x9E3779B97F4A7C15)
+
+
+def bit_places(numbers: np.ndarray, bits: int) -> np.ndarray:
+    """Two bits for each hash, in a set of ``bits`` bits, a power of two."""
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+    return np.stack([numbers >> shift, (numbers * np.uint64(0xD6E8FEB86659FD93)) >> shift]).astype(np.int64)
+
+
+class LargeBenchmark:
+    """Windows of a benchmark of any size: a table of them, and a set of bits that tells which words may be one."""
+
+    def __init__(self, bench: DataFrame, item: str, text: str, window: int):
+        spark = bench.sparkSession
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_state(("leaks",))
+            for batch in sliced(batches, "text"):
+                for name, body in zip(batch["item"].to_pylist(), bytes_list(batch["text"]), strict=True):
+                    words = words_of(body)
+                    n = min(window, len(words))
+                    numbers = window_numbers(words, n) if n else []
+                    runs = [b" ".join(words[k : k + n]).decode() for k in range(len(numbers))]
+                    yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(np.array(numbers, np.uint64).view(np.int64)), pa.array([n] * len(runs), pa.int32()), pa.array([name] * len(runs), pa.string())], ["words", "number", "n", "item"])
+
+        plain = bench.select(F.col(item).cast("string").alias("item"), no_null(text).alias("text"))
+        rows = stored(plain.mapInArrow(cut, "words string, number long, n int, item string"), "windows")
+        #: one row for each window: its words and the items that have it
+        self.windows = stored(rows.groupBy("words").agg(F.collect_set("item").alias("names"), F.first("number").alias("number"), F.first("n").alias("n")), "distinct-windows")
+        self.lengths = sorted(r["n"] for r in self.windows.select("n").distinct().collect())  # at most ``window``
+        wanted = 64 * max(1 << 10, self.windows.count())
+        self.bits = bits = min(FILTER_BITS, 1 << (wanted - 1).bit_length())
+        segment = 1 << 16
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(bit_places(batch["number"].to_numpy(zero_copy_only=False).view(np.uint64), bits))
+                yield pa.RecordBatch.from_arrays([pa.array(at // segment), pa.array((at % segment).astype(np.int32))], ["segment", "place"])
+
+        def packed(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = np.zeros(segment, bool)
+            for part in parts:
+                mine[part["place"].to_numpy(zero_copy_only=False)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
+
+        made = self.windows.select("number").mapInArrow(places, "segment long, place int").groupBy("segment").applyInArrow(packed, "segment long, bits binary")
+        whole = np.zeros((max(1, bits // segment), segment // 8), np.uint8)
+        for row in made.toLocalIterator():
+            whole[row.segment] = np.frombuffer(row.bits, np.uint8)
+        self.sent = spark.sparkContext.broadcast(whole.ravel())  # at most FILTER_BITS / 8 bytes
+
+    def candidates(self, df: DataFrame, keep: list[str], text: str) -> DataFrame:
+        """``keep``, ROW, number of words, and those runs of words that may be a window. Written once."""
+        sent, lengths, bits = self.sent, self.lengths, self.bits
+        kind = pa.list_(pa.struct([("at", pa.int64()), ("stop", pa.int64()), ("words", pa.string())]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_state(("leaks",))
+            for batch in sliced(batches, text):
+                counts, seen = [], []
+                for body in bytes_list(batch[text]):
+                    words, mine = words_of(body), []
+                    for n in lengths:
+                        at = bit_places(window_numbers(words, n), bits)
+                        for k in np.flatnonzero((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(0)).tolist():
+                            mine.append({"at": k, "stop": k + n, "words": b" ".join(words[k : k + n]).decode()})
+                    counts.append(len(words))
+                    seen.append(mine)
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in (*keep, ROW)), pa.array(counts, pa.int64()), pa.array(seen, kind)], [*keep, ROW, "n_words", "seen"])
+
+        kinds = columns_of(df, keep) + ", " if keep else ""
+        return stored(df.select(*dict.fromkeys([*keep, ROW, text])).mapInArrow(run, f"{kinds}`{ROW}` long, n_words long, seen array<struct<at:long,stop:long,words:string>>"), "candidates")
+
+    def found(self, seen: DataFrame) -> DataFrame:
+        """ROW, spans and items of the rows with a hit."""
+        runs = stored(seen.where(F.size("seen") > 0).select(ROW, F.explode("seen").alias("s")).select(ROW, "s.at", "s.stop", "s.words"), "runs")
+        hits = stored(split_join(runs, self.windows.select("words", "names"), "words", F.col(ROW)).select(ROW, "at", "stop", "names"), "hits")
+        order = Window.partitionBy(ROW).orderBy("at", "stop")  # the hits of one text
+        before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        parts = hits.select(ROW, "at", "stop").distinct().withColumn("new", F.when(before >= F.col("at"), 0).otherwise(1)).withColumn("part", F.sum("new").over(order))
+        spans = parts.groupBy(ROW, "part").agg(F.min("at").alias("start"), F.max("stop").alias("stop")).groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+        names = hits.select(ROW, F.explode_outer("names").alias("name")).groupBy(ROW).agg(F.array_sort(F.collect_set("name")).alias("items"))
+        return stored(spans.join(names, ROW), "found")
+
+
+def small(bench: DataFrame, item: str, text: str, window: int) -> Windows | None:
+    """The windows of a benchmark that is small enough for every task, else none."""
     sized = bench.select(F.col(item).cast("string").alias("item"), no_null(text).alias("text"))
-    total = sized.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = -(-total // BLOCK_BYTES) if total > BLOCK_BYTES else 1
-    parts = (sized if n == 1 else sized.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n))
-    return n, ([(r["item"], r["text"].encode()) for r in part.toLocalIterator()] for part in parts)
+    total = sized.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
+    return Windows([(r["item"], r["text"].encode()) for r in sized.collect()], window) if total <= BLOCK_BYTES else None
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """The rows with ids of their own, written so that all scans see the same ids."""
-    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
-def united(df: DataFrame, n: int, found: Iterator[list[tuple[str | None, bytes]]], keys: list[str], text: str, window: int) -> DataFrame:
-    """keys, n_words, spans, items of each row; ``keys`` has ROW if there are several blocks."""
-    rows = scan(df, Windows(next(found), window), keys, text)
-    if n == 1:
-        return rows
-    for block in found:
-        rows = rows.unionByName(scan(df, Windows(block, window), keys, text).where(F.size("spans") > 0))
-    # spans of several scans of a row: sort, then join those that overlap or touch; a row has one list for each block at most
-    merge = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.array().cast(SPANS),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(done, F.array(s))),
-    )
-    kept = [F.first(k).alias(k) for k in keys if k != ROW]
-    return rows.groupBy(ROW).agg(*kept, F.first("n_words").alias("n_words"), merge.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    """The rows with ids of their own, since keys may be repeated or null."""
+    return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def find(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """key, n_words, spans, items of each row."""
-    n, found = blocks(bench, item, item_text)
-    if n == 1:
-        return united(df, n, found, [key], text, window)
-    return united(numbered(df.select(key, text)), n, found, [ROW, key], text, window).drop(ROW)
-
-
-def hit_rows(rows: DataFrame, bench: DataFrame, text: str) -> DataFrame:
-    """ROW and spans of the numbered rows with a hit."""
-    return stored(united(rows, *blocks(bench, "item_id", "text"), [ROW], text, WINDOW).where(F.size("spans") > 0).select(ROW, "spans"), "hits")
-
-
-def drop_contaminated(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    windows = small(bench, item, item_text, window)
+    if windows is not None:
+        return scan(df, windows, [key], text)
+    large = LargeBenchmark(bench, item, item_text, window)
+    seen = large.candidates(numbered(df.select(key, text)), [key], text)
+    rows = seen.select(ROW, key, "n_words").join(large.found(seen), ROW, "left")
+    return rows.select(key, "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def with_spans(df: DataFrame, bench: DataFrame, text: str, item: str, item_text: str) -> tuple[DataFrame, str]:
+    """All columns of ``df`` and the spans that are hit (null or empty: none), under a name that no column has."""
+    windows, names = small(bench, item, item_text, WINDOW), tuple(f"{n} of {text}" for n in FOUND)
+    if windows is not None:
+        return scan(df, windows, df.columns, text, names), names[1]
+    large = LargeBenchmark(bench, item, item_text, WINDOW)
+    rows = stored(numbered(df), "numbered")  # written, so that both reads see the same row ids
+    return rows.join(large.found(large.candidates(rows, [], text)).select(ROW, F.col("spans").alias(names[1])), ROW, "left"), names[1]
+
+
+def drop_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``df`` without a hit, with their columns, whatever their keys."""
-    rows = numbered(df)
-    return rows.join(hit_rows(rows, bench, text), ROW, "left_anti").select(*df.columns)
+    rows, spans = with_spans(df, bench, text, item, item_text)
+    return rows.where(F.coalesce(F.size(spans), F.lit(0)) <= 0).select(*df.columns)
 
 
-def remove_spans(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows of ``df``, with hit words cut out of the text: the spans of all blocks, found on the text as it was."""
-    rows = numbered(df)
-    cut = F.udf(lambda t, spans: without(t.encode(), spans) if spans else t, "string")
-    return rows.join(hit_rows(rows, bench, text), ROW, "left").withColumn(text, cut(text, "spans")).select(*df.columns)
+def remove_spans(df: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """All rows of ``df``, with hit words cut out of the text: all spans, found on the text as it was."""
+    rows, spans = with_spans(df, bench, text, item, item_text)
+    cut = F.udf(lambda t, found: without(t.encode(), found) if found else t, "string")
+    return rows.withColumn(text, cut(text, F.col(spans))).select(*df.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,19 @@ probability 2^-BITS, so the estimate from bit counts is corrected for it; pairs
 ``DEVIATIONS`` standard deviations below the threshold are let go. Every other link is confirmed on the full sets.
 
 No group's pairs are written out. In each band group a member chosen by hash is the leader; each document is compared
-with its leaders, the best estimate first, and components are formed. Only members of one band group that are then still
-in different components are compared with each other, in blocks; for a group whose copies its leaders connect that is
-nothing, however large it is. So every candidate pair is either let go by its estimate, compared on full sets, or its
-two documents are already connected: no cap, no sampling.
+with its leaders, the best estimate first, and components are formed. Only where members of one band group are then still
+in different components, those outside of the group's largest component are compared with all the others, in blocks, and
+never two of the largest component with each other; for a group whose copies its leaders connect that is nothing, however
+large it is. Blocks are dealt twice: first signatures alone (64 bytes a member), which tell who has a promising partner,
+then the full sets of those. So every candidate pair is either let go by its estimate, compared on full sets, or its two
+documents are already connected: no cap, no sampling. Joins on leaders and labels, which a large group has in common,
+are cut into pieces.
 
 Null, empty and blank texts have an empty set and link with nothing. Texts with fewer words than a shingle have the
-whole word sequence as their one shingle. Ids are expected to be unique; rows that repeat an id count as one document.
+whole word sequence as their one shingle; texts of any length are cut whole. Keys are whole numbers (others raise
+TypeError). Rows that share a key take the smallest of their texts' components, and stay or go together; of several texts
+that no smaller key has, the one whose set has the smallest digest is compared for them. An empty table gives no rows.
+Columns of other names are left out by ``near_duplicates`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_list, discard, sliced, stored, stored_at, table
+from .common import bytes_list, discard, hot_keys, sliced, split_join, stored, stored_at, table, worker_state
 
 HASHES, BITS, BANDS, ROWS = 128, 4, 40, 5
 #: The chance to lose a link at the threshold itself: (1 - 0.8^5)^40 = 1e-7 for the bands, 1e-9 for the estimate.
@@ -79,6 +85,7 @@ def sketch(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
     lanes = 64 // BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("sketch",))
         shift = (np.arange(lanes, dtype=np.uint64) * np.uint64(BITS))[None, :]
         for batch in sliced(batches, text):
             sets = [shingles(t, size) for t in bytes_list(batch[text])]
@@ -95,7 +102,7 @@ def sketch(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch[key], pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([content_of(s) for s in sets], pa.binary()),
                     pa.array(pick(sig), pa.list_(pa.int64())), pa.array(pick(bands), pa.list_(pa.int64())),
                 ],
                 [key, "n_shingles", "content", "sig", "bands"],
@@ -104,12 +111,22 @@ def sketch(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"`{key}` long, n_shingles long, content binary, sig array<long>, bands array<long>")
 
 
-def full_sets(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
+def content_of(shingle_set: np.ndarray) -> bytes | None:
+    """16 bytes that tell a set; none for the empty one."""
+    return xxhash.xxh3_128_digest(shingle_set.tobytes()) if len(shingle_set) else None
+
+
+def full_sets(rows: DataFrame, size: int) -> DataFrame:
+    """rows: id, content, text. (id, set) of the rows whose text has that content."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array([shingles(t, size).view(np.int64) for t in bytes_list(batch[text])], pa.list_(pa.int64()))], ["id", "set"])
+        worker_state(("sets",))
+        for batch in sliced(batches, "text"):
+            sets = [shingles(t, size) for t in bytes_list(batch["text"])]
+            right = [k for k, c in enumerate(batch["content"].to_pylist()) if content_of(sets[k]) == c]
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(right, pa.int64())), pa.array([sets[k].view(np.int64) for k in right], pa.list_(pa.int64()))], ["id", "set"])
 
-    return df.select(key, text).mapInArrow(run, "id long, set array<long>")
+    return rows.select("id", "content", "text").mapInArrow(run, "id long, set array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -137,16 +154,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     spark = edges.sparkSession
     both, both_at = stored_at(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(b, a)).where("a <> b").distinct(), "edges")
+    hubs = hot_keys(both.select(F.col("b").alias("id")), "id").collect()  # at most MOST_HOT
     labels, at = stored_at(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         # an id's label spreads to its neighbours; partial minima in each task, so that a hub sends few rows
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("least"))
+        near = split_join(both.withColumnRenamed("b", "id"), labels, "id", F.col("a"), hot=hubs).groupBy("a").agg(F.min("component").alias("least"))
         reached = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "least").alias("to"), F.col("component").alias("was"))
         reached, reached_at = stored_at(reached, "labels")
-        jump = reached.select(F.col("id").alias("j"), F.col("to").alias("jump"))
+        jump = reached.select(F.col("id").alias("to"), F.col("to").alias("jump"))
         # the label's old holder learns too: the component it named is joined to the new one
         hook = reached.where("to < was").groupBy(F.col("was").alias("h")).agg(F.min("to").alias("hook"))
-        new = reached.join(jump, reached["to"] == jump["j"], "left").join(hook, reached["id"] == hook["h"], "left")
+        new = split_join(reached, jump, "to", F.col("id"), "left").join(hook, F.col("id") == hook["h"], "left")
         new = new.select("id", F.least("to", F.coalesce("jump", "to"), F.coalesce("hook", "to")).alias("component"), "was")
         fresh, fresh_at = stored_at(new, "labels")
         changed = fresh.where("component <> was").limit(1).count()
@@ -158,50 +176,113 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _sets_of(ids: DataFrame, df: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """Full sets of the documents of ``ids``: texts are read again, only those wanted are cut into shingles."""
-    wanted = stored(ids, "wanted")
-    few = wanted.withColumnRenamed("id", key)
-    rows = df.select(key, text).join(F.broadcast(few) if wanted.count() <= BROADCAST_IDS else few, key, "left_semi")
-    return full_sets(rows, size, key, text).dropDuplicates(["id"])
-
-
-def _links(pairs: DataFrame, df: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets, sets_at = stored_at(_sets_of(ids, df, size, key, text), "sets")
-    x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    ok = 100 * common >= percent * (F.size("x") + F.size("y") - common)
-    found = stored(pairs.join(x, "a").join(y, "b").where(ok).select("a", "b"), "links")
-    discard(df.sparkSession, sets_at)
-    return found
+class Corpus:
+    """The input, and one row (id, content, sig, bands) for each document with a set of its own."""
+
+    def __init__(self, df: DataFrame, docs: DataFrame, size: int, percent: int, key: str, text: str):
+        self.df, self.docs, self.size, self.percent, self.key, self.text = df, docs, size, percent, key, text
+        share = percent / 100
+        #: Corrected estimates below this are let go.
+        self.least = share - DEVIATIONS * (share * (1 - share) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
+
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """Full sets of the documents of ``ids``: texts are read again, only those wanted are cut into shingles."""
+        wanted = stored(ids.join(self.docs.select("id", "content"), "id"), "wanted")
+        few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        rows = self.df.select(F.col(self.key).cast("long").alias("id"), F.col(self.text).alias("text")).join(few, "id")
+        return full_sets(rows, self.size).dropDuplicates(["id"])
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets are similar enough."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets, sets_at = stored_at(self.sets_of(ids), "sets")
+        x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+        common = F.size(F.array_intersect("x", "y"))
+        ok = 100 * common >= self.percent * (F.size("x") + F.size("y") - common)
+        # a leader (b) may have very many pairs
+        found = stored(split_join(pairs, y, "b", F.col("a")).join(x, "a").where(ok).select("a", "b"), "links")
+        discard(self.df.sparkSession, sets_at)
+        return found
+
+    def promising(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose estimate is near enough, with it."""
+        sigs = self.docs.select("id", "sig")
+        a, b = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+        return split_join(pairs, b, "b", F.col("a")).join(a, "a").withColumn("est", estimate(F.col("x"), F.col("y"))).where(F.col("est") >= self.least).select("a", "b", "est")
 
 
-def _inside_links(inside: DataFrame, docs: DataFrame, df: DataFrame, size: int, percent: int, least: float, key: str, text: str) -> DataFrame:
-    """Links between different components within band groups.
+def _pairs_of(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of members dealt to one task: each one's number and those of its promising partners after it, the best first.
 
-    A group is cut into blocks of about BLOCK members, and a task gets two blocks at a time. There, estimates of all
-    pairs come from bit counts; promising pairs, the best first, are confirmed on full sets unless the links found
-    before connect them already. A pair that shares several bands is looked at in the first of them only. What comes
-    out is at most one link less than there are components in the two blocks.
+    Partners are in another component and, if the task has two blocks, in the other block; of the bands that the two
+    share, this is the first.
+    """
+    n = group.num_rows
+    matrix = lambda c: np.array(group[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(n, -1)
+    label, block, shingles_of = (group[c].to_numpy() for c in ("c", "block", "n"))
+    sig, bands, band = matrix("sig").view(np.uint64), matrix("bands"), group["band"][0].as_py()
+    two, ratio, ones = len(np.unique(block)) > 1, group["percent"][0].as_py(), np.uint64(sum(1 << k for k in range(0, 64, BITS)))
+    if group["i"][0].as_py() != group["j"][0].as_py() and not two:
+        return
+    for k in range(n):
+        later = np.arange(k + 1, n)
+        later = later[(label[later] != label[k]) & (100 * np.minimum(shingles_of[later], shingles_of[k]) >= ratio * np.maximum(shingles_of[later], shingles_of[k]))]
+        if two:
+            later = later[block[later] != block[k]]
+        if not len(later):
+            continue
+        x = sig[later] ^ sig[k]
+        for step in (1 << s for s in range(BITS.bit_length() - 1)):
+            x |= x >> np.uint64(step)
+        equal = 1 - np.bitwise_count(x & ones).sum(1) / HASHES
+        est = (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
+        later, est = later[est >= least], est[est >= least]
+        if len(later):
+            first = bands[k][(bands[later] == bands[k]).argmax(1)] == band
+            if first.any():
+                yield k, later[first][np.argsort(-est[first], kind="stable")]
+
+
+def _inside_links(member: DataFrame, corpus: Corpus) -> DataFrame:
+    """Links between different components within band groups. member: band, a (document), c (its component).
+
+    A group's members outside of its largest component, and those inside, are cut into blocks of about BLOCK members;
+    a task gets two blocks of outsiders, or one of each kind. Promising pairs, the best first, are confirmed on full
+    sets unless the links found before connect them already. What comes out is at most one link less than there are
+    components in the two blocks.
     """
-    ids = inside.select(F.col("a").alias("id")).distinct()
-    sets, _ = stored_at(_sets_of(ids, df, size, key, text), "sets")
-    rows = inside.join(docs.withColumnRenamed("id", "a"), "a").join(sets.withColumnRenamed("id", "a"), "a")
-    own = F.pmod(F.xxhash64("a", "band"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    sizes = member.groupBy("band", "c").count()
+    groups = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.sum("count").alias("m"), F.max(F.struct("count", "c")).alias("top")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    groups = groups.select("band", F.col("top.c").alias("main"), blocks(F.col("m") - F.col("top.count")).alias("outer"), blocks(F.col("top.count")).alias("inner"))
+    signs = corpus.docs.select(F.col("id").alias("a"), "sig", "bands", "n")
+    rows = split_join(member, groups, "band", F.col("a")).join(signs, "a").withColumn("percent", F.lit(corpus.percent))
+    rows = rows.withColumn("block", F.when(F.col("c") == F.col("main"), -1 - F.pmod(F.xxhash64("a", "band"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("a", "band"), F.col("outer"))).cast("int"))
+    # outsiders meet all blocks, those of the largest component (numbers below 0) only outsiders
+    others = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(-F.col("inner"), F.col("outer") - 1))
+    rows = rows.withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "outer", "inner", "main")
+    least = corpus.least
+
+    def partners(group: pa.Table) -> pa.Table:
+        """The members that have a promising partner here."""
+        worker_state(("blocks",))
+        some = np.zeros(group.num_rows, bool)
+        for k, later in _pairs_of(group, least):
+            some[k] = some[later] = True
+        return group.select(["band", "i", "j", "block", "a", "c", "n", "percent", "sig", "bands"]).filter(pa.array(some))
+
+    kinds = "band long, i int, j int, block int, a long, c long, n long, percent int, sig array<long>, bands array<long>"
+    rows = stored(rows.select([x.split()[0] for x in kinds.split(", ")]).groupBy("band", "i", "j").applyInArrow(partners, kinds), "partners")
+    if rows.isEmpty():
+        return rows.select("a", F.col("a").alias("b"))
+    sets, sets_at = stored_at(corpus.sets_of(rows.select(F.col("a").alias("id")).distinct()), "sets")
+    ratio = corpus.percent
 
     def confirm(group: pa.Table) -> pa.Table:
-        n = group.num_rows
-        matrix = lambda c: np.array(group[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(n, -1)
-        names, label, own = (group[c].to_numpy() for c in ("a", "c", "own"))
-        sig, bands, band, i, j = matrix("sig").view(np.uint64), matrix("bands"), group["band"][0].as_py(), group["i"][0].as_py(), group["j"][0].as_py()
+        worker_state(("blocks",))
+        names, label = group["a"].to_numpy(), group["c"].to_numpy()
         parts = group["set"].combine_chunks()
-        starts = parts.offsets.to_numpy()
-        values = parts.values.to_numpy(zero_copy_only=False)
-        sizes = np.diff(starts)
+        starts, values = parts.offsets.to_numpy(), parts.values.to_numpy(zero_copy_only=False)
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -210,89 +291,73 @@ def _inside_links(inside: DataFrame, docs: DataFrame, df: DataFrame, size: int,
             return x
 
         out = []
-        ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
-        for k in range(n):
-            later = np.arange(k + 1, n)
-            later = later[(label[later] != label[k]) & (10000 * np.minimum(sizes[later], sizes[k]) >= 100 * percent * np.maximum(sizes[later], sizes[k]))]
-            if i != j:
-                later = later[own[later] != own[k]]
-            if not len(later):
-                continue
-            x = sig[later] ^ sig[k]
-            for step in (1 << s for s in range(BITS.bit_length() - 1)):
-                x |= x >> np.uint64(step)
-            equal = 1 - np.bitwise_count(x & ones).sum(1) / HASHES
-            est = (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
-            later, est = later[est >= least], est[est >= least]
-            if not len(later):
-                continue
-            shared = bands[later] == bands[k]
-            first = bands[k][shared.argmax(1)] == band
-            for y in later[first][np.argsort(-est[first], kind="stable")].tolist():
+        for k, later in _pairs_of(group, least):
+            for y in later.tolist():
                 a, b = top(int(label[k])), top(int(label[y]))
                 if a == b:
                     continue
-                common = len(np.intersect1d(values[starts[k] : starts[k + 1]], values[starts[y] : starts[y + 1]], assume_unique=True))
-                if 100 * common >= percent * (int(sizes[k]) + int(sizes[y]) - common):
+                x, z = values[starts[k] : starts[k + 1]], values[starts[y] : starts[y + 1]]
+                common = len(np.intersect1d(x, z, assume_unique=True))
+                if 100 * common >= ratio * (len(x) + len(z) - common):
                     root[max(a, b)] = min(a, b)
                     out.append((names[k], names[y]))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    columns = rows.select("band", "i", "j", "own", "a", "c", "sig", "bands", "set")
-    return stored(columns.groupBy("band", "i", "j").applyInArrow(confirm, "a long, b long").distinct(), "inside-links")
+    found = rows.join(sets.withColumnRenamed("id", "a"), "a").groupBy("band", "i", "j").applyInArrow(confirm, "a long, b long").distinct()
+    found = stored(found, "inside-links")
+    discard(corpus.df.sparkSession, sets_at)
+    return found
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept of each row. Rows with a null key have themselves as component (null, kept)."""
     spark = df.sparkSession
+    if df.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a column of whole numbers")
     rows, _ = stored_at(sketch(df.withColumn(key, F.col(key).cast("long")), size, key, text), "sketch")
     named = rows.where(F.col("content").isNotNull() & F.col(key).isNotNull())
-    # one document for each set
+    # one document for each set, and one set for each document
     firsts = stored(named.groupBy("content").agg(F.min(key).alias("id")), "firsts")
-    docs = named.join(firsts, (named["content"] == firsts["content"]) & (named[key] == firsts["id"])).select("id", "sig", "bands").dropDuplicates(["id"])
+    chosen = firsts.groupBy("id").agg(F.min("content").alias("content"))
+    docs = named.select(F.col(key).alias("id"), "content", F.col("n_shingles").alias("n"), "sig", "bands").join(chosen, ["id", "content"], "left_semi").dropDuplicates(["id"])
     docs, docs_at = stored_at(docs, "distinct")
-    sigs = docs.select("id", "sig")
-    least = percent / 100
-    least -= DEVIATIONS * (least * (1 - least) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        a, b = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
-        return pairs.join(a, "a").join(b, "b").withColumn("est", estimate(F.col("x"), F.col("y"))).where(F.col("est") >= least).select("a", "b", "est")
+    corpus = Corpus(df, docs, size, percent, key, text)
 
     keys = docs.select("id", F.explode("bands").alias("band"))
     leaders = keys.groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band")).alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
     grouped, grouped_at = stored_at(keys.join(leaders, "band").select("band", F.col("id").alias("a"), "b"), "bands")
-    stars = stored(promising(grouped.where("a <> b").select("a", "b").distinct()), "stars")
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-    links = _links(best, df, size, percent, key, text)
+    stars = stored(corpus.promising(stored(grouped.where("a <> b").select("a", "b").distinct(), "star-pairs")), "stars")
+    best = stored(stars.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b")), "best")
+    links = corpus.links(best)
     labels = components(links)
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         la, lb = labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        return split_join(pairs, lb, "b", F.col("a"), "left").join(la, "a", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     # the other leaders of documents that their best leader did not connect
-    more = stored(apart(stars.join(best, ["a", "b"], "left_anti"), labels), "more")
+    more = stored(apart(stored(stars.join(best, ["a", "b"], "left_anti"), "other-stars"), labels), "more")
     if not more.isEmpty():
-        links = links.unionByName(_links(more, df, size, percent, key, text))
+        links = links.unionByName(corpus.links(more))
         labels = components(links)
     # members of one band group that are still in different components
     of = labels.select(F.col("id").alias("a"), "component")
     member = stored(grouped.join(of, "a", "left").select("band", "a", F.coalesce("component", "a").alias("c")), "members")
-    mixed = member.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    inside = stored(member.join(mixed, "band"), "mixed")
-    if not inside.isEmpty():
-        rest = _inside_links(inside, docs, df, size, percent, least, key, text)
-        if not rest.isEmpty():
-            links = links.unionByName(rest)
-            labels = components(links)
+    rest = _inside_links(member, corpus)
+    if not rest.isEmpty():
+        links = links.unionByName(rest)
+        labels = components(links)
     discard(spark, grouped_at)
     discard(spark, docs_at)
     # every document takes the component of its set's first document
     classes = firsts.join(labels, "id", "left").select("content", F.coalesce("component", "id").alias("component_id"))
-    got = rows.select(key, "n_shingles", "content").join(classes, "content", "left")
-    component = F.coalesce("component_id", key)
-    return got.select(key, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col(key)).alias("kept"))
+    got = split_join(named.select(key, "n_shingles", "content"), classes, "content", F.col(key)).select(key, "n_shingles", "component_id")
+    got = got.unionByName(rows.where(F.col("content").isNull() | F.col(key).isNull()).select(key, "n_shingles", F.col(key).alias("component_id")))
+    several = stored(named.groupBy(key).agg(F.count_distinct("content").alias("texts")).where("texts > 1").select(key), "several-texts")
+    if not several.isEmpty():
+        own = got.join(several, key, "left_semi").groupBy(key).agg(F.min("component_id").alias("own"))
+        got = got.join(own, key, "left").select(key, "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
+    return got.select(key, "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col(key)).alias("kept"))
 
 
 def keep_first(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -46,18 +46,40 @@ def test_exact(spark):
 
 
 def test_exact_beyond_the_broadcast_bound(spark, monkeypatch):
-    rows = corpus()
-    want = {tuple(r) for r in exact.exact_duplicates(frame(spark, rows)).collect()}
-    monkeypatch.setattr(exact, "BROADCAST_BYTES", 0)
-    assert {tuple(r) for r in exact.exact_duplicates(frame(spark, rows)).collect()} == want
-    assert exact.keep_first(frame(spark, rows)).count() == len({r[1] for r in want})
+    """Pieces of 8 KB: unique rows still pass straight through."""
+    rows = corpus(n=400)
+    want = sorted(map(tuple, exact.exact_duplicates(frame(spark, rows)).collect()))
+    stay = sorted(map(tuple, exact.keep_first(frame(spark, rows)).collect()), key=repr)
+    monkeypatch.setattr(exact, "BROADCAST_BYTES", 1 << 13)
+    monkeypatch.setattr(exact, "BITS_PER_ROW", 1 << 10)
+    light = exact.exact_duplicates(frame(spark, rows))
+    assert sorted(map(tuple, light.collect())) == want
+    shuffled, real = [], exact._verdicts
+    monkeypatch.setattr(exact, "_verdicts", lambda some, key: shuffled.append({r[key] for r in some.collect()}) or real(some, key))
+    assert sorted(map(tuple, exact.keep_first(frame(spark, rows)).collect()), key=repr) == stay
+    size = {r[0]: r[2] for r in want}
+    assert {i for i, n in size.items() if n > 1} <= shuffled[0] and len([i for i in shuffled[0] if size[i] == 1]) <= 5
+
+
+def test_exact_row_by_row(spark, monkeypatch):
+    """Repeated and null keys, clashing names, and a text that is cut into pieces."""
+    monkeypatch.setattr("siftlake.llm.common.HOT_ROWS", 3)
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (2, "ab"), (3, "c d"), (3, "c"), (None, "c"), (None, "zz"), (None, None)] + [(k, "hot") for k in range(10, 30)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, maybe int, print int, n int").repartition(3)
+    got = sorted((tuple(r)[:4] for r in exact.exact_duplicates(df).collect()), key=repr)
+    want = [(1, 1, 3, True), (1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False), (3, 3, 1, True), (3, 1, 3, False), (None, 1, 3, False), (None, None, 1, True), (None, None, 1, True)]
+    assert got == sorted(want + [(k, 10, 20, k == 10) for k in range(10, 30)], key=repr)
+    kept = exact.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=repr) == sorted([(1, "a b"), (1, "a b"), (1, "c"), (3, "c d"), (None, "c"), (None, "zz"), (None, None), (10, "hot")], key=repr)
 
 
 def test_bloom_has_no_misses(spark):
     prints = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 3000)
-    df = spark.createDataFrame([(int(x),) for x in [*prints, *prints[:50], *prints[:5]]], "print long").repartition(4)
-    hit = {r[0] for r in exact.mark_repeated(df, exact.repeated_test(df, 3055)).where("maybe_repeated").collect()}
-    assert {int(x) for x in prints[:50]} <= hit and len(hit) < 400
+    df = spark.createDataFrame([(str(x),) for x in [*prints, *prints[:50], *prints[:5]]], "sha string").repartition(4)
+    unique, some = exact._split(df.withColumnRenamed("sha", "text_sha256"))
+    hit = {r[0] for r in some.collect()}
+    assert {str(x) for x in prints[:50]} <= hit and len(hit) < 400 and unique.count() + some.count() == 3055
 
 
 def word_sets(rows, size):
@@ -84,10 +106,50 @@ def test_near(spark, monkeypatch, size, block):
     assert got == {i: (len(s), top(i), top(i) == i) for i, s in sets.items()}
 
 
-def test_near_empty_and_null_keys(spark):
+def test_near_large_groups(spark, monkeypatch):
+    """A group of near copies that outnumbers a block, outsiders beside it, and leaders cut into pieces."""
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr("siftlake.llm.common.HOT_ROWS", 20)
+    rng = random.Random(11)
+    base = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(100)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2, 5, 6])):
+            words[rng.randrange(100)] = f"x{rng.randrange(1000)}"
+        rows.append((k, " ".join(words), "s", k, "x"))
+    sets, root = word_sets(rows, 4), {}
+    top = lambda x: x if root.get(x, x) == x else top(root[x])
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    want = {i: top(i) for i in sets}
+    assert 5 < len(set(want.values())) < 120
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(frame(spark, rows), 4, 80).collect()} == want
+
+
+def test_near_recall_on_the_test_tables(spark):
+    """Links of the rows whose id is divisible by 100, against all rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = word_sets(rows, 4)
+    of = {r.doc_id: r.component_id for r in near.near_duplicates(docs, 4, 80).collect()}
+    linked = [(a, b) for a in sets if a % 100 == 0 and sets[a] for b in sets if b != a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert linked and all(of[a] == of[b] for a, b in linked)
+
+
+def test_near_empty_null_and_repeated_keys(spark):
     assert near.near_duplicates(frame(spark, corpus()).limit(0)).count() == 0
     rows = [(None, "a b c d e f", "s", 1, "x"), (2, "a b c d e f", "s", 1, "x"), (3, None, "s", 1, "x")]
     assert near.keep_first(frame(spark, rows)).count() == 3
+    # key 5 has two texts, one of them a copy of key 4's; both rows of 5 go with it
+    rows = [(4, "a b c d e f", "s", 1, "x"), (5, "a b c d e f", "s", 1, "x"), (5, "g h i j k l", "s", 1, "x"), (6, "m n o p q r", "s", 1, "x"), (6, "m n o p q r", "s", 1, "x")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(4, 4, True), (5, 4, False), (5, 4, False), (6, 6, True), (6, 6, True)]
+    with pytest.raises(TypeError):
+        near.near_duplicates(frame(spark, rows), key="source")
 
 
 def test_components(spark):
@@ -165,6 +227,25 @@ def test_leaks_empty(spark):
     assert leaks.find(frame(spark, corpus()), bench).where(F.size("spans") > 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [4 << 20, 100])
+def test_leaks_query_and_clashing_names(spark, monkeypatch, tmp_path, block):
+    """The query's own columns, and columns called like the scan's."""
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", block)
+    monkeypatch.setattr("siftlake.llm.common.HOT_ROWS", 2)
+    items, hot = benchmark_rows()[:2] + [(7, "...")], benchmark_rows()[1][1]
+    rows = [(k, f"aa {hot} bb" if k % 2 else "aa bb", 7, "s", "c") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words long, spans string, cleaned string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in leaks.op9_decontamination(spark, str(tmp_path)).collect())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == [(k, 14, 12, 1, sha("1"), True) if k % 2 else (k, 2, 0, 0, sha(""), False) for k in range(20)]
+    cleaned = leaks.remove_spans(df, bench)
+    assert cleaned.columns == df.columns and sorted(r.text for r in cleaned.collect()) == ["aa  bb"] * 10 + ["aa bb"] * 10
+    assert leaks.drop_contaminated(df, bench).columns == df.columns and leaks.drop_contaminated(df, bench).count() == 10
+
+
 @pytest.mark.parametrize("n", [1, 5, 8])
 def test_shards(spark, n):
     # without the giant text: a row that weighs more than a shard leaves others empty
