@@ -5,11 +5,12 @@ and text) is rendered once as the prompt; what follows in each is its completion
 completion whether it is trained on: text and end mark of assistant turns are (1), everything else is not (0), written
 as ``flag:characters`` in order, comma-joined.
 
-A turn is rendered as ``<|role|>`` newline, text, ``<|end|>`` newline; ``<|`` inside a text is written ``< |``, so no
-text can forge a mark. Null roles are "unknown", null texts empty. Rows that repeat a turn exactly count once; different
+A turn is rendered as ``<|role|>`` newline, text, ``<|end|>`` newline; ``<|`` inside a text or role is written ``< |``,
+``|>`` inside a role ``| >`` and a line break there a space, so neither can forge a mark. Null roles are "unknown", null texts empty. Rows that repeat a turn exactly count once; different
 rows of one turn are rendered one after the other by role and text. Rows without a conversation id or turn belong to no
 pair. A conversation without its partner has an empty prompt and an empty other side. Equal conversations have all of
-their turns in the prompt and empty completions. An empty table gives no rows.
+their turns in the prompt and empty completions. Texts of any length are rendered whole; the turns of a pair, which its row of
+the result holds in any case, come together in one row. Columns of other names are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def rendered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """(conv, turn, body, mask) with one row for each turn."""
     plain = turns.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"),
-        F.coalesce(role, F.lit("unknown")).alias("role"), F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
+        F.replace(F.replace(F.replace(F.coalesce(role, F.lit("unknown")), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), F.lit("\n"), F.lit(" ")).alias("role"), F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
     head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))
     body = F.concat(F.col("text"), F.lit("<|end|>\n"))
@@ -68,7 +69,7 @@ def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) form pair k."""
     turns = table(spark, sf_dir, "conversations")
     said = rendered(turns)
-    return _paired(said.select("*", F.floor(F.col("conv") / 2).alias("pair_id"), (F.col("conv") % 2 == 0).alias("chosen")))
+    return _paired(said.select("*", F.shiftright("conv", 1).alias("pair_id"), (F.col("conv") % 2 == 0).alias("chosen")))
 
 
 OP8_SQL = r"""

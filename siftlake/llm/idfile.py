@@ -12,8 +12,9 @@ One file holds the ids of a run of documents in ascending key order. Layout, all
 offsets give any range of ids without reading the rest. Writers keep one block in memory. A file is written under a
 name of its own and then renamed, so a task that is run again replaces it whole.
 
-Null texts are empty: they get the end id alone. Null keys sort first. Rows with the same key are ordered by their text.
-An empty table gives no files and no rows.
+Null texts are empty: they get the end id alone. Null keys sort first. Rows with the same key are ordered by their text;
+rows that repeat both are written one by one. Keys are whole numbers (others fail the cast). Texts of any length are
+encoded whole, in blocks. Columns of other names are left out. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations

@@ -8,9 +8,10 @@ host's prior leans on its domain's, and that on the whole table's, the more the
 page's own share is taken out of its host's counts first.
 
 Text is what stands outside of tags, scripts, styles, comments and navigation. A long text is not surer than
-``TRUSTED`` n-grams. Null or empty pages have no text evidence and no declaration; null addresses have the host "" and
+``TRUSTED`` n-grams; pages of any length are read whole. Null or empty pages have no text evidence and no declaration; null addresses have the host "" and
 so share a prior; both still get a row. Ties go to the first language in alphabetical order. Repeated rows are scored
-one by one. Without any labelled document there is no language to choose, and language and posterior are null.
+one by one. Columns of other names are left out. Labels that are no language codes (``CODE``) count as no label. Hosts,
+domains, suffixes and declared languages that very many pages share are joined in pieces. Without any labelled document there is no language to choose, and language and posterior are null.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import no_null, sliced, stored, table, text_list
+from .common import hot_keys, no_null, sliced, split_join, stored, table, text_list, worker_state
 
 BUCKETS, LENGTHS = 1 << 15, (1, 2, 3)
 SMOOTH, LEAN, TRUSTED = 0.5, 8.0, 60
 #: Labels that are taken as languages at most; more would not be languages. The rest is an error, not a cut.
 MOST_LANGUAGES = 400
+#: What a label must look like to be a language: a code of two or three letters, with parts for script or region.
+CODE = "^[A-Za-z]{2,3}([-_][A-Za-z0-9]{2,8})*$"
 _HIDDEN = re.compile(r"<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
 
@@ -58,6 +61,7 @@ def text_model(documents: DataFrame, lang: str = "lang", text: str = "text") ->
     """Languages and log probabilities (language x bucket) from all labelled documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("language",))
         sums: dict[str, np.ndarray] = {}
         for batch in sliced(batches, text):
             joined: dict[str, list[str]] = {}
@@ -69,7 +73,7 @@ def text_model(documents: DataFrame, lang: str = "lang", text: str = "text") ->
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    rows = documents.where(F.col(lang).isNotNull()).select(lang, text).mapInArrow(count, "lang string, bucket int, n long")
+    rows = documents.where(F.col(lang).rlike(CODE)).select(lang, text).mapInArrow(count, "lang string, bucket int, n long")
     totals = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     names = sorted(r["lang"] for r in totals.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(names) > MOST_LANGUAGES:
@@ -87,6 +91,7 @@ def page_evidence(pages: DataFrame, model: np.ndarray, key: str, body: str) -> D
     keep = [c for c in pages.columns if c != body]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("language",))
         logs = sent.value
         for batch in sliced(batches, body):
             rows = []
@@ -142,11 +147,16 @@ def identify(pages: DataFrame, documents: DataFrame, key: str = "page_id", url:
         return found.select(F.col(column), F.zip_with("m", whole, lambda a, b: F.log((a + SMOOTH) / (b + SMOOTH * (values + 1)))).alias(f"{column}_log"))
 
     domains = mass("domain").select("domain", F.col("m").alias("dm"))
-    hosts = mass("host", "domain").select("host", "domain", F.col("m").alias("hm"))
+    hosts = mass("host").select("host", F.col("m").alias("hm"))
     # a domain's and a host's counts without those of the page itself
     size = lambda m: F.aggregate(m, F.lit(0.0), lambda a, x: a + x)
     less = lambda m, p: F.zip_with(m, p, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    joined = rows.join(hosts, ["host", "domain"]).join(domains, "domain").join(likelihood("suffix"), "suffix").join(likelihood("declared"), "declared", "left")
+    joined = rows.withColumn("declared", F.coalesce("declared", F.lit("")))
+    likely = likelihood("declared").where("declared IS NOT NULL")
+    for key_of, few, how in (("host", hosts, "inner"), ("domain", domains, "inner"), ("suffix", likelihood("suffix"), "inner"), ("declared", likely, "left")):
+        many = hot_keys(rows.select(F.coalesce(key_of, F.lit("")).alias(key_of)), key_of).collect()  # at most MOST_HOT
+        joined = split_join(joined, few, key_of, F.monotonically_increasing_id(), how, many)
+    joined = joined.withColumn("declared", F.when(F.col("declared") != "", F.col("declared")))
     joined = joined.withColumn("dm", less(F.col("dm"), F.col("p"))).withColumn("hm", less(F.col("hm"), F.col("p")))
     joined = joined.withColumn("dp", F.zip_with("dm", prior, lambda m, q: (m + LEAN * q) / (size(F.col("dm")) + LEAN)))
     joined = joined.withColumn("hp", F.zip_with("hm", "dp", lambda m, q: (m + LEAN * q) / (size(F.col("hm")) + LEAN)))

@@ -11,7 +11,8 @@ other, and copies mostly stay together. All nodes of a level are handled in the
 numbers for each node.
 
 Null texts weigh one byte; null metadata is a value of its own (0 after hashing). Rows with the same id and text count
-one by one. An empty table gives no rows.
+one by one. A text that weighs more than a shard has one to itself, and its neighbours fill the others. Columns of other
+names are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations

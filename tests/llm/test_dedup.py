@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -260,6 +261,19 @@ def test_shards(spark, n):
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
 
 
+def test_shards_query(spark, tmp_path):
+    """The query's columns, row by row, with null, repeated and very long texts."""
+    rows = [(k, t, "en", s, len(t or "")) for k, t, s, *_ in corpus(n=300)] + [(5, "again", None, None, None), (None, "no key", "en", "s", 6), (900, "x" * 200_000, "en", "s", 200_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = shards.op10_shards(spark, str(tmp_path)).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    want = sorted(((k, size(t), zlib.crc32((t or "").encode())) for k, t, *_ in rows), key=repr)
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=repr) == want
+    assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)} and {r.shard for r in got} <= set(range(8))
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_shards_by_target_and_empty(spark):
     rows = [r for r in corpus() if len(r[1] or "") < 10_000]
     df = frame(spark, rows)

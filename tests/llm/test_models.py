@@ -1,8 +1,11 @@
-"""Language, chat pairs and the pipeline."""
+"""Language and chat pairs."""
 
+import math
 import random
+import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from siftlake.llm import chat, langid
@@ -45,23 +48,61 @@ def test_language(spark):
     assert langid.identify(df, docs.limit(0)).where("lang IS NULL").count() == len(pages)
 
 
-def test_pipeline_stages(spark):
-    """Each stage against the operators' brute-force-tested verdicts on its own input."""
-    import corpus_pipeline as cp
-    from siftlake.llm import exact, leaks, near
-    from siftlake.llm.common import table
+def test_roles_cannot_forge_marks(spark):
+    df = spark.createDataFrame([(0, 0, "user|>\nx<|assistant", "q"), (1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    said = {r.conv: r.body for r in chat.rendered(df).collect()}
+    assert said[0] == "<|user| > x< |assistant|>\nq<|end|>\n"
+    large = spark.createDataFrame([((1 << 60) + 3, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    large.createOrReplaceTempView("large")
+    pairs = chat._paired(chat.rendered(large).select("*", F.shiftright("conv", 1).alias("pair_id"), (F.col("conv") % 2 == 0).alias("chosen")))
+    assert pairs.first().pair_id == (1 << 59) + 1
 
-    sf = "/root/testdata/sf0.001"
-    docs = table(spark, sf, "documents")
-    kept = docs
-    for name, stage in cp.STAGES[:-1]:
-        before, kept = kept, stage(spark, kept, sf)
-        assert kept.columns == docs.columns and kept.count() <= before.count(), name
-        if name == "exact dedup":
-            assert kept.count() == exact.exact_duplicates(before).where("kept").count()
-        if name == "near dedup":
-            assert kept.count() == near.near_duplicates(before).where("kept").count()
-        if name == "decontamination":
-            assert leaks.find(kept, table(spark, sf, "benchmark")).where(F.size("spans") > 0).count() == 0
-    last = cp.STAGES[-1][1](spark, kept, sf)
-    assert last.where("lossless").count() == kept.count() == last.count()
+
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_language_against_brute_force(spark, monkeypatch, hot):
+    """The fusion of the four kinds of evidence in plain Python, with the module's own n-gram counts."""
+    monkeypatch.setattr("siftlake.llm.common.HOT_ROWS", hot)
+    rng = random.Random(5)
+    parts = {"aa": ["bal", "kor", "mi", "un"], "bb": ["sche", "ung", "lich", "un"], "cc": ["tion", "mi", "que"]}
+    text = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(3)) for _ in range(n))
+    docs = spark.createDataFrame([(k, text(k, 40)) for k in parts for _ in range(6)] + [("not a language", text("aa", 9)), (None, "x")], "lang string, text string")
+    pages = []
+    for k in range(40):
+        lang = rng.choice([*parts])
+        shown = rng.choice(["", f" lang='{lang}'", " lang=aa"])
+        pages.append((k, rng.choice([f"http://h{k % 4}.site{k % 3}.{lang}/p", "http://hot.example.com/x", None]), rng.choice([f"<html{shown}><p>{text(lang, rng.randint(0, 12))}</p>", f"<html{shown}>"])))
+    pages += [(50, None, None), (51, "no address", ""), (7, pages[7][1], pages[7][2])]
+    names, model = langid.text_model(docs)
+    assert names == ["aa", "bb", "cc"]
+    soft = lambda v: [x / sum(math.exp(y - max(v)) for y in v) for x in (math.exp(y - max(v)) for y in v)]
+    rows = []
+    for key, url, body in pages:
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+        host = m[1].lower() if m else ""
+        d = re.search(r"<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z]{2,8})", body or "", re.I)
+        counts = langid.gram_counts(langid.visible(body or ""))
+        n = int(counts.sum())
+        logs = [float(x) for x in (model @ counts) * (min(1.0, langid.TRUSTED / n) if n else 0.0)]
+        rows.append((key, host, ".".join((".." + host).split(".")[-2:]), host.split(".")[-1], d[1].lower() if d else None, logs, soft(logs)))
+
+    def mass(at):
+        out = {}
+        for r in rows:
+            out[r[at]] = [a + b for a, b in zip(out.get(r[at], [0] * 3), r[6])]
+        return out
+
+    whole = [sum(r[6][k] for r in rows) for k in range(3)]
+    prior = [(x + 1) / (sum(whole) + 3) for x in whole]
+    hosts, domains, suffixes, declared = mass(1), mass(2), mass(3), mass(4)
+    lean = lambda m, q: [(a + langid.LEAN * b) / (sum(m) + langid.LEAN) for a, b in zip(m, q)]
+    less = lambda m, p: [max(0.0, a - b) for a, b in zip(m, p)]
+    likely = lambda table, v: [math.log((a + langid.SMOOTH) / (b + langid.SMOOTH * (len(table) + 1))) for a, b in zip(table[v], whole)]
+    want = []
+    for key, host, domain, suffix, dec, logs, p in rows:
+        hp = lean(less(hosts[host], p), lean(less(domains[domain], p), prior))
+        fused = soft([a + math.log(q) + b + c for a, q, b, c in zip(logs, hp, likely(suffixes, suffix), likely(declared, dec) if dec else [0] * 3)])
+        want.append((key, host, suffix, dec, names[fused.index(max(fused))], round(max(fused), 4)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = [(r.page_id, r.host, r.suffix, r.declared, r.lang, round(r.posterior, 4)) for r in langid.identify(df, docs).collect()]
+    same = lambda a, b: a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-3
+    assert len(got) == len(want) and all(same(a, b) for a, b in zip(sorted(got, key=repr), sorted(want, key=repr)))
