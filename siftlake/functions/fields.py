@@ -25,6 +25,13 @@ def field(df: DataFrame, path: str) -> Column:
     return flat if flat is not None else nested if nested is not None else F.lit(None).cast("string")
 
 
+def field_sql(df: DataFrame, path: str) -> str:
+    """The same as an expression of Spark SQL."""
+    flat = f"`{path}`" if path in df.columns else None
+    nested = ".".join(f"`{p}`" for p in path.split(".")) if "." in path and field_type(df.schema, path) is not None else None
+    return f"coalesce({flat}, {nested})" if flat and nested else flat or nested or "CAST(NULL AS STRING)"
+
+
 def type_of(df: DataFrame, path: str) -> T.DataType | None:
     return df.schema[path].dataType if path in df.columns else field_type(df.schema, path)
 

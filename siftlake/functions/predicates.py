@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fields import field, type_of
+from .fields import field, field_sql, type_of
 
 #: Dotted quads with parts up to 255.
 IPV4 = r"^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
@@ -28,36 +28,53 @@ def any_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
 
-def _leaf(op: str, value) -> Callable[[Column], Column]:
+def text_sql(value) -> str:
+    """A value as a text literal of Spark SQL."""
+    escaped = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def _leaf(op: str, value) -> Callable[[str], str]:
     if op == "equals":
-        return lambda c: c.cast("string") == F.lit(str(value))
+        return lambda c: f"CAST({c} AS STRING) = {text_sql(value)}"
     if op == "not_equals":
-        return lambda c: ~c.cast("string").eqNullSafe(F.lit(str(value)))
+        return lambda c: f"NOT (CAST({c} AS STRING) <=> {text_sql(value)})"
     if op == "contains":
-        return lambda c: c.cast("string").contains(str(value))
+        return lambda c: f"contains(CAST({c} AS STRING), {text_sql(value)})"
     if op == "in":
-        return lambda c: c.cast("string").isin([str(v) for v in value]) if value else F.lit(False)
+        return lambda c: f"CAST({c} AS STRING) IN ({', '.join(map(text_sql, value))})" if value else "FALSE"
     if op == "regex":
-        return lambda c: c.cast("string").rlike(f"(?U){value}")
+        return lambda c: f"CAST({c} AS STRING) RLIKE {text_sql(f'(?U){value}')}"
     if op == "int_equals":
-        return lambda c: c == F.lit(int(value))
+        return lambda c: f"{c} = {int(value)}"
     raise ValueError(f"unknown operator {op}")
 
 
-def compile_filter(df: DataFrame, spec: dict) -> Column:
-    """One field filter: {"field": path, operator: value}."""
+def filter_sql(df: DataFrame, spec: dict) -> str:
+    """One field filter, {"field": path, operator: value}, as an expression of Spark SQL.
+
+    Many rules make thousands of columns; as text they are built without a call for each.
+    """
     (op, value), path = next((k, v) for k, v in spec.items() if k != "field"), spec["field"]
-    test, kind = _leaf(op, value), type_of(df, path)
+    test, kind, at = _leaf(op, value), type_of(df, path), field_sql(df, path)
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        leaves = [f.name for f in kind.elementType.fields if isinstance(f.dataType, T.StringType)]
-        if op == "not_equals":
-            return ~F.coalesce(F.exists(field(df, path), lambda x: any_of([x[n] == F.lit(str(value)) for n in leaves])), F.lit(False))
-        return F.coalesce(F.exists(field(df, path), lambda x: any_of([test(x[n]) for n in leaves])), F.lit(False))
-    return test(field(df, path))
+        test = _leaf("equals", value) if op == "not_equals" else test
+        leaves = [test(f"x.`{f.name}`") for f in kind.elementType.fields if isinstance(f.dataType, T.StringType)]
+        found = f"coalesce(exists({at}, x -> {' OR '.join(leaves) or 'FALSE'}), FALSE)"
+        return f"NOT {found}" if op == "not_equals" else found
+    return test(at)
+
+
+def all_sql(df: DataFrame, filters: list[dict]) -> str:
+    return " AND ".join(f"({filter_sql(df, f)})" for f in filters) or "TRUE"
+
+
+def compile_filter(df: DataFrame, spec: dict) -> Column:
+    return F.expr(filter_sql(df, spec))
 
 
 def compile_all(df: DataFrame, filters: list[dict]) -> Column:
-    return all_of([compile_filter(df, f) for f in filters])
+    return F.expr(all_sql(df, filters))
 
 
 def list_any_equals(df: DataFrame, path: str, leaf: str, value: str) -> Column:

@@ -9,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import field
-from ..functions.predicates import all_of, any_of, compile_all, is_ipv4
+from ..functions.fields import field, field_sql
+from ..functions.predicates import all_of, all_sql, any_of, compile_all, is_ipv4, text_sql
 from ..sources.catalog import ALIASES
 from ..sources.schema import CLASS_UID
 from .lineage import cut
@@ -76,7 +76,16 @@ def findings(events: DataFrame, start, end, severity: str | None = None) -> Data
 
 
 def rule_predicate(events: DataFrame, rule: dict) -> Column:
-    return (F.col("class_uid") == rule["class_uid"]) & compile_all(events, rule["filters"])
+    return F.expr(f"class_uid = {rule['class_uid']} AND {all_sql(events, rule['filters'])}")
+
+
+def rule_marks(events: DataFrame, rules: list[dict]) -> Column:
+    """The ids of the rules that an event matches; only the rules of its class are tested. Null for other classes."""
+    of: dict[int, list[str]] = {}
+    for r in rules:
+        of.setdefault(r["class_uid"], []).append(f"CASE WHEN {all_sql(events, r['filters'])} THEN {text_sql(r['id'])} END")
+    branches = " ".join(f"WHEN {c} THEN array({', '.join(marks)})" for c, marks in of.items())
+    return F.expr(f"array_compact(CASE class_uid {branches} END)") if of else F.array().cast("array<string>")
 
 
 def coarse(events: DataFrame, rules: list[dict], start, end) -> Column:
@@ -84,15 +93,13 @@ def coarse(events: DataFrame, rules: list[dict], start, end) -> Column:
     test = in_window(start, end) & F.col("class_uid").isin(sorted({r["class_uid"] for r in rules}))
     operations = [next((f["in"] if "in" in f else [f["equals"]] for f in r["filters"] if f["field"] == "api.operation" and ("in" in f or "equals" in f)), None) for r in rules]
     if rules and None not in operations:
-        test &= field(events, "api.operation").isin(sorted({x for xs in operations for x in xs}))
+        test &= F.expr(f"{field_sql(events, 'api.operation')} IN ({', '.join(map(text_sql, sorted({x for xs in operations for x in xs})))})")
     return test
 
 
 def hits(events: DataFrame, rules: list[dict], start, end) -> DataFrame:
     """One row for each event and rule that it matches, from one scan of the events, with the events' columns."""
-    marks = [F.when(rule_predicate(events, r), F.lit(r["id"])) for r in rules]
-    found = F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
-    return events.where(coarse(events, rules, start, end)).withColumn("rule_id", F.explode(found))
+    return events.where(coarse(events, rules, start, end)).withColumn("rule_id", F.explode(rule_marks(events, rules)))
 
 
 def evaluate(counts: DataFrame, rules: DataFrame) -> DataFrame:

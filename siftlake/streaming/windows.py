@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from ..operators.detect import rule_predicate
+from ..operators.detect import rule_marks
 
 LATE = "15 minutes"
 #: Sessions: a gap of more than 300 whole seconds ends one; Spark merges gaps equal to the session gap.
@@ -22,7 +22,7 @@ def stream(events: DataFrame, path: str, files: int = 1) -> DataFrame:
 
 
 def rule_hits(events: DataFrame, rules: list[dict]) -> DataFrame:
-    marks = F.array_compact(F.array(*[F.when(rule_predicate(events, r), F.lit(r["id"])) for r in rules]))
+    marks = rule_marks(events, rules)
     return events.where(F.col("class_uid").isin(sorted({r["class_uid"] for r in rules}))).select("time_dt", "event_uid", F.explode(marks).alias("rule_id"))
 
 
@@ -56,7 +56,7 @@ def daily_investigations(events: DataFrame, rules: list[dict], hours: int = 24,
     Matches wait in the rule's state until the watermark has passed them, so that neither the order of arrival within
     ``late`` nor the cut into batches matters; matches within the hours of an opened investigation do not wait.
     """
-    found = F.array_compact(F.array(*[F.when(rule_predicate(events, r), F.lit(r["id"])) for r in rules]))
+    found = rule_marks(events, rules)
     # all events move the watermark: a filter that does not read the time would be pushed in front of it
     marks = F.when(F.col("time_dt").isNotNull(), found)
     rows = events.withWatermark("time_dt", late).select(F.explode(marks).alias("rule_id"), "time_dt", F.unix_micros("time_dt").alias("us"))
