@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +117,25 @@ def run_all(events: DataFrame, rules: list[dict], start, end) -> DataFrame:
     return evaluate(counts, rule_table(events.sparkSession, rules))
 
 
+def run_rule(events: DataFrame, rules: list[dict], rule_id: str, end: datetime, start: datetime | None = None, lookback_minutes: int = 60) -> DataFrame:
+    """One rule over a window, by default the ``lookback_minutes`` before ``end``: its result, or a row that tells the error.
+
+    A rule that is unknown, or whose predicate cannot be resolved on these events, does not trigger and says why.
+    """
+    begin = start or end - timedelta(minutes=lookback_minutes)
+    rule = next((r for r in rules if r["id"] == rule_id), None)
+    error = f"Rule not found: {rule_id}"
+    if rule is not None:
+        try:
+            rows = run_all(events, [rule], begin, end).select("rule_id", "name", "severity", "match_count", "triggered", "message", F.lit(None).cast("string").alias("error"))
+        except AnalysisException as e:
+            error = e.getMessage().splitlines()[0]
+    if rule is None or error != f"Rule not found: {rule_id}":
+        told = (rule_id, rule["name"] if rule else "Unknown", rule["severity"] if rule else "info", 0, False, "", error)
+        rows = events.sparkSession.createDataFrame([told], "rule_id string, name string, severity string, match_count long, triggered boolean, message string, error string")
+    return rows.withColumns({"window_start": F.lit(begin), "window_end": F.lit(end)})
+
+
 def for_source(rules: list[dict], source: str | None) -> list[dict]:
     """Enabled rules of a source; rules without sources hold for any."""
     return [r for r in rules if r["enabled"] and (source is None or not r["data_sources"] or source in r["data_sources"] or source in [ALIASES.get(s, s) for s in r["data_sources"]])]

@@ -179,10 +179,12 @@ def role_name(arn: Column) -> Column:
 
 
 def trust_principals(policy: Column) -> Column:
-    """AWS and service principals of a trust policy's JSON text."""
-    schema = "struct<Statement:array<struct<Effect:string,Principal:struct<AWS:string,Service:string>>>>"
-    statements = F.from_json(F.url_decode(policy), schema)["Statement"]
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(statements, lambda s: F.array(s["Principal"]["AWS"], s["Principal"]["Service"]))), lambda x: x.isNotNull())))
+    """All principals of a trust policy's JSON text: a text, or the texts and lists of an object of any kinds."""
+    statements = F.from_json(F.url_decode(policy), "struct<Statement:array<struct<Principal:string>>>")["Statement"]
+    listed = lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
+    of = lambda p: F.when(p.startswith("{"), F.flatten(F.transform(F.map_values(F.from_json(p, "map<string,string>")), listed))).otherwise(F.array(p))
+    found = F.filter(F.flatten(F.transform(F.filter(F.transform(statements, lambda s: s["Principal"]), lambda p: p.isNotNull()), of)), lambda x: x.isNotNull())
+    return F.array_sort(F.array_distinct(found))
 
 
 def principal_context(nodes: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -195,6 +197,28 @@ def principal_context(nodes: DataFrame, inventory: DataFrame) -> DataFrame:
     return nodes.where("node_type = 'Principal'").join(known, "label", "left")
 
 
+def role_context(nodes: DataFrame, roles: DataFrame) -> DataFrame:
+    """Principal and Resource nodes that are roles, with what the inventory knows of the role.
+
+    A node is a role if its label is, or ends with, a role's name (``role/path/Name`` and assumed sessions
+    ``assumed-role/Name/session`` included). roles: name, policies, inline_policies array<string>, trust_policy string.
+    """
+    parts = F.split("label", "/")
+    name = F.when(F.col("label").contains("assumed-role/"), F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
+    admin = F.exists("policies", lambda p: p.contains("AdministratorAccess"))
+    known = roles.select(F.col("name").alias("role"), "policies", "inline_policies", F.coalesce(admin, F.lit(False)).alias("is_admin"), trust_principals(F.col("trust_policy")).alias("trusted"))
+    return nodes.where("node_type IN ('Principal', 'Resource')").withColumn("role", name).join(known, "role")
+
+
+def lookup_stats(events: DataFrame, ids: DataFrame) -> DataFrame:
+    """(inv_id, queries_executed, queries_with_results): kinds of identifiers looked up, and those that found an event."""
+    kind = F.when(F.col("kind").isin("src_ip", "dst_ip"), "ip").when(F.col("kind").isin("user", "domain", "resource"), F.col("kind"))
+    asked = ids.select("inv_id", kind.alias("kind"), "value").where("kind IS NOT NULL").distinct()
+    found = looked_up(events).select("kind", "value").distinct().join(asked, ["kind", "value"]).select("inv_id", "kind").distinct()
+    rows = asked.select("inv_id", "kind").distinct().join(found.withColumn("found", F.lit(True)), ["inv_id", "kind"], "left")
+    return rows.groupBy("inv_id").agg(F.count("*").alias("queries_executed"), F.count("found").alias("queries_with_results"))
+
+
 def concat(frames: list[DataFrame]) -> DataFrame:
     """Diagonal: columns that a frame lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -41,6 +41,19 @@ def append(rows: DataFrame, path: str, day: Column) -> None:
     rows.withColumn("day", F.date_format(day, "yyyy-MM-dd")).write.mode("append").partitionBy("day").parquet(path)
 
 
+def run_rows(results: DataFrame, executed_at: Column, source: str | None, lookback_minutes: int) -> DataFrame:
+    """Rows of the run history: one a rule and run, without its matches. The same run of a rule has the same run_id.
+
+    results: rule_id, name, severity, match_count, triggered, and error where a run may have failed.
+    """
+    error = F.col("error") if "error" in results.columns else F.lit(None).cast("string")
+    run = F.sha2(F.concat_ws("|", "rule_id", executed_at.cast("string"), F.lit(source or ""), F.lit(str(lookback_minutes))), 256)
+    return results.select(
+        F.substring(run, 1, 32).alias("run_id"), "rule_id", F.col("name").alias("rule_name"), "triggered", "severity", "match_count", executed_at.alias("executed_at"),
+        error.alias("error"), F.lit(source).cast("string").alias("source_name"), F.lit(lookback_minutes).cast("long").alias("lookback_minutes"),
+    )
+
+
 def replace_investigations(rows: DataFrame, path: str) -> None:
     """Replace the partitions of the investigations in ``rows``; others stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("inv_id").parquet(path)

@@ -325,6 +325,16 @@ def grf17(spark, sf_dir):
     return leaves(spark, sf_dir).groupBy("inv_id").agg(F.count("*").alias("events"), F.count_if("is_match").alias("matched"), F.count_if(~F.col("is_match")).alias("enriched"))
 
 
+ASKED = "asked AS (SELECT DISTINCT inv_id, CASE WHEN kind IN ('src_ip', 'dst_ip') THEN 'ip' ELSE kind END AS kind, value FROM ids WHERE kind IN ('src_ip', 'dst_ip', 'user', 'domain', 'resource'))"
+CARRIED = """carried AS (SELECT DISTINCT 'user' AS kind, user_name AS value FROM evw WHERE class_uid IN (6003, 3002, 3001) UNION SELECT 'ip', src_ip FROM evw WHERE class_uid IN (4001, 6003, 3002)
+  UNION SELECT 'ip', dst_ip FROM evw WHERE class_uid = 4001 UNION SELECT 'domain', hostname FROM evw WHERE class_uid = 4003 UNION SELECT 'resource', resource_uid FROM evw WHERE class_uid = 6003)"""
+
+
+@query("GRF20_lookup_stats", "SELECT inv_id, count(DISTINCT kind) AS queries_executed, count(DISTINCT CASE WHEN EXISTS (SELECT 1 FROM carried c WHERE c.kind = a.kind AND c.value = a.value) THEN kind END) AS queries_with_results FROM asked a GROUP BY 1", (*ENRICH, ASKED, CARRIED))
+def grf20(spark, sf_dir):
+    return E.lookup_stats(window(spark, sf_dir), ids_of(spark, sf_dir))
+
+
 @query("GRF18_api_status", "SELECT inv_id, api_id, count(*) FILTER (lower(status) IN ('success', 'succeeded', 'ok')) AS success_count, count(*) FILTER (lower(status) NOT IN ('success', 'succeeded', 'ok')) AS failure_count FROM g WHERE api_id IS NOT NULL GROUP BY 1, 2", GRAPH)
 def grf18(spark, sf_dir):
     return G.api_status(leaves(spark, sf_dir))

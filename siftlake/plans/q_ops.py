@@ -12,9 +12,9 @@ from ..operators import anomaly, ops, patterns, timeline
 from ..operators import detect as D
 from ..operators import enrich as E
 from ..sources.adapter import EV, events
-from .q_analytics import TL, stories
+from .q_analytics import ATK, PAT, TL, stories
 from .q_detect import HISTORY, history
-from .q_enrich import CROSS, GRAPH, WHOLE, graph, graph_rows, matches, window
+from .q_enrich import CROSS, GRAPH, WHOLE, graph, graph_rows, matches, results, window
 from .registry import AS_OF, DETECT, END, RULES, START, query
 
 
@@ -105,6 +105,27 @@ def snk2(spark, sf_dir):
     return spark.read.parquet(f"{path}/nodes").groupBy("inv_id").agg(F.count("*").alias("nodes"), F.sum("event_count").alias("events"))
 
 
+@query("SNK6_run_rows", f"SELECT rule_id, name AS rule_name, triggered, severity, match_count, epoch_us(TIMESTAMP '{AS_OF}') AS executed_us, '' AS error, 'cloudtrail' AS source_name, 30240 AS lookback_minutes FROM results", DETECT)
+def snk6(spark, sf_dir):
+    """Every column of the run history, appended and read back; running twice gives the same run ids."""
+    path = shared(spark, "runs")
+    got = ops.run_rows(D.run_all(events(spark, sf_dir), RULES, START, END), F.lit(AS_OF).cast("timestamp"), "cloudtrail", 21 * 24 * 60)
+    ops.append(got, path, F.col("executed_at"))
+    back = spark.read.parquet(path)
+    return back.select("rule_id", "rule_name", "triggered", "severity", "match_count", F.unix_micros("executed_at").alias("executed_us"), F.coalesce("error", F.lit("")).alias("error"), "source_name", F.col("lookback_minutes").cast("int").alias("lookback_minutes"))
+
+
+@query("SNK7_all_artifacts", "SELECT inv_id, 'nodes' AS artifact, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT inv_id, 'edges', count(*) FROM edges GROUP BY 1 UNION ALL SELECT inv_id, 'timeline', count(*) FROM tl GROUP BY 1 UNION ALL SELECT inv_id, 'patterns', count(*) FROM pat GROUP BY 1 UNION ALL SELECT DISTINCT inv_id, 'paths', 1 FROM pl UNION ALL SELECT rule_id, 'result', 1 FROM results WHERE rule_id IN (SELECT DISTINCT inv_id FROM m)", tuple(dict.fromkeys((*TL, *PAT, *ATK))))
+def snk7(spark, sf_dir):
+    """All artifacts of the investigations as files, one folder each and partitioned by investigation, read back."""
+    path, (nodes, edges) = shared(spark, "artifacts"), graph(spark, sf_dir)
+    found = results(spark, sf_dir).where("total_matches > 0").drop("rule_id")
+    parts = {"nodes": nodes, "edges": edges, "timeline": timeline.extract(nodes, edges), "patterns": patterns.detect(nodes, edges), "paths": stories(spark, sf_dir), "result": found}
+    for name, rows in parts.items():
+        rows.write.partitionBy("inv_id").parquet(f"{path}/{name}")
+    return counted({name: spark.read.parquet(f"{path}/{name}") for name in parts})
+
+
 @query("SNK3_graph_replace", "SELECT inv_id, count(*) AS edges FROM edges WHERE inv_id <> 'detect-port-scan' OR edge_type = 'CALLED_API' GROUP BY 1", GRAPH)
 def snk3(spark, sf_dir):
     path = shared(spark, "graph")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Standard sources: name -> (table name by region, expected freshness in minutes, tags).
 STANDARD = {
@@ -37,11 +38,40 @@ def columns(df: DataFrame) -> DataFrame:
 
 
 def sample_per_class(events: DataFrame, n: int = 5) -> DataFrame:
-    """At most ``n`` events of each class, the earliest first. Only keys are ranked; the rows come back by a join."""
+    """At most ``n`` events of each class, the earliest first; each task ranks and cuts its own rows before the shuffle."""
     first = F.row_number().over(Window.partitionBy("class_uid").orderBy("time_dt", "event_uid"))
     return events.withColumn("rank", first).where(F.col("rank") <= n)
 
 
+def leaves(schema: T.StructType, before: str = "") -> list[tuple[str, str]]:
+    """Path and type of each leaf of a schema, those within lists of structs included (``[]``)."""
+    out: list[tuple[str, str]] = []
+    for f in schema.fields:
+        path, kind = f"{before}{f.name}", f.dataType
+        if isinstance(kind, T.StructType):
+            out += leaves(kind, path + ".")
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            out += leaves(kind.elementType, path + "[].")
+        else:
+            out.append((path, kind.simpleString()))
+    return out
+
+
+def class_profile(events: DataFrame) -> DataFrame:
+    """(class_uid, path, type, filled, events): the shape of each class, with how many of its events fill a leaf. One scan."""
+    found = leaves(events.schema)
+
+    def filled(path: str) -> Column:
+        if "[]." not in path:
+            return F.count(path)
+        listed, leaf = path.split("[].", 1)
+        return F.count_if(F.coalesce(F.exists(listed, lambda x: x[leaf].isNotNull()), F.lit(False)))
+
+    rows = events.groupBy("class_uid").agg(F.count("*").alias("events"), *[filled(p).alias(f"leaf {k}") for k, (p, _) in enumerate(found)])
+    each = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("type"), F.col(f"leaf {k}").alias("filled")) for k, (p, t) in enumerate(found)])
+    return rows.select("class_uid", "events", F.explode(each).alias("x")).select("class_uid", "x.path", "x.type", "x.filled", "events")
+
+
 def guarded_sql(spark: SparkSession, query: str, views: dict[str, DataFrame] | None = None) -> DataFrame:
     """Run a read-only query over views; reject one that holds a changing keyword as a word."""
     bad = FORBIDDEN.intersection(re.split(r"\s+", query.lower()))

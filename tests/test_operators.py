@@ -181,3 +181,24 @@ def test_enrichment_keys(spark):
     got = sorted((r.inv_id, r.event_uid) for r in enrich.enrich_all(ev, ids).collect())
     assert got == [("i", "a"), ("i", "b"), ("i", "d"), ("j", "a"), ("j", "b"), ("j", "c")]
     assert enrich.enrich_all(ev.limit(0), ids).count() == 0 == enrich.enrich_all(ev, ids.limit(0)).count()
+
+
+def test_trust_policies_and_role_context(spark):
+    docs = ['{"Statement":[{"Principal":"*"},{"Principal":{"AWS":["arn:a","arn:b"],"Service":"ec2.amazonaws.com"}},{"Effect":"Deny"}]}', "%7B%22Statement%22%3A%5B%7B%22Principal%22%3A%7B%22Federated%22%3A%22idp%22%7D%7D%5D%7D", "not json", None]
+    rows = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, d string").select("k", enrich.trust_principals(F.col("d")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == [["*", "arn:a", "arn:b", "ec2.amazonaws.com"], ["idp"], None, None]
+    nodes = spark.createDataFrame([("i", "Principal", "Admin"), ("i", "Resource", "team/Admin"), ("i", "Principal", "assumed-role/Admin/me"), ("i", "Principal", "other"), ("i", "Event", "Admin")], "inv_id string, node_type string, label string")
+    roles = spark.createDataFrame([("Admin", ["arn:aws:iam::aws:policy/AdministratorAccess"], ["inline-1"], docs[0])], "name string, policies array<string>, inline_policies array<string>, trust_policy string")
+    got = enrich.role_context(nodes, roles).collect()
+    assert sorted(r.label for r in got) == ["Admin", "assumed-role/Admin/me", "team/Admin"]
+    assert all(r.is_admin and r.inline_policies == ["inline-1"] and "*" in r.trusted for r in got)
+
+
+def test_single_rule_errors(spark):
+    import datetime
+
+    end = datetime.datetime(2024, 1, 2)
+    rules = [r | {"filters": [{"field": "api.operation", "equals": "x"}]} for r in detect.load_rules()[:1]]
+    row = detect.run_rule(spark.range(1), rules, rules[0]["id"], end).first()
+    assert not row.triggered and row.error and row.window_start == end - datetime.timedelta(minutes=60)
+    assert detect.run_rule(spark.range(1), rules, "none", end).first().error == "Rule not found: none"
