@@ -76,6 +76,17 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows that go to a Python worker at once. Texts are large, and a batch lies in memory on both sides.
+ROWS_AT_ONCE = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a batch of texts takes: Spark's own default of 10,000 rows is for narrow ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > ROWS_AT_ONCE:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

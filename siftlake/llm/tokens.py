@@ -58,7 +58,7 @@ def ids_stream(path: str) -> TextStream:
 
 def packed_stream(path: str) -> TextStream:
     """Values are ids alone, as 32-bit integers."""
-    return worker_state(("packed", path), lambda: TextStream(merges_of(path), lookahead_of(path), lambda ids: array("i", ids).tobytes(), library_pieces(path), CACHE_BYTES // 2))
+    return worker_state(("packed", path), lambda: TextStream(merges_of(path), lookahead_of(path), lambda ids: array("i", ids).tobytes(), library_pieces(path), CACHE_BYTES // 4))
 
 
 def _ids_stream(path: str) -> TextStream:

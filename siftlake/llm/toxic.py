@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import no_null, sliced, table, text_list, worker_state
+from .common import give_back, no_null, sliced, table, text_list, worker_state
 
 ORDER, DECAY, SPAN = 4, 0.8, 6
 #: Characters of the stretches that are scored, wherever they begin.
@@ -63,7 +63,7 @@ COST, TURNS, HARD = 500.0, 4, 20_000
 #: Bounds of the training sample, in documents.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 #: Characters that are laid out at once, and by how much blocks of a longer text overlap.
-BLOCK, OVERLAP = 1 << 18, 4096
+BLOCK, OVERLAP = 1 << 16, 4096
 _GAPS = [g for g in itertools.product(range(1, SPAN), repeat=ORDER - 1) if sum(g) < SPAN]
 _SPREAD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 #: Marks that end a sentence if white space follows (fixed: Latin, Arabic, Devanagari and CJK full stops).
@@ -187,8 +187,8 @@ class Landmarks:
         out = np.zeros((len(stretches), m), np.float32)
         long = max((len(s) for s, _ in stretches), default=0)
         scale, row_of = {w: norm(w) for w in {w for _, w in stretches}}, self.rows()
-        for k in range(0, len(stretches), 1024):
-            part = stretches[k : k + 1024]
+        for k in range(0, len(stretches), 256):
+            part = stretches[k : k + 256]
             chars = code_points([s.ljust(long, "\0") for s, _ in part]).reshape(len(part), long)
             total = np.zeros(len(part) * m)
             for span, numbers in subsequences(chars):
@@ -297,25 +297,30 @@ class Scorer:
 # --- training -------------------------------------------------------------------------------------------------------------
 
 
-def svm(x: np.ndarray, side: np.ndarray, weight: np.ndarray, c: float, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the rows that violate the margin."""
-    m = x.shape[1]
-    w, scale, prior = np.zeros(m + 1), c * weight / weight.sum(), np.append(np.ones(m), 1e-3)
+def svm(blocks: list[tuple[np.ndarray, int, np.ndarray]], c: float, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by Newton steps on the rows that violate the margin.
 
-    def margins(w: np.ndarray) -> np.ndarray:
+    blocks: rows, their side (1 or -1) and weights; they are never put into one table.
+    """
+    m = blocks[0][0].shape[1]
+    w, prior, scale = np.zeros(m + 1), np.append(np.ones(m), 1e-3), c / sum(weight.sum() for *_, weight in blocks)
+
+    def margins(x: np.ndarray, side: int, w: np.ndarray) -> np.ndarray:
         return side * (x @ w[:-1].astype(x.dtype) + w[-1])
 
     def loss(w: np.ndarray) -> float:
-        return float(prior @ w**2 + (scale * np.maximum(0, 1 - margins(w)) ** 2).sum())
+        return float(prior @ w**2 + scale * sum((weight * np.maximum(0, 1 - margins(x, side, w)) ** 2).sum() for x, side, weight in blocks))
 
     for _ in range(rounds):
-        left, right, active = np.diag(prior), np.zeros(m + 1), np.flatnonzero(margins(w) < 1)
-        for k in range(0, len(active), 4096):
-            rows = active[k : k + 4096]
-            a = np.column_stack([x[rows], np.ones(len(rows))]).astype(np.float64)
-            costed = a * scale[rows, None]
-            left += costed.T @ a
-            right += costed.T @ side[rows]
+        left, right = np.diag(prior), np.zeros(m + 1)
+        for x, side, weight in blocks:
+            active = np.flatnonzero(margins(x, side, w) < 1)
+            for k in range(0, len(active), 2048):
+                rows = active[k : k + 2048]
+                a = np.column_stack([x[rows], np.ones(len(rows))]).astype(np.float64)
+                costed = a * (scale * weight[rows])[:, None]
+                left += costed.T @ a
+                right += side * costed.sum(0)
         step, now, size = np.linalg.solve(left, right) - w, loss(w), 1.0
         while size > 1e-3 and loss(w + size * step) > now:
             size /= 2
@@ -413,19 +418,27 @@ def fit_rows(rows: list[tuple[str, int]], prior: float) -> Model:
     marks = telling_stretches(texts, labels)
     if not marks:
         return Model(prior=prior)
-    laid = [(np.array(of)[found.of], found) for of, held in batched(texts) if len((found := sentences(held)).first)]
+    give_back()
+
+    def laid() -> Iterator[tuple[np.ndarray, Sentences]]:
+        """Sentences of the sample and the texts they belong to, laid out anew for each pass: kept, they would take most memory."""
+        for of, held in batched(texts):
+            found = sentences(held)
+            if len(found.first):
+                yield np.array(of)[found.of], found
+
     # clean landmarks: those stretches of clean sentences that are most like the telling ones, and others at random
-    spread, like, other = np.random.default_rng(7), [], []
+    spread, like, other, size = np.random.default_rng(7), [], [], max(1, sum(map(len, texts)))
     first = Model(Landmarks(marks), np.ones(len(marks), np.float32), 0.0)
     folded = first.folded()
-    for doc, found in laid:
+    for doc, found in laid():
         value, widths = decided(found, first, folded)
         top, place = worst(found, value)
         clean = np.flatnonzero(labels[doc] == 0)
         for k in clean[np.argsort(-top[clean], kind="stable")[:CONTRAST]].tolist():
             at = int(place[k])
             like.append((float(top[k]), found.text(at, min(at + int(widths[at]), int(found.stops()[k])))))
-        for k in spread.permutation(clean)[: 1 + CONTRAST // len(laid)].tolist():
+        for k in spread.permutation(clean)[: 1 + CONTRAST * BLOCK // size].tolist():
             at = int(spread.integers(found.first[k], max(found.first[k] + 1, found.stops()[k] - 12)))
             other.append(found.text(at, min(at + 12, int(found.stops()[k]))))
     usable = lambda found: [s for s in dict.fromkeys(found) if len(s) > 3 and not any(m in s for m in marks)]
@@ -448,10 +461,10 @@ def fit_rows(rows: list[tuple[str, int]], prior: float) -> Model:
     # at first a stretch is as toxic as it is like the telling landmarks
     model = Model(land, (np.arange(len(land.stretches)) < len(marks)).astype(np.float32), 0.0, prior=prior)
     seen: Counter[tuple[str, int]] = Counter()
-    good = np.empty((0, len(land.stretches)), np.float32)
+    good: list[tuple[list[tuple[str, int]], np.ndarray]] = []  # clean stretches of each turn and their features
     for turn in range(TURNS):
         folded, positive, hard = model.folded(), Counter(), []
-        for doc, found in laid:
+        for doc, found in laid():
             value, widths = decided(found, model, folded)
             top, place = worst(found, value)
             stop = np.minimum(place + widths[place], found.stops())
@@ -467,12 +480,12 @@ def fit_rows(rows: list[tuple[str, int]], prior: float) -> Model:
         now = Counter((s, w) for _, s, w in hard[:HARD])
         new = [x for x in now if x not in seen]
         seen.update(now)
-        good = np.concatenate([good, features(new)])
-        bad = features([*positive])
-        x = np.concatenate([bad, fixed, good, np.zeros((1, good.shape[1]), np.float32)])  # last: a stretch like no landmark
-        side = np.concatenate([np.ones(len(bad) + len(fixed)), -np.ones(len(good) + 1)])
-        parts = ((0.2, [*positive.values()]), (0.3, [1] * len(fixed)), (0.4, [*seen.values()]), (0.1, [1]))
-        w, b = svm(x, side, np.concatenate([part * np.array(n, float) / max(1, sum(n)) for part, n in parts]), COST * len(land.stretches))
+        good.append((new, features(new)))
+        # parts of the whole weight: toxic stretches, forms of telling words, clean stretches, a stretch without likeness
+        parts = [(0.2, 1, features([*positive]), [*positive.values()]), (0.3, 1, fixed, [1] * len(fixed))]
+        parts += [(0.4 * sum(seen[s] for s in some) / seen.total(), -1, x, [seen[s] for s in some]) for some, x in good]
+        parts.append((0.1, -1, np.zeros((1, len(land.stretches)), np.float32), [1]))
+        w, b = svm([(x, side, part * np.array(n, float) / sum(n)) for part, side, x, n in parts if len(x)], COST * len(land.stretches))
         model.alpha, model.bias = (root @ w).astype(np.float32), b
     evidence = Scorer(model).evidence(texts)
     weight = np.where(labels == 1, prior / labels.sum(), (1 - prior) / (labels == 0).sum()) * len(labels)
