@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, idfile, langid, leaks, near, shards, tokens, toxic
+from . import chat, exact, idfile, langid, leaks, near, phrases, shards, tokens, toxic
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_preference": chat.op8_preference,
     "op9_decontamination": leaks.op9_decontamination,
     "op10_shards": shards.op10_shards,
+    "op12_phrases": phrases.op12_phrases,
 }
 
-ORACLE_SQL = {"op4_exact_dedup": exact.OP4_SQL, "op8_preference": chat.OP8_SQL}
+ORACLE_SQL = {"op4_exact_dedup": exact.OP4_SQL, "op8_preference": chat.OP8_SQL, "op12_phrases": phrases.OP12_SQL}
