@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, idfile, langid, leaks, near, phrases, shards, tokens, toxic
+from . import chat, exact, idfile, langid, leaks, near, phrases, shards, tokens, toxic, turns
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": leaks.op9_decontamination,
     "op10_shards": shards.op10_shards,
     "op12_phrases": phrases.op12_phrases,
+    "op13_turn_trie": turns.op13_turn_trie,
 }
 
-ORACLE_SQL = {"op4_exact_dedup": exact.OP4_SQL, "op8_preference": chat.OP8_SQL, "op12_phrases": phrases.OP12_SQL}
+ORACLE_SQL = {"op4_exact_dedup": exact.OP4_SQL, "op8_preference": chat.OP8_SQL, "op12_phrases": phrases.OP12_SQL, "op13_turn_trie": turns.OP13_SQL}
