@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, idfile, langid, leaks, near, phrases, shards, tokens, toxic, turns
+from . import chat, exact, idfile, langid, leaks, near, phrases, shards, tokens, toxic, turns, warc
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_preference": chat.op8_preference,
     "op9_decontamination": leaks.op9_decontamination,
     "op10_shards": shards.op10_shards,
+    "op11_warc": warc.op11_warc,
     "op12_phrases": phrases.op12_phrases,
     "op13_turn_trie": turns.op13_turn_trie,
 }
 
-ORACLE_SQL = {"op4_exact_dedup": exact.OP4_SQL, "op8_preference": chat.OP8_SQL, "op12_phrases": phrases.OP12_SQL, "op13_turn_trie": turns.OP13_SQL}
+ORACLE_SQL = {"op4_exact_dedup": exact.OP4_SQL, "op8_preference": chat.OP8_SQL, "op11_warc": warc.OP11_SQL, "op12_phrases": phrases.OP12_SQL, "op13_turn_trie": turns.OP13_SQL}
