@@ -97,7 +97,8 @@ def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of all rules in append mode, each written once the watermark has closed it; several batches.
 
     Events arrive up to ten minutes out of order; those of one region arrive when all others have, and are dropped and
-    counted.
+    counted. A batch's rows are late by the watermark that the batches before it have reached, and that one takes effect
+    a batch after its rows: so two heartbeats come between, and files have times in the order of their arrival.
     """
     path, rows = shared(spark, "stream"), window(spark, sf_dir)
     empty = lambda c: F.lit(None).cast(rows.schema[c].dataType)
@@ -105,10 +106,8 @@ def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     beat = rows.limit(1).withColumns({"time_dt": F.lit(END).cast("timestamp") + F.expr("INTERVAL 9 DAYS"), "class_uid": F.lit(6003), "api": empty("api"), "actor": empty("actor"), "resources": empty("resources"), "cloud": empty("cloud")})
     late = F.col("cloud.region") == "ap-southeast-1"
     arrival = F.unix_micros("time_dt") + F.pmod(F.xxhash64("event_uid"), F.lit(600_000_000))
-    rows.where(~late).withColumn("arrival", arrival).repartitionByRange(6, "arrival").drop("arrival").write.parquet(path)
-    S.in_order(spark, path)
-    for rest in (beat, rows.where(late)):
-        rest.coalesce(1).write.mode("append").parquet(path)
+    on_time = rows.where(~late).withColumn("arrival", arrival).repartitionByRange(6, "arrival").drop("arrival")
+    path = S.waves(path, [on_time, beat.coalesce(1), beat.coalesce(1), rows.where(late).coalesce(1)])
     source = S.stream(spark.read.parquet(path), path, files=1)
     return S.run_to_files(S.windowed_detection(source, RULES), shared(spark, "windows"), shared(spark, "stream-state"))
 

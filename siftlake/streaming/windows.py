@@ -22,8 +22,10 @@ def stream(events: DataFrame, path: str, files: int = 1) -> DataFrame:
 
 
 def rule_hits(events: DataFrame, rules: list[dict]) -> DataFrame:
-    marks = rule_marks(events, rules)
-    return events.where(F.col("class_uid").isin(sorted({r["class_uid"] for r in rules}))).select("time_dt", "event_uid", F.explode(marks).alias("rule_id"))
+    """One row for each event and rule. All events move the watermark: the marks read the time, so no filter on them is
+    pushed in front of it."""
+    marks = F.when(F.col("time_dt").isNotNull(), rule_marks(events, rules))
+    return events.select("time_dt", "event_uid", F.explode(marks).alias("rule_id"))
 
 
 def windowed_detection(events: DataFrame, rules: list[dict], size: str = "60 minutes", slide: str | None = None, late: str = LATE) -> DataFrame:
@@ -88,15 +90,26 @@ def daily_investigations(events: DataFrame, rules: list[dict], hours: int = 24,
 
 
 def in_order(spark: SparkSession, path: str) -> None:
-    """Give the files of a written folder times in the order of their names: the order in which a stream reads them."""
+    """Give the files of a written folder, or of its sub-folders, times in the order of their names: the order in which a
+    stream reads them."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = sorted((str(x.getPath().getName()), x) for x in fs.listStatus(at) if x.getPath().getName().startswith("part-"))
+    listed = [*fs.listStatus(at)]
+    listed += [x for d in listed if d.isDirectory() for x in fs.listStatus(d.getPath())]
+    found = sorted((str(x.getPath()), x) for x in listed if x.getPath().getName().startswith("part-"))
     first = min((x.getModificationTime() for _, x in found), default=0) - 1000 * len(found)
     for k, (_, x) in enumerate(found):
         fs.setTimes(x.getPath(), first + 1000 * k, -1)
 
 
+def waves(path: str, frames: list[DataFrame]) -> str:
+    """Write frames that arrive one after the other, in their own order of files; the path from which to stream them."""
+    for k, rows in enumerate(frames):
+        rows.write.parquet(f"{path}/wave-{k:03d}")
+    in_order(frames[0].sparkSession, path)
+    return f"{path}/wave-*"
+
+
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run an appending stream over all that is there into Parquet files; ``late_rows`` counts the rows dropped as late."""
     spark = df.sparkSession
