@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import regex
@@ -21,11 +20,11 @@ import regex
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters from which on Unicode versions of two regular-expression libraries may class differently.
 RARE = regex.compile("[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u1c8a\u208f\u209d-\u209f\ua7cb-\ua7f1\uab6c\uab6d\U00010000-\U0010ffff]")
-#: Bytes that a window takes in at once, and the longest piece that is merged whole.
-STEP, WHOLE = 4096, 1024
+#: Bytes that a window takes in at once.
+STEP = 4096
 NO_RANK = 1 << 60
 #: Characters of one block of text, and bytes of what a stream or counter keeps of words it has met.
-BLOCK, CACHE_BYTES = 1 << 16, 96 << 20
+BLOCK, CACHE_BYTES = 1 << 16, 128 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -175,10 +174,9 @@ class PieceStream:
         return ids
 
 
-def kept_bytes(key: str, value: object) -> int:
-    """About what an entry of a dictionary takes: key, value, and their places."""
-    inner = sum(map(sys.getsizeof, value)) if isinstance(value, tuple) else 0
-    return 110 + sys.getsizeof(key) + sys.getsizeof(value) + inner
+def kept_bytes(key: str) -> int:
+    """About what a word takes in a cache with its value, both of which grow with its length; on the safe side."""
+    return 240 + 6 * len(key)
 
 
 class TextStream:
@@ -197,17 +195,15 @@ class TextStream:
         self.bare: dict[str, object] = {}
         self.newline = value(merges.merge(b"\n"))
 
-    def ids_of(self, piece: str) -> list[int]:
+    def ids_of(self, piece: str, keep: bool = True) -> list[int]:
         got = self.piece_ids.get(piece)
         if got is None:
-            data = piece.encode()
-            if len(data) > WHOLE:
-                stream = PieceStream(self.merges, self.ahead)
-                return [i for part in (*stream.feed(data), stream.finish()) for i in part]
-            got = self.merges.merge(data)
-            if self.room > 0 and len(piece) < 64:
+            stream = PieceStream(self.merges, self.ahead)
+            got = [i for part in stream.feed(piece.encode()) for i in part]
+            got += stream.finish()
+            if keep and self.room > 0 and len(piece) < 64:
                 self.piece_ids[piece] = got
-                self.room -= kept_bytes(piece, got)
+                self.room -= kept_bytes(piece)
         return got
 
     def cut(self, chunk: str) -> list[str]:
@@ -217,10 +213,13 @@ class TextStream:
         """Value of a chunk that the cache lacks; None if its edges are not sure to be borders of pieces."""
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
-        got = self.value([i for p in self.cut(lead + chunk) for i in self.ids_of(p)])
-        if self.room > 0 and len(chunk) < 64:
+        pieces = self.cut(lead + chunk)
+        kept = self.room > 0 and len(chunk) < 64
+        # a chunk of one piece is kept as such
+        got = self.value(self.ids_of(pieces[0], not kept) if len(pieces) == 1 else [i for p in pieces for i in self.ids_of(p)])
+        if kept:
             cache[chunk] = got
-            self.room -= kept_bytes(chunk, got)
+            self.room -= kept_bytes(chunk)
         return got
 
     def _lines(self, text: str) -> list | None:
@@ -324,8 +323,6 @@ class TextStream:
         for part in parts:
             if isinstance(part, int):
                 yield [self.value([part])]
-            elif len(part) <= BLOCK:
-                yield self._block(part)
             else:
                 yield from self.feed_all(part[k : k + BLOCK] for k in range(0, len(part), BLOCK))
 

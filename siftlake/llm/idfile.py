@@ -151,7 +151,7 @@ def library_stream(path: str) -> TextStream:
     letters = {b: ch for ch, b in byte_alphabet().items()}
 
     class Words(TextStream):
-        def ids_of(self, piece: str) -> list[int]:
+        def ids_of(self, piece: str, keep: bool = True) -> list[int]:
             return [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
 
     merges = merges_of(path)

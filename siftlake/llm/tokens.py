@@ -123,7 +123,7 @@ def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, body = ids_stream(path), merges_of(path).bytes_of
-        for batch in batches:
+        for batch in sliced(batches, text):
             counts, ids_sha, text_sha = [], [], []
             for whole in text_list(batch[text]):
                 n, said, back, state = 0, hashlib.sha256(), hashlib.sha256(), ByteToText()
@@ -191,7 +191,7 @@ class TokenCounter:
             n = sum(1 if piece in self.whole else self._merged(piece) for piece in WORDS.findall(plain))
         if self.room > 0 and len(word) < 64:
             self.seen[word] = n
-            self.room -= kept_bytes(word, 0)
+            self.room -= kept_bytes(word)
         return n
 
     def _merged(self, piece: str) -> int:
@@ -231,7 +231,7 @@ def count_tokens(df: DataFrame, path: str, limit: int, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_state(("count", path), lambda: TokenCounter(path, proven.value))
-        for batch in batches:
+        for batch in sliced(batches, text):
             texts = text_list(batch[text])
             n = [counter.text(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch[key], pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], [key, "n_bytes", "n_tokens", "over_limit"])
