@@ -18,8 +18,8 @@ are cut into pieces.
 
 Null, empty and blank texts have an empty set and link with nothing. Texts with fewer words than a shingle have the
 whole word sequence as their one shingle; texts of any length are cut whole. Keys are whole numbers (others raise
-TypeError). Rows that share a key take the smallest of their texts' components, and stay or go together; of several texts
-that no smaller key has, the one whose set has the smallest digest is compared for them. An empty table gives no rows.
+TypeError). Every text of a key that has several is compared, under a number of its own; such rows are linked with each
+other, so they share a component, and stay or go together. An empty table gives no rows.
 Columns of other names are left out by ``near_duplicates`` and kept by ``keep_first``.
 """
 
@@ -177,7 +177,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 class Corpus:
-    """The input, and one row (id, content, sig, bands) for each document with a set of its own."""
+    """The input, and one row (id, key, content, sig, bands) for each set: its number, and a row that has it."""
 
     def __init__(self, df: DataFrame, docs: DataFrame, size: int, percent: int, key: str, text: str):
         self.df, self.docs, self.size, self.percent, self.key, self.text = df, docs, size, percent, key, text
@@ -187,9 +187,9 @@ class Corpus:
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
         """Full sets of the documents of ``ids``: texts are read again, only those wanted are cut into shingles."""
-        wanted = stored(ids.join(self.docs.select("id", "content"), "id"), "wanted")
+        wanted = stored(ids.join(self.docs.select("id", F.col("key").alias("__key"), "content"), "id"), "wanted")
         few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        rows = self.df.select(F.col(self.key).cast("long").alias("id"), F.col(self.text).alias("text")).join(few, "id")
+        rows = self.df.select(F.col(self.key).cast("long").alias("__key"), F.col(self.text).alias("text")).join(few, "__key")
         return full_sets(rows, self.size).dropDuplicates(["id"])
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -316,11 +316,10 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
         raise TypeError(f"{key} must be a column of whole numbers")
     rows, _ = stored_at(sketch(df.withColumn(key, F.col(key).cast("long")), size, key, text), "sketch")
     named = rows.where(F.col("content").isNotNull() & F.col(key).isNotNull())
-    # one document for each set, and one set for each document
-    firsts = stored(named.groupBy("content").agg(F.min(key).alias("id")), "firsts")
-    chosen = firsts.groupBy("id").agg(F.min("content").alias("content"))
-    docs = named.select(F.col(key).alias("id"), "content", F.col("n_shingles").alias("n"), "sig", "bands").join(chosen, ["id", "content"], "left_semi").dropDuplicates(["id"])
-    docs, docs_at = stored_at(docs, "distinct")
+    # each set is compared once, by the number of the first row that has it; sets that share one get others
+    firsts, several = _numbered(stored(named.groupBy("content").agg(F.min(key).alias("key")), "firsts"), named.select(F.col(key).alias("key"), "content"))
+    docs = named.join(firsts, (named["content"] == firsts["content"]) & (named[key] == firsts["key"]), "left_semi").select("content", F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["content"])
+    docs, docs_at = stored_at(docs.join(firsts, "content"), "distinct")
     corpus = Corpus(df, docs, size, percent, key, text)
 
     keys = docs.select("id", F.explode("bands").alias("band"))
@@ -349,17 +348,39 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
         labels = components(links)
     discard(spark, grouped_at)
     discard(spark, docs_at)
-    # every document takes the component of its set's first document
-    classes = firsts.join(labels, "id", "left").select("content", F.coalesce("component", "id").alias("component_id"))
-    got = split_join(named.select(key, "n_shingles", "content"), classes, "content", F.col(key)).select(key, "n_shingles", "component_id")
+    if several is not None:
+        labels = components(links.select("a", "b").unionByName(several))
+    # every document takes the component of its set
+    classes = firsts.join(labels, "id", "left").select("content", "key", F.coalesce("component", "id").alias("component_id"))
+    if several is not None:  # numbers that are no keys give way to the smallest key
+        least = classes.groupBy("component_id").agg(F.min("key").alias("least"))
+        classes = split_join(classes, least, "component_id", F.col("content")).select("content", F.col("least").alias("component_id"))
+    got = split_join(named.select(key, "n_shingles", "content"), classes.select("content", "component_id"), "content", F.col(key)).select(key, "n_shingles", "component_id")
     got = got.unionByName(rows.where(F.col("content").isNull() | F.col(key).isNull()).select(key, "n_shingles", F.col(key).alias("component_id")))
-    several = stored(named.groupBy(key).agg(F.count_distinct("content").alias("texts")).where("texts > 1").select(key), "several-texts")
-    if not several.isEmpty():
-        own = got.join(several, key, "left_semi").groupBy(key).agg(F.min("component_id").alias("own"))
-        got = got.join(own, key, "left").select(key, "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
     return got.select(key, "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col(key)).alias("kept"))
 
 
+def _numbered(firsts: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``firsts`` (content, key) with ``id``: the key, but for all sets of a key that is the first of several, one that no
+    row has as its key. Also (a, b) by id: links of the sets that share a key with the first of them; None without any."""
+    twice = stored(named.distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("first")).where("n > 1"), "several")
+    if twice.isEmpty():
+        return firsts.withColumn("id", F.col("key")), None
+    alone = firsts.groupBy("key").agg(F.min("content").alias("own"))
+    keys, salt = named.select(F.col("key").alias("id")).distinct(), 0
+    while True:
+        ids = firsts.join(alone, "key").select("content", "key", F.when(F.col("content") == F.col("own"), F.col("key")).otherwise(F.xxhash64(F.lit(salt), "content")).alias("id"))
+        ids = stored(ids, "numbers")
+        made = ids.where(F.col("id") != F.col("key"))
+        if ids.groupBy("id").count().where("count > 1").isEmpty() and made.join(keys, "id", "left_semi").isEmpty():
+            break
+        salt += 1
+    of = ids.select("content", "id")
+    pairs = named.join(twice, "key").where(F.col("content") != F.col("first")).select("content", "first").distinct()
+    several = pairs.join(of.withColumnRenamed("id", "a"), "content").join(of.select(F.col("content").alias("first"), F.col("id").alias("b")), "first").select("a", "b").distinct()
+    return ids, stored(several, "same-key")
+
+
 def keep_first(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, one of each component, with their columns. Rows with a null key stay."""
     dropped = stored(near_duplicates(df, size, percent, key, text).where("NOT kept").select(key), "near-dropped")

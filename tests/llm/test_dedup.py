@@ -280,3 +280,36 @@ def test_shards_by_target_and_empty(spark):
     total = sum(len((t or "").encode()) + 1 for _, t, *_ in rows)
     assert len({r.shard for r in shards.kd_shards(df, ["n"], target_bytes=total // 3 + 1).collect()}) == 3
     assert shards.kd_shards(df.limit(0), ["n"], n_shards=4).count() == 0
+
+
+def test_every_text_of_a_repeated_key_is_compared(spark):
+    """Components over texts, rows of one key linked, against plain Python."""
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xyz") + rng.choice("mnopq")
+    bases = [[word() for _ in range(60)] for _ in range(12)]
+    rows = []
+    for k in range(90):
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            words[rng.randrange(60)] = word()
+        rows.append((rng.randrange(60), " ".join(words)))
+    rows += [(5, None), (5, ""), (None, rows[0][1]), (2, rows[0][1])]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in ((t or "").split() for _, t in rows)]
+    top = list(range(len(rows)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    live = [k for k, (key, _) in enumerate(rows) if key is not None and sets[k]]
+    for n, i in enumerate(live):
+        for j in live[:n]:
+            if rows[i][0] == rows[j][0] or 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                top[root(i)] = root(j)
+    least = {}
+    for k in live:
+        least[root(k)] = min(least.get(root(k), 1 << 60), rows[k][0])
+    want = sorted(((key, len(sets[k]), least[root(k)] if k in live else key) for k, (key, _) in enumerate(rows)), key=repr)
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
