@@ -22,7 +22,8 @@ As the kernel is a sum over subsequences, the machine's weights fold into one nu
 scored by looking these up and by running sums: no kernel matrix, nothing kept from text to text.
 
 Only labels and texts are learnt from; identity, language and source are never inputs. The model is fitted on at most
-``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents, chosen by a hash; scoring reads every text whole, long ones in
+``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents with texts of ``SAMPLE_BYTES`` for each kind, chosen by a hash, and a
+round takes in at most ``HARD`` clean stretches; scoring reads every text whole, long ones in
 blocks. Null and empty texts count as a stretch without any likeness. Repeated rows score alike. Columns of other names
 are kept as they are; a column named like the result is replaced. Without labels of both kinds every document scores 0;
 without a telling word, the share of toxic documents among the labelled ones (0.49 at most). An empty table gives no rows.
@@ -40,7 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, no_null, sliced, table, text_list, worker_state
@@ -60,8 +61,8 @@ BY_CHANCE = 1.0
 FLOOR = 0.002
 #: Price of the wrong side of the margin, rounds of training, and clean stretches that a round takes in, the worst ones.
 COST, TURNS, HARD = 500.0, 4, 20_000
-#: Bounds of the training sample, in documents.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
+#: Bounds of the training sample: documents of each kind, and bytes of their texts (12 MB of each kind).
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 2000, 12 << 20
 #: Characters that are laid out at once, and by how much blocks of a longer text overlap.
 BLOCK, OVERLAP = 1 << 16, 4096
 _GAPS = [g for g in itertools.product(range(1, SPAN), repeat=ORDER - 1) if sum(g) < SPAN]
@@ -503,6 +504,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     picked = known.where("__y = 1").orderBy(order, key).limit(SAMPLE_TOXIC).unionByName(known.where("__y = 0").orderBy(order, key).limit(SAMPLE_CLEAN))
     prior = sizes[1] / (sizes[0] + sizes[1])
     rows = documents.select(key, no_null(text).alias("t")).join(F.broadcast(picked), key).select(key, "t", "__y")
+    # in order of the hash, as long as the texts so far fit; sums over the picked rows alone
+    so_far = F.sum(F.octet_length("t")).over(Window.partitionBy("__y").orderBy(order, key).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__bytes", so_far).where(F.col("__bytes") <= SAMPLE_BYTES).drop("__bytes")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("training",), lambda: None)  # frees what the worker kept before
