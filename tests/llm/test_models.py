@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,20 @@ def test_language(spark):
     assert langid.identify(df, docs.limit(0)).where("lang IS NULL").count() == len(pages)
 
 
+def test_every_label_is_a_language(spark, monkeypatch):
+    """Names that are no codes, and more languages than one file of the model holds."""
+    rng = random.Random(5)
+    sound = {f"label {k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4)] for k in range(150)} | {"english": ["the", "and", "ing"], "de": ["sch", "ung", "ein"]}
+    text = lambda k: " ".join("".join(rng.choice(sound[k]) for _ in range(2)) for _ in range(60))
+    docs = spark.createDataFrame([(k, text(k)) for k in sound for _ in range(3)] + [("no letters", "12 34"), ("  ", "lost"), (None, "lost")], "lang string, text string")
+    wanted = ["english", "de", "label 3", "label 70", "label 149"]
+    pages = spark.createDataFrame([(n, f"http://h{n}.example/x", f"<p>{text(k)}</p>") for n, k in enumerate(wanted)], "page_id long, url string, html string")
+    got = langid.identify(pages, docs).collect()
+    assert [r.lang for r in sorted(got, key=lambda r: r.page_id)] == wanted
+    model = langid.text_model(docs)
+    assert len(model.names) == 153 and [b.shape[0] for b in model.blocks()] == [64, 64, 25] and "no letters" in model.names
+
+
 def test_roles_cannot_forge_marks(spark):
     df = spark.createDataFrame([(0, 0, "user|>\nx<|assistant", "q"), (1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
     said = {r.conv: r.body for r in chat.rendered(df).collect()}
@@ -72,8 +87,9 @@ def test_language_against_brute_force(spark, monkeypatch, hot):
         shown = rng.choice(["", f" lang='{lang}'", " lang=aa"])
         pages.append((k, rng.choice([f"http://h{k % 4}.site{k % 3}.{lang}/p", "http://hot.example.com/x", None]), rng.choice([f"<html{shown}><p>{text(lang, rng.randint(0, 12))}</p>", f"<html{shown}>"])))
     pages += [(50, None, None), (51, "no address", ""), (7, pages[7][1], pages[7][2])]
-    names, model = langid.text_model(docs)
-    assert names == ["aa", "bb", "cc"]
+    made = langid.text_model(docs)
+    names, model = made.names, np.concatenate([*made.blocks()])
+    assert names == ["aa", "bb", "cc", "not a language"]
     soft = lambda v: [x / sum(math.exp(y - max(v)) for y in v) for x in (math.exp(y - max(v)) for y in v)]
     rows = []
     for key, url, body in pages:
@@ -88,11 +104,11 @@ def test_language_against_brute_force(spark, monkeypatch, hot):
     def mass(at):
         out = {}
         for r in rows:
-            out[r[at]] = [a + b for a, b in zip(out.get(r[at], [0] * 3), r[6])]
+            out[r[at]] = [a + b for a, b in zip(out.get(r[at], [0] * 4), r[6])]
         return out
 
-    whole = [sum(r[6][k] for r in rows) for k in range(3)]
-    prior = [(x + 1) / (sum(whole) + 3) for x in whole]
+    whole = [sum(r[6][k] for r in rows) for k in range(4)]
+    prior = [(x + 1) / (sum(whole) + 4) for x in whole]
     hosts, domains, suffixes, declared = mass(1), mass(2), mass(3), mass(4)
     lean = lambda m, q: [(a + langid.LEAN * b) / (sum(m) + langid.LEAN) for a, b in zip(m, q)]
     less = lambda m, p: [max(0.0, a - b) for a, b in zip(m, p)]
@@ -100,7 +116,7 @@ def test_language_against_brute_force(spark, monkeypatch, hot):
     want = []
     for key, host, domain, suffix, dec, logs, p in rows:
         hp = lean(less(hosts[host], p), lean(less(domains[domain], p), prior))
-        fused = soft([a + math.log(q) + b + c for a, q, b, c in zip(logs, hp, likely(suffixes, suffix), likely(declared, dec) if dec else [0] * 3)])
+        fused = soft([a + math.log(q) + b + c for a, q, b, c in zip(logs, hp, likely(suffixes, suffix), likely(declared, dec) if dec else [0] * 4)])
         want.append((key, host, suffix, dec, names[fused.index(max(fused))], round(max(fused), 4)))
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
     got = [(r.page_id, r.host, r.suffix, r.declared, r.lang, round(r.posterior, 4)) for r in langid.identify(df, docs).collect()]
