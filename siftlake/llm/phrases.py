@@ -3,21 +3,22 @@
 Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those at spaces and tabs into words. In
 numpy, a prefix polynomial over the bytes of a block gives the hash of every word in it by one subtraction, and a second
 prefix polynomial over the word hashes that of every run of n words; language and n are mixed in. A phrase can only be
-frequent if both phrases one word shorter in it are, so the levels n = 1, 2, ... each read the texts once and send on
-(fingerprint, count) of runs whose two parts were found frequent; counts are summed in the task and again before the
-shuffle. Fingerprints that collide can only add up to more, so no frequent phrase is lost.
+frequent if both phrases one word shorter in it are, so the levels n = 1, 2, ... each read the texts once and send on the
+fingerprints of runs whose two parts were found frequent: with their count, a pointer to an occurrence (the document's
+doc_id, or a hash of its text), and the sum of 32 bits of a fingerprint by polynomials of other bases. They are summed in
+the task and again before the shuffle. Fingerprints that collide can only add up to more, so no frequent phrase is lost.
 
 What is frequent goes to the tasks as bit sets, built by tasks and kept in files of one MB: up to ``KEPT_BITS`` a worker
 holds the whole set; beyond, it reads the files in turn for each block of runs. A bit that is set by chance only lets a
 run through that is counted for nothing.
 
-A last read verifies against the text: in each block, all occurrences of a fingerprint are compared with the one that
-its pointer names (words byte by byte, runs word by word), colliding ones are parted, and only phrases of frequent
-fingerprints become strings, with their count and the smallest doc_id as pointer to an occurrence. Summed by string,
-these counts are exact. Scores, cuts and containment are joins of the frequent phrases alone. The first ``keep`` of a
+Frequent phrases alone become strings, each once: the documents that pointers name are read again. The string's own check
+times the count has to be the sum over all occurrences, else different runs have the same fingerprint. Those are counted
+once more, by string: in each block, all occurrences of a fingerprint are compared with one of them (words byte by byte,
+runs word by word) and parted. Scores, cuts and containment are joins of the frequent phrases. The first ``keep`` of a
 language are found by a group limit before the shuffle.
 
-Null texts are empty, a null language is ``und``. Null doc_ids are no pointer. Rows that repeat count each. Texts of any
+Null texts are empty, a null language is ``und``. Rows that repeat count each. Texts of any
 length are read whole, in blocks that end at the end of a piece; a piece longer than a block (``SLAB``) is taken whole, so
 a task's memory grows with the longest piece, not with the text. Columns of other names are left out. Without candidates
 (empty tables too) there are no rows.
@@ -26,25 +27,25 @@ a task's memory grows with the longest piece, not with the text. Columns of othe
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, no_null, stored, table, worker_state
 
 #: Bytes of text in a block, runs that a task holds before it counts them, bytes of text that are verified together.
-SLAB, RUNS_HELD, TEXT_HELD = 1 << 21, 1 << 22, 1 << 25
+SLAB, RUNS_HELD, TEXT_HELD = 1 << 20, 1 << 21, 1 << 24
 #: Bits of a file of a bit set, bits for each entry, bits that a worker keeps.
 PIECE_BITS, BITS_EACH, KEPT_BITS = 23, 16, 1 << 30
 #: Phrases with their counts that a task holds before it passes them on, rows of a batch.
 PHRASES_HELD, ROWS = 400_000, 100_000
 
-WORD_BASE, RUN_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-NO_DOC = np.iinfo(np.int64).max
+#: Bases of the fingerprints of words and runs, and of their checks.
+WORD_BASE, RUN_BASE, WORD_CHECK, RUN_CHECK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -89,7 +90,7 @@ class Polynomial:
 class Block:
     """Words of some texts: places, hashes, piece and text of each."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, salts: np.ndarray, docs: np.ndarray, langs: list[str], words: Polynomial, runs: Polynomial):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, salts: np.ndarray, docs: np.ndarray, langs: list[str], tools: list[Polynomial]):
         self.low, kind = LOWER[data], KIND[data]
         inside = kind == 0
         edge = np.zeros(len(data) + 1, bool)
@@ -102,19 +103,25 @@ class Block:
         self.stop = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.text = np.searchsorted(starts, self.first, "right") - 1
         self.piece = np.cumsum(kind == END, dtype=np.int64)[self.first] + self.text
-        self.salts, self.docs, self.langs, self.runs = salts, docs, langs, runs
-        prefix = words.prefix(self.low.astype(np.uint64))
-        self.hash = mixed(words.ranges(prefix, self.first, self.stop) + (self.stop - self.first).astype(np.uint64))
-        self.sums = runs.prefix(self.hash)
+        self.docs, self.langs = docs, langs
+        values = self.low.astype(np.uint64)
+        self.runs, self.run_checks = tools[2:]
+        self.hash, self.check = (mixed(tool.ranges(tool.prefix(values), self.first, self.stop) + (self.stop - self.first).astype(np.uint64)) for tool in tools[:2])
         self.salt = salts[self.text]
 
     def __len__(self) -> int:
         return len(self.first)
 
+    def _runs(self, tool: Polynomial, values: np.ndarray, n: int) -> np.ndarray:
+        at = np.arange(max(0, len(self) - n + 1))
+        return mixed(tool.ranges(tool.prefix(values), at, at + n) ^ (self.salt[: len(at)] + np.uint64(n)))
+
     def fingerprints(self, n: int) -> np.ndarray:
         """Of the run of n words that begins at each word, as far as there are n."""
-        at = np.arange(max(0, len(self) - n + 1))
-        return mixed(self.runs.ranges(self.sums, at, at + n) ^ (self.salt[: len(at)] + np.uint64(n)))
+        return self._runs(self.runs, self.hash, n)
+
+    def checks(self, n: int) -> np.ndarray:
+        return self._runs(self.run_checks, self.check, n) >> np.uint64(32)
 
     def whole(self, n: int) -> np.ndarray:
         """Which of these runs lie in one piece."""
@@ -140,7 +147,7 @@ class Block:
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     """Blocks of about SLAB bytes from rows (doc, lang, text)."""
-    words, runs = worker_state(("phrases",), lambda: (Polynomial(WORD_BASE), Polynomial(RUN_BASE)))
+    tools = worker_state(("phrases",), lambda: [Polynomial(base) for base in (WORD_BASE, WORD_CHECK, RUN_BASE, RUN_CHECK)])
     salts: dict[str, int] = {}
     for batch in batches:
         column = batch["text"].cast(pa.large_string())
@@ -148,18 +155,18 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
         langs = batch["lang"].to_pylist()
         salt = np.array([salts.setdefault(x, int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")) for x in langs], np.uint64)
-        docs = pc.fill_null(batch["doc"], int(NO_DOC)).to_numpy()
+        docs = batch["doc"].to_numpy()
         a = 0
         while a < len(langs):
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLAB, "right")) - 1)
             if b > a + 1 or offsets[b] - offsets[a] <= SLAB:
                 if offsets[b] > offsets[a]:
-                    yield Block(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], salt[a:b], docs[a:b], langs[a:b], words, runs)
+                    yield Block(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], salt[a:b], docs[a:b], langs[a:b], tools)
             else:
                 at, end = int(offsets[a]), int(offsets[b])
                 while at < end:
                     cut = _cut(data, at, end)
-                    yield Block(data[at:cut], np.zeros(1, np.int64), salt[a:b], docs[a:b], langs[a:b], words, runs)
+                    yield Block(data[at:cut], np.zeros(1, np.int64), salt[a:b], docs[a:b], langs[a:b], tools)
                     at = cut
             a = b
 
@@ -179,7 +186,8 @@ def _cut(data: np.ndarray, at: int, end: int) -> int:
 
 
 class BitSet:
-    """Fingerprints as bits in files of the shared folder; may contain more than was put in, never less."""
+    """Fingerprints as two bits each, of the same file, in files of the shared folder; may contain more than was put in,
+    never less."""
 
     def __init__(self, folder: str, bits: int):
         self.folder, self.bits = folder, bits
@@ -211,13 +219,14 @@ class BitSet:
                     store.move(own, f"{root}/{number:08d}.bits")
 
             for batch in batches:
-                at = batch[column].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-                pieces = (at >> np.uint64(piece_bits)).astype(np.int64)
+                fps = batch[column].to_numpy().view(np.uint64)
+                pieces = (fps >> np.uint64(64 - bits) >> np.uint64(piece_bits)).astype(np.int64)
                 for p in np.unique(pieces):  # rows come sorted by piece
                     if p != number:
                         close()
                         held, number = np.zeros(1 << piece_bits, bool), int(p)
-                    held[(at[pieces == p] & np.uint64((1 << piece_bits) - 1)).astype(np.int64)] = True
+                    for place in out.places(fps[pieces == p]):
+                        held[(place & np.uint64((1 << piece_bits) - 1)).astype(np.int64)] = True
             close()
             yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["n"])
 
@@ -239,20 +248,30 @@ class BitSet:
                     out[k * size : (k + 1) * size] = np.frombuffer(source.read(), np.uint8)
         return out
 
+    def places(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two bits of the same file, by the upper and by the lower bits of a fingerprint."""
+        first, inside = fps >> np.uint64(64 - self.bits), np.uint64((1 << self.piece_bits) - 1)
+        return first, first & ~inside | fps & inside
+
     def has(self, fps: np.ndarray) -> np.ndarray:
-        at = fps >> np.uint64(64 - self.bits)
+        def bit(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+        one, two = self.places(fps)
         whole, step = 1 << self.bits - self.piece_bits, max(1, KEPT_BITS >> self.piece_bits)
         if whole <= step:
             if getattr(self, "_all", None) is None:
                 self._all = self._read(0, whole)
-            return self._all[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+            out = bit(self._all, one)
+            out[out] = bit(self._all, two[out])
+            return out
         out = np.zeros(len(fps), bool)
         for k in range(0, whole, step):
             lo, hi = k << self.piece_bits, min(whole, k + step) << self.piece_bits
-            some = np.flatnonzero((at >= lo) & (at < hi))
+            some = np.flatnonzero((one >= lo) & (one < hi))
             if len(some):
-                mine = at[some] - np.uint64(lo)
-                out[some] = self._read(k, min(whole, k + step))[mine >> np.uint64(3)] >> (mine & np.uint64(7)).astype(np.uint8) & 1 == 1
+                data = self._read(k, min(whole, k + step))
+                out[some] = bit(data, one[some] - np.uint64(lo)) & bit(data, two[some] - np.uint64(lo))
         return out
 
     def __getstate__(self) -> dict:
@@ -260,101 +279,130 @@ class BitSet:
 
 
 def frequent_runs(rows: DataFrame, n: int, least: int, shorter: BitSet | None) -> DataFrame:
-    """(fp) of runs of n words that come ``least`` times or more; all such, and those whose fingerprints add up to it."""
+    """(fp, c, doc, checks) of runs of n words that come ``least`` times or more; all such, and those whose fingerprints
+    add up to it. For n = 1 also (lang, c): the words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n_held = 0
+        words: Counter = Counter()
 
         def counted() -> Iterator[pa.RecordBatch]:
-            fps, ok = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            fps, ok, checks = (np.concatenate([h[k] for h in held]) for k in range(3))
             if shorter is not None:
-                part = shorter.has(np.concatenate([h[2] for h in held]))
+                part = shorter.has(np.concatenate([h[3] for h in held]))
                 part[:-1] &= part[1:]
                 ok &= part
-            values, counts = np.unique(fps[ok], return_counts=True)
-            for k in range(0, len(values), ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(values[k : k + ROWS].view(np.int64)), pa.array(counts[k : k + ROWS])], ["fp", "c"])
+            at = np.flatnonzero(ok)
+            at = at[np.argsort(fps[at])]
+            fps, checks = fps[at], checks[at].astype(np.int64)
+            first = np.flatnonzero(np.append(True, fps[1:] != fps[:-1])) if len(fps) else np.zeros(0, np.int64)
+            counts, sums = np.diff(np.append(first, len(fps))), np.add.reduceat(checks, first) if len(fps) else checks
+            ends = np.cumsum([len(h[0]) for h in held])
+            block, docs = np.searchsorted(ends, at[first], "right"), np.empty(len(first), np.int64)
+            for k in np.unique(block):
+                mine = np.flatnonzero(block == k)
+                docs[mine] = held[k][5][held[k][4][at[first[mine]] - (ends[k] - len(held[k][0]))]]
+            fps = fps[first].view(np.int64)
+            for k in range(0, len(fps), ROWS):
+                part = slice(k, k + ROWS)
+                yield batch_of(pa.array(fps[part]), pa.nulls(len(fps[part]), pa.string()), counts[part], docs[part], sums[part])
+
+        def batch_of(fps: pa.Array, langs: pa.Array, counts, docs, sums) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([fps, langs, pa.array(counts, pa.int64()), pa.array(docs, pa.int64()), pa.array(sums, pa.int64())], ["fp", "lang", "c", "doc", "checks"])
 
         for block in blocks(batches):
-            fps, ok = np.zeros(len(block), np.uint64), np.zeros(len(block), bool)
+            fps, ok, checks = np.zeros(len(block), np.uint64), np.zeros(len(block), bool), np.zeros(len(block), np.uint32)
             if len(block) >= n:
-                fps[: len(block) - n + 1], ok[: len(block) - n + 1] = block.fingerprints(n), block.whole(n)
+                end = len(block) - n + 1
+                fps[:end], ok[:end], checks[:end] = block.fingerprints(n), block.whole(n), block.checks(n)
             parts = np.zeros(len(block) if shorter is not None else 0, np.uint64)
             if shorter is not None and len(block) >= n - 1:
                 parts[: len(block) - n + 2] = block.fingerprints(n - 1)
-            held.append((fps, ok, parts))
+            if n == 1:
+                for lang, c in zip(block.langs, np.bincount(block.text, minlength=len(block.langs)).tolist()):
+                    words[lang] += c
+            held.append((fps, ok, checks, parts, block.text.astype(np.int32), block.docs))
             n_held += len(block)
             if n_held >= RUNS_HELD:
                 yield from counted()
                 held, n_held = [], 0
         if held:
             yield from counted()
+        langs = [x for x, c in words.items() if c]
+        yield batch_of(pa.nulls(len(langs), pa.int64()), pa.array(langs, pa.string()), [words[x] for x in langs], [0] * len(langs), [0] * len(langs))
+
+    keys = ["fp", "lang"] if n == 1 else ["fp"]
+    got = rows.mapInArrow(run, "fp long, lang string, c long, doc long, checks long").groupBy(*keys).agg(F.sum("c").alias("c"), F.min("doc").alias("doc"), F.sum("checks").alias("checks"))
+    return got.where((F.col("c") >= least) | F.col("fp").isNull())
+
 
-    return rows.mapInArrow(run, "fp long, c long").groupBy("fp").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("fp")
+def spelled(rows: DataFrame, found: DataFrame, most_words: int) -> DataFrame:
+    """(lang, phrase, fp, mark): the strings of fingerprints ``found`` (fp, doc) in the documents that they point at, of
+    one to ``most_words`` words, each with its check."""
+    lists = stored(found.groupBy("doc").agg(F.collect_list("fp").alias("fps")), "pointers")  # no more than a document has runs
+    pointed = BitSet.of(lists.select(F.xxhash64("doc").alias("fp")))
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("phrases",), lambda: [Polynomial(base) for base in (WORD_BASE, WORD_CHECK, RUN_BASE, RUN_CHECK)])
+        for batch in batches:
+            yield batch.select(["doc", "lang", "text"]).filter(pa.array(pointed.has(batch["h"].to_numpy().view(np.uint64))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch["fps"].to_pylist()
+            for k in range(batch.num_rows):
+                sure = np.array(wanted[k], np.int64).view(np.uint64)
+                for block in blocks([batch.slice(k, 1)]):
+                    for n in range(1, most_words + 1):
+                        fps, checks = block.fingerprints(n), block.checks(n)
+                        at = np.flatnonzero(block.whole(n) & np.isin(fps, sure))
+                        at = at[np.unique(np.stack([fps[at], checks[at]]), axis=1, return_index=True)[1]]
+                        text = [" ".join([block.word(j) for j in range(i, i + n)]) for i in at.tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array([block.langs[0]] * len(at), pa.string()), pa.array(text, pa.string()), pa.array(fps[at].view(np.int64)), pa.array(checks[at].astype(np.int64))], ["lang", "phrase", "fp", "mark"])
+
+    few = rows.withColumn("h", F.xxhash64("doc")).mapInArrow(only, "doc long, lang string, text string")
+    return few.join(lists, "doc").mapInArrow(run, "lang string, phrase string, fp long, mark long").distinct()
 
 
 def verified(rows: DataFrame, sets: list[BitSet]) -> DataFrame:
-    """(lang, phrase, f, doc): exact counts of the phrases whose fingerprints the sets hold (sets[0]: single words), and
-    with phrase null the number of words of each language."""
+    """(lang, phrase, f): exact counts of the phrases whose fingerprints the sets hold; sets[k] is of runs of k + 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, list] = {}
+        found: Counter = Counter()
         held: list[Block] = []
 
-        def put(lang: str, phrase: str | None, count: int, doc: int) -> None:
-            got = found.get((lang, phrase))
-            if got is None:
-                found[lang, phrase] = [count, doc]
-            else:
-                got[0] += count
-                got[1] = min(got[1], doc)
-
         def spell(block: Block, ids: np.ndarray, spelled: dict[int, str], n: int, at: np.ndarray, fps: np.ndarray) -> None:
             _, rep, group = np.unique(fps, return_index=True, return_inverse=True)
             runs = np.stack([ids[at + k] for k in range(n)])
             if not (runs == runs[:, rep[group]]).all() or not (block.salt[at] == block.salt[at[rep[group]]]).all():
                 keys = np.concatenate([runs, [block.salt[at].view(np.int64)]])
                 _, rep, group = np.unique(keys, axis=1, return_index=True, return_inverse=True)
-            counts, docs = np.bincount(group), np.full(len(rep), NO_DOC)
-            np.minimum.at(docs, group, block.docs[block.text[at]])
-            for r, c, d in zip(at[rep].tolist(), counts.tolist(), docs.tolist()):
+            for r, c in zip(at[rep].tolist(), np.bincount(group).tolist()):
                 words = ids[r : r + n].tolist()
                 for w in words:
                     if w not in spelled:
                         spelled[w] = block.word(w)
-                put(block.langs[block.text[r]], " ".join([spelled[w] for w in words]), c, d)
+                found[block.langs[block.text[r]], " ".join([spelled[w] for w in words])] += c
 
         def checked() -> None:
             known = [(b.word_ids(), {}) for b in held]
-            for n, frequent in enumerate(sets, 1):
-                fps = [b.fingerprints(n) for b in held]
-                ok = frequent.has(np.concatenate(fps)) & np.concatenate([b.whole(n) for b in held])
-                for block, (ids, spelled), mine, yes in zip(held, known, fps, np.split(ok, np.cumsum([len(x) for x in fps])[:-1])):
-                    at = np.flatnonzero(yes)
+            for n, wanted in enumerate(sets, 1):
+                for block, (ids, spelled) in zip(held, known):
+                    fps = block.fingerprints(n)
+                    at = np.flatnonzero(wanted.has(fps) & block.whole(n))
                     if len(at):
-                        spell(block, ids, spelled, n, at, mine[at])
-            for block in held:
-                per_text = np.bincount(block.text, minlength=len(block.langs))
-                for lang, c in zip(block.langs, per_text.tolist()):
-                    if c:
-                        put(lang, None, c, int(NO_DOC))
+                        spell(block, ids, spelled, n, at, fps[at])
 
         def rows_of() -> Iterator[pa.RecordBatch]:
-            kind = pa.struct([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64()), ("doc", pa.int64())])
-            some = []
-            for (lang, phrase), (count, doc) in found.items():
-                some.append({"lang": lang, "phrase": phrase, "f": count, "doc": None if doc == NO_DOC else doc})
-                if len(some) == ROWS:
-                    yield pa.RecordBatch.from_struct_array(pa.array(some, kind))
-                    some = []
-            yield pa.RecordBatch.from_struct_array(pa.array(some, kind))
+            langs, texts = [k[0] for k in found], [k[1] for k in found]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array([*found.values()], pa.int64())], ["lang", "phrase", "f"])
 
         size = 0
         for block in blocks(batches):
             held.append(block)
             size += len(block.low)
-            if size >= TEXT_HELD // (8 if len(found) < PHRASES_HELD else 1):
+            if size >= TEXT_HELD:
                 checked()
                 held, size = [], 0
                 if len(found) >= PHRASES_HELD:
@@ -364,7 +412,24 @@ def verified(rows: DataFrame, sets: list[BitSet]) -> DataFrame:
             checked()
         yield from rows_of()
 
-    return rows.mapInArrow(run, "lang string, phrase string, f long, doc long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("doc").alias("doc"))
+    return rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def phrase_counts(rows: DataFrame, levels: list[DataFrame], least: int) -> DataFrame:
+    """(lang, phrase, f) of all phrases that come ``least`` times or more, from the levels' fingerprints."""
+    found = levels[0].withColumn("n", F.lit(1))
+    for n, level in enumerate(levels[1:], 2):
+        found = found.unionByName(level.withColumn("n", F.lit(n)))
+    named = stored(found.join(spelled(rows, found.select("fp", "doc"), len(levels)), "fp"), "spelled")
+    # all occurrences are this string if their checks add up to its own that many times
+    sure = named.withColumn("fits", F.col("checks").cast("decimal(38,0)") == F.col("c").cast("decimal(19,0)") * F.col("mark"))
+    one = sure.groupBy("n", "fp").agg(F.bool_and("fits").alias("fits"), F.count("*").alias("strings"), F.first("lang").alias("lang"), F.first("phrase").alias("phrase"), F.first("c").alias("f"))
+    one = stored(one, "checked")
+    good, mixed_up = one.where("fits AND strings = 1").select("lang", "phrase", "f"), one.where("NOT fits OR strings > 1").select("n", "fp")
+    if mixed_up.isEmpty():
+        return good
+    again = verified(rows, [BitSet.of(stored(mixed_up.where(F.col("n") == n).select("fp"), "collisions")) for n in range(1, len(levels) + 1)])
+    return good.unionByName(again.where(F.col("f") >= least).join(good, ["lang", "phrase"], "left_anti"))
 
 
 def wide(x: str | Column) -> Column:
@@ -372,31 +437,35 @@ def wide(x: str | Column) -> Column:
 
 
 def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, keep: int = 2000, percent: int = 80, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """The first ``keep`` phrases of each language by score: lang, rank, phrase, a, l, r, n, score, first_doc_id.
+    """The first ``keep`` phrases of each language by score: lang, rank, phrase, a, l, r, n, score.
 
     ``percent``: a phrase goes if a longer candidate that holds it comes at least so often, in hundredths of its count.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), no_null(text).alias("text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("doc"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), no_null(text).alias("text"))
     sets: list[BitSet] = []
+    levels: list[DataFrame] = []
     for n in range(1, most_words + 1):
-        sets.append(BitSet.of(stored(frequent_runs(rows, n, least, sets[-1] if sets else None), f"runs-{n}")))
-    counts = stored(verified(rows, sets), "phrases")
-    f = counts.where((F.col("f") >= least) & F.col("phrase").isNotNull()).select("lang", "phrase", "f", "doc")
+        got = stored(frequent_runs(rows, n, least, sets[-1] if sets else None), f"runs-{n}")
+        if n == 1:
+            totals = got.where("fp IS NULL").select("lang", F.col("c").alias("n"))
+        levels.append(got.where("fp IS NOT NULL").select("fp", "c", "doc", "checks"))
+        sets.append(BitSet.of(levels[-1]))
+    f = stored(phrase_counts(rows, levels, least), "phrases")
     words = F.split("phrase", " ")
     longer = f.withColumn("w", words).withColumn("m", F.size("w")).where("m > 1")
-    cands = longer.select("lang", "phrase", F.col("f").alias("a"), "doc", "w", "m")
+    cands = longer.select("lang", "phrase", F.col("f").alias("a"), "w", "m")
 
     # both parts of each cut, all frequent since the whole is
-    cut = cands.select("lang", "phrase", "a", "doc", "w", "m", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
+    cut = cands.select("lang", "phrase", "a", "w", "m", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
     part = F.array(F.struct(F.lit(0).alias("side"), F.array_join(F.slice("w", 1, F.col("k")), " ").alias("part")), F.struct(F.lit(1).alias("side"), F.array_join(F.slice("w", F.col("k") + 1, F.col("m") - F.col("k")), " ").alias("part")))
-    parts = cut.select("lang", "phrase", "a", "doc", "k", F.explode(part).alias("p")).select("lang", "phrase", "a", "doc", "k", "p.side", "p.part")
+    parts = cut.select("lang", "phrase", "a", "k", F.explode(part).alias("p")).select("lang", "phrase", "a", "k", "p.side", "p.part")
     known = parts.join(f.select("lang", F.col("phrase").alias("part"), F.col("f").alias("pf")), ["lang", "part"])
     sums = [F.max(F.when((F.col("k") == k) & (F.col("side") == s), F.col("pf"))).alias(f"{'lr'[s]}{k}") for k in range(1, most_words) for s in (0, 1)]
     cuts = [
         F.when(F.col(f"l{k}").isNotNull(), F.struct(F.call_function("div", wide("a") * F.lit(2_000_000).cast("decimal(7,0)"), wide(f"l{k}") + wide(f"r{k}")).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
         for k in range(1, most_words)
     ]
-    best = known.groupBy("lang", "phrase", "a", "doc").agg(*sums).withColumn("best", F.array_min(F.filter(F.array(*cuts), lambda x: x.isNotNull())))
+    best = known.groupBy("lang", "phrase", "a").agg(*sums).withColumn("best", F.array_min(F.filter(F.array(*cuts), lambda x: x.isNotNull())))
 
     # the largest count of a longer candidate that holds the phrase
     places = F.flatten(F.transform(F.sequence(F.lit(2), F.col("m") - 1), lambda size: F.transform(F.sequence(F.lit(1), F.col("m") - size + 1), lambda at: F.array_join(F.slice("w", at, size), " "))))
@@ -404,9 +473,8 @@ def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, keep: in
     left = best.join(inner, ["lang", "phrase"], "left").where(F.col("over").isNull() | (wide("over") * 100 < wide("a") * percent))
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), F.asc("phrase")))
-    first = left.select("lang", "phrase", "a", "best", "doc").withColumn("rank", rank).where(F.col("rank") <= keep)
-    totals = counts.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
-    return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"), F.col("doc").alias("first_doc_id"))
+    first = left.select("lang", "phrase", "a", "best").withColumn("rank", rank).where(F.col("rank") <= keep)
+    return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
 
 
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,15 +483,15 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12_SQL = r"""
 WITH pieces AS (
-  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-words AS (SELECT doc_id, lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+words AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
 total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1),
 runs AS (
-  SELECT doc_id, lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
-  FROM (SELECT doc_id, lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, 5) s(m) WHERE i + m - 1 <= len(w)),
-f AS (SELECT lang, m, phrase, count(*)::BIGINT AS f, min(doc_id) AS doc FROM runs GROUP BY ALL HAVING count(*) >= 30),
-cands AS (SELECT lang, m, phrase, f AS a, doc, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, 5) s(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*)::BIGINT AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+cands AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
 cuts AS (
   SELECT c.lang, c.phrase, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS score
   FROM (SELECT *, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:m], ' ') AS two FROM cands, range(1, 4) s(k) WHERE k < m) c
@@ -434,7 +502,7 @@ inside AS (
   FROM cands c, range(2, 4) s(size), range(1, 4) t(i) WHERE size < c.m AND i + size - 1 <= c.m),
 dropped AS (SELECT DISTINCT c.lang, c.phrase FROM cands c JOIN inside i USING (lang, phrase) WHERE 100::HUGEINT * i.over >= 80::HUGEINT * c.a),
 ranked AS (
-  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank, c.phrase, a, l, r, score::BIGINT AS score, doc AS first_doc_id
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank, c.phrase, a, l, r, score::BIGINT AS score
   FROM cands c JOIN best USING (lang, phrase) ANTI JOIN dropped USING (lang, phrase))
 SELECT ranked.*, n FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
