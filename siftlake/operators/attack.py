@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.predicates import is_private
 from .graph import both_ways
 from .lineage import cut
+from .prefix import placed
+from .skew import hot_keys, split_join
 from .timeline import human_bytes, lookup, with_labels
 
 #: Phases of techniques and operations.
@@ -50,14 +52,19 @@ def operation_phase(operation: Column) -> Column:
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     """(inv_id, finding_id, node): nodes within ``hops`` undirected steps of each finding.
 
-    One join a hop; each frontier leaves out what was reached before. Hops are cut by checkpoints, so plans stay small.
+    One join a hop; each frontier leaves out what was reached before, and a hop ends the search of findings that reach
+    nothing new. Steps of nodes with very many are cut into pieces, each of which gets the frontier's row of the node.
+    Hops are cut by checkpoints, so plans stay small.
     """
     steps = cut(both_ways(edges).select("inv_id", "node", "other").distinct())
+    hubs = hot_keys(steps, ["inv_id", "node"])
     seen = cut(seeds.select("inv_id", "finding_id", F.col("finding_id").alias("node")).distinct())
     frontier = seen
     for _ in range(hops):
-        frontier = frontier.join(steps, ["inv_id", "node"]).select("inv_id", "finding_id", F.col("other").alias("node")).distinct().join(seen, ["inv_id", "finding_id", "node"], "left_anti")
-        frontier = cut(frontier)
+        found = split_join(steps, frontier, ["inv_id", "node"], F.col("other"), hubs).select("inv_id", "finding_id", F.col("other").alias("node"))
+        frontier = cut(found.distinct().join(seen, ["inv_id", "finding_id", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -115,9 +122,8 @@ def steps(findings: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[Data
     own = findings.select("inv_id", "finding_id", first_known_phase(F.col("mitre")).alias("mitre_phase"))
     rows = classify(edges, nodes).join(of, ["inv_id", "edge_id"]).join(own, ["inv_id", "finding_id"])
     rows = rows.withColumn("phase", F.when(F.col("phase") == "Unknown", F.coalesce("mitre_phase", "phase")).otherwise(F.col("phase")))
-    order = Window.partitionBy("inv_id", "finding_id").orderBy("ts", ordinal(F.col("phase")), "edge_id")
     counts = seen.groupBy("inv_id", "finding_id").agg(F.count("*").alias("node_count")).join(of.groupBy("inv_id", "finding_id").agg(F.count("*").alias("edge_count")), ["inv_id", "finding_id"], "left")
-    return rows.withColumn("step", F.row_number().over(order)), counts
+    return placed(rows, ["inv_id", "finding_id"], [F.col("ts"), ordinal(F.col("phase")), F.col("edge_id")], "step"), counts
 
 
 def _in_order(rows: DataFrame, value: str, name: str) -> DataFrame:

@@ -43,10 +43,10 @@ def in_window(start: datetime | str, end: datetime | str, time: str = "time_dt")
     return (F.col(time) >= F.lit(str(start)).cast("timestamp")) & (F.col(time) < F.lit(str(end)).cast("timestamp"))
 
 
-def scan(events: DataFrame, class_uid: int | None, start, end, where: Column | None = None, limit: int | None = None, strict: bool = False) -> DataFrame:
+def scan(events: DataFrame, class_uid: int | None, start, end, where: Column | None = None, limit: int | None = None, strict: bool = True) -> DataFrame:
     """Events of a class in a time window that satisfy a predicate; all of them, or the first ``limit``.
 
-    A limit above MOST_ROWS is an error if ``strict``, else MOST_ROWS is taken, as the search interface does.
+    A limit above MOST_ROWS is an error, or, if not ``strict``, MOST_ROWS is taken, as the search interface does.
     """
     if strict and limit is not None and limit > MOST_ROWS:
         raise ValueError(f"at most {MOST_ROWS} rows, or None for all")

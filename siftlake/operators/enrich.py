@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.fields import field, first_text, objects
 from ..functions.predicates import is_arn, is_ipv4
 from .lineage import cut
+from .skew import hot_keys, split_join
 
 USER_CLASSES = (6003, 3002, 3001)
+#: Identifiers that are sent to all tasks at most (about 100 bytes each).
+MOST_SENT = 200_000
 
 
 def identifiers(matches: DataFrame, inv: str = "inv_id") -> DataFrame:
@@ -96,11 +99,11 @@ def related_principals(events: DataFrame, ips: DataFrame) -> DataFrame:
     return rows.join(ips.where(is_ipv4(F.col("value"))), "value").select("inv_id", "value", "user").distinct()
 
 
-def lateral_movement(events: DataFrame, seeds: DataFrame, most_resources: int = 20) -> DataFrame:
+def lateral_movement(events: DataFrame, seeds: DataFrame, most_resources: int | None = None) -> DataFrame:
     """Three hops from seed addresses: seed_ip, users, services, resources, other_users (sorted, comma-joined).
 
-    Address -> users (logins and calls); users -> services and resources (calls); the first resources by name ->
-    other users who called on them, without the users of the first hop.
+    Address -> users (logins and calls); users -> services and resources (calls); the resources, or the first
+    ``most_resources`` by name -> other users who called on them, without the users of the first hop.
     """
     user, src = field(events, "actor.user.name"), field(events, "src_endpoint.ip")
     # who did what from where, once: small next to the events, and all that the hops read
@@ -109,7 +112,9 @@ def lateral_movement(events: DataFrame, seeds: DataFrame, most_resources: int =
     calls = done.where("class_uid = 6003").select("user", "service", "arn").distinct()
     hop2 = cut(hop1.join(calls, "user").select("seed_ip", "service", "arn").distinct())
     order = F.row_number().over(Window.partitionBy("seed_ip").orderBy("arn"))
-    arns = hop2.where(is_arn(F.col("arn"))).select("seed_ip", "arn").distinct().withColumn("k", order).where(F.col("k") <= most_resources).drop("k")
+    arns = hop2.where(is_arn(F.col("arn"))).select("seed_ip", "arn").distinct()
+    if most_resources is not None:
+        arns = arns.withColumn("k", order).where(F.col("k") <= most_resources).drop("k")
     others = arns.join(calls.select("arn", "user").distinct(), "arn").select("seed_ip", "user").distinct().join(hop1, ["seed_ip", "user"], "left_anti")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     out = hop1.groupBy("seed_ip").agg(joined("user").alias("users"))
@@ -120,17 +125,23 @@ def lateral_movement(events: DataFrame, seeds: DataFrame, most_resources: int =
 def enrich_all(events: DataFrame, ids: DataFrame, limit: int | None = None) -> DataFrame:
     """All four kinds of identifiers in one job, each event once for an investigation.
 
-    Without a limit: one pass gives every event the identifiers that its class is looked up by, one join of these with
-    ``ids`` gives the pairs (inv_id, event_uid), which alone are made distinct, and a second read brings in the events.
+    Without a limit: identifiers of up to MOST_SENT are sent to all tasks, which look up in one read of the events those
+    that carry any; only what is found is shuffled, to be made distinct. More identifiers are joined with the events'
+    keys alone, those of busy values in pieces, and a second read brings in the events.
     """
     if limit is None:
-        return found_keys(events, ids).join(events, "event_uid")
+        asked = cut(wanted(ids))
+        if asked.count() <= MOST_SENT:
+            return once(keyed(events, "*").join(F.broadcast(asked), ["kind", "value"]).drop("kind", "value"))
+        rows = cut(keyed(events, "event_uid"))
+        found = split_join(rows, asked, ["kind", "value"], F.col("event_uid"), hot_keys(rows, ["kind", "value"]))
+        return found.select("inv_id", "event_uid").distinct().join(events, "event_uid")
     parts = [by_user(events, of_kind(ids, "user"), limit=limit), by_ip(events, of_kind(ids, "src_ip", "dst_ip"), limit=limit), by_resource(events, of_kind(ids, "resource"), limit), by_domain(events, of_kind(ids, "domain"), limit)]
     return once(reduce(lambda a, b: a.unionByName(b), parts))
 
 
-def looked_up(events: DataFrame) -> DataFrame:
-    """(event_uid, kind, value): the identifiers by which enrichment finds an event, by the event's class."""
+def keyed(events: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with (kind, value): the identifiers by which enrichment finds an event, by the event's class."""
     of = F.col("class_uid")
     single = [
         F.when(of.isin(*USER_CLASSES), F.struct(F.lit("user").alias("kind"), field(events, "actor.user.name").alias("value"))),
@@ -140,18 +151,22 @@ def looked_up(events: DataFrame) -> DataFrame:
     ]
     listed = F.when(of == 6003, F.transform(objects(events, "resources"), lambda r: F.struct(F.lit("resource").alias("kind"), r["uid"].alias("value"))))
     whole = F.concat(F.array_compact(F.array(*single)), F.coalesce(listed, F.array().cast("array<struct<kind:string,value:string>>")))
-    return events.select("event_uid", F.explode(F.array_distinct(whole)).alias("x")).select("event_uid", "x.kind", "x.value").where("value IS NOT NULL")
+    rows = events.select(*columns, F.explode(F.array_distinct(whole)).alias("__x"))
+    return rows.withColumns({"kind": F.col("__x.kind"), "value": F.col("__x.value")}).drop("__x").where("value IS NOT NULL")
+
+
+def looked_up(events: DataFrame) -> DataFrame:
+    return keyed(events, "event_uid")
 
 
-def found_keys(events: DataFrame, ids: DataFrame) -> DataFrame:
-    """(inv_id, event_uid) of the events that carry an identifier of an investigation."""
+def wanted(ids: DataFrame) -> DataFrame:
+    """(inv_id, kind, value) as enrichment looks them up."""
     kind = F.when(F.col("kind").isin("src_ip", "dst_ip"), F.when(is_ipv4(F.col("value")), "ip")).when(F.col("kind") == "resource", F.when(is_arn(F.col("value")), "resource")).when(F.col("kind").isin("user", "domain"), F.col("kind"))
-    wanted = ids.where(F.col("value") != "").select("inv_id", kind.alias("kind"), "value").where("kind IS NOT NULL").distinct()
-    return looked_up(events).join(wanted, ["kind", "value"]).select("inv_id", "event_uid").distinct()
+    return ids.where(F.col("value") != "").select("inv_id", kind.alias("kind"), "value").where("kind IS NOT NULL").distinct()
 
 
-def cross_source(events: DataFrame, ids: DataFrame, primary: str, limit: int = 200) -> DataFrame:
-    """The same identifiers against all other sources, at most ``limit`` events of each source for an investigation."""
+def cross_source(events: DataFrame, ids: DataFrame, primary: str, limit: int | None = None) -> DataFrame:
+    """The same identifiers against all other sources; with ``limit``, its first events of each source for an investigation."""
     return capped(enrich_all(events.where(F.col("source_name") != primary), ids), limit, "inv_id", "source_name")
 
 

@@ -105,11 +105,11 @@ def matching_playbooks(results: DataFrame, playbooks: DataFrame) -> DataFrame:
     return results.where("triggered").join(p, holds)
 
 
-def planned_actions(matched: DataFrame, at: Column) -> DataFrame:
-    """Dry run: one row an action, and its playbook's status."""
+def planned_actions(matched: DataFrame, at: Column, *keep: str) -> DataFrame:
+    """Dry run at a time: one row an action, and its playbook's status. ``keep``: columns of ``matched`` to keep."""
     office = F.dayofweek(at).between(2, 6) & (F.hour(at) >= 9) & (F.hour(at) < 18)
-    rows = matched.select("rule_id", "playbook_id", F.posexplode("actions").alias("place", "a"))
-    state = F.when(F.col("a.approval") == "auto", "pending").when((F.col("a.approval") == "business_hours") & office, "pending").otherwise("awaiting_approval")
-    rows = rows.select("rule_id", "playbook_id", "place", F.col("a.name").alias("action"), state.alias("status"))
+    rows = matched.select("rule_id", "playbook_id", *keep, office.alias("__office"), F.posexplode("actions").alias("place", "a"))
+    state = F.when(F.col("a.approval") == "auto", "pending").when((F.col("a.approval") == "business_hours") & F.col("__office"), "pending").otherwise("awaiting_approval")
+    rows = rows.select("rule_id", "playbook_id", *keep, "place", F.col("a.name").alias("action"), state.alias("status"))
     waits = F.bool_or(F.col("status") == "awaiting_approval").over(Window.partitionBy("rule_id", "playbook_id"))
     return rows.withColumn("playbook_status", F.when(waits, "awaiting_approval").otherwise("running"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import chained, placed
+
 #: Titles of node types.
 NODE_TITLES = {"Principal": "User/Role activity", "IPAddress": "Network activity", "Resource": "Resource access", "APIOperation": "API call", "SecurityFinding": "Security alert", "Event": "Security event"}
 #: Tags of timeline events that count as suspicious.
@@ -29,9 +31,18 @@ def lookup(values: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
 
 
+def one_decimal(x: Column) -> Column:
+    """A positive number with one decimal, correctly rounded, ties to even: what the number is in binary decides, not the
+    shortest text for it. 20 x - (2 k + 1) tells on which side of the middle x lies, and is exact in this order."""
+    k = F.floor(x * 10)
+    side = (x * 16 - (2 * k + 1)) + x * 4
+    tenths = k + F.when((side > 0) | ((side == 0) & (k % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def human_bytes(n: Column) -> Column:
     def unit(size: int, name: str) -> Column:
-        return F.format_string(f"%.1f {name}", n / F.lit(float(size)))
+        return F.concat(one_decimal(n / F.lit(float(size))), F.lit(f" {name}"))
 
     return F.when(n >= 1_000_000_000, unit(1_000_000_000, "GB")).when(n >= 1_000_000, unit(1_000_000, "MB")).when(n >= 1_000, unit(1_000, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
@@ -106,9 +117,7 @@ def extract(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def with_clusters(timeline: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     """Each event with the number of its cluster: a new one begins after a gap of more than ``gap`` whole seconds."""
-    w = Window.partitionBy("inv_id").orderBy("ts", "id")
-    seconds = F.floor((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1_000_000)
-    return timeline.withColumn("begins", F.coalesce((seconds > gap).cast("int"), F.lit(0))).withColumn("cluster", F.sum("begins").over(w)).drop("begins")
+    return chained(timeline, ["inv_id"], [F.col("ts"), F.col("id")], "ts", gap, "cluster", "gap_seconds")
 
 
 def clusters(timeline: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
@@ -116,9 +125,14 @@ def clusters(timeline: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     rows = with_clusters(timeline, gap)
     sizes = rows.groupBy("inv_id", "cluster", "entity_id").agg(F.count("*").alias("n"))
     top = sizes.groupBy("inv_id", "cluster").agg(F.min_by("entity_id", F.struct(-F.col("n"), F.col("entity_id"))).alias("dominant"))
-    out = rows.groupBy("inv_id", "cluster").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("events")).join(top, ["inv_id", "cluster"])
-    before = F.lag("end").over(Window.partitionBy("inv_id").orderBy("cluster"))
-    return out.withColumn("gap_seconds", F.floor((F.unix_micros("start") - F.unix_micros(before)) / 1_000_000))
+    # the one longer gap of a cluster is the one it began with
+    began = F.max(F.when(F.col("gap_seconds") > gap, F.col("gap_seconds"))).alias("gap_seconds")
+    return rows.groupBy("inv_id", "cluster").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("events"), began).join(top, ["inv_id", "cluster"])
+
+
+def in_order(timeline: DataFrame) -> DataFrame:
+    """Each event with its place in its investigation's chronological order."""
+    return placed(timeline, ["inv_id"], [F.col("ts"), F.col("id")])
 
 
 def tagged(timeline: DataFrame, tags: DataFrame) -> DataFrame:

@@ -113,9 +113,7 @@ def tml8(spark, sf_dir):
 
 @query("TML9_chronology", "SELECT inv_id, id, row_number() OVER (PARTITION BY inv_id ORDER BY ts, id) AS place FROM tl", TL)
 def tml9(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return lines(spark, sf_dir).select("inv_id", "id", F.row_number().over(Window.partitionBy("inv_id").orderBy("ts", "id")).alias("place"))
+    return timeline.in_order(lines(spark, sf_dir)).select("inv_id", "id", "place")
 
 
 @query("AGG12_timeline_summary", "SELECT inv_id, count(*) AS total, count(*) FILTER (tag = 'unreviewed') AS unreviewed, count(*) FILTER (tag = 'suspicious') AS suspicious, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS duration_seconds FROM tl GROUP BY 1", TL)

@@ -25,7 +25,7 @@ def micros(c: str = "time_dt"):
 @query("SRC1_event_class_scan", f"SELECT event_uid, class_uid, {US}, status FROM ev WHERE {W} AND class_uid = 6003 AND status = 'Failure' ORDER BY time_dt, event_uid LIMIT 10000")
 def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    return D.scan(ev, 6003, START, END, field(ev, "status") == "Failure", limit=50_000).select("event_uid", "class_uid", micros(), "status")
+    return D.scan(ev, 6003, START, END, field(ev, "status") == "Failure", limit=50_000, strict=False).select("event_uid", "class_uid", micros(), "status")
 
 
 SAMPLED = """SELECT rule_id, count(*) AS total_matches, string_agg(event_uid, ',' ORDER BY time_dt, event_uid) FILTER (k <= 100) AS sample

@@ -105,7 +105,7 @@ LEFT JOIN (SELECT seed_ip, string_agg(DISTINCT service, ',' ORDER BY service) AS
 LEFT JOIN (SELECT seed_ip, string_agg(user_name, ',' ORDER BY user_name) AS other_users FROM others GROUP BY 1) USING (seed_ip)""", (*ENRICH, LATERAL))
 def enr14(spark, sf_dir):
     seeds = matches(spark, sf_dir).where("inv_id = 'detect-cloudtrail-tampering'").select(F.col("src_endpoint.ip").alias("seed_ip")).distinct()
-    return E.lateral_movement(window(spark, sf_dir), seeds)
+    return E.lateral_movement(window(spark, sf_dir), seeds, 20)
 
 
 CROSS = "cross_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY inv_id, source_name ORDER BY time_dt, event_uid) AS k FROM enr WHERE source_name <> 'cloudtrail') WHERE k <= 200)"
@@ -113,7 +113,7 @@ CROSS = "cross_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 @query("ENR16_cross_source", "SELECT inv_id, string_agg(DISTINCT source_name, ',' ORDER BY source_name) AS sources, count(*) AS events FROM cross_rows GROUP BY 1", (*ENRICH, CROSS))
 def enr16(spark, sf_dir):
-    return E.contributing_sources(E.cross_source(window(spark, sf_dir), ids_of(spark, sf_dir), "cloudtrail"))
+    return E.contributing_sources(E.cross_source(window(spark, sf_dir), ids_of(spark, sf_dir), "cloudtrail", 200))
 
 
 INVENTORY = """inventory AS (SELECT 'user_' || c_custkey AS name, c_custkey % 10 = 0 AS is_admin, CAST(c_custkey % 3 AS INT) AS mfa_devices, CASE WHEN c_custkey % 4 = 0 THEN 'ec2.amazonaws.com' ELSE 'arn:aws:iam::1111:root' END AS trusted FROM customer)"""

@@ -241,7 +241,7 @@ def inv2(spark, sf_dir):
 def inv3(spark, sf_dir):
     """Every triggered result -> enrichment -> cross-source -> graph -> timeline, clusters: artifact counts of each investigation."""
     ids = E.identifiers(matches(spark, sf_dir, True))
-    return counted(artifacts(spark, sf_dir, True) | {"cross-source": E.cross_source(window(spark, sf_dir), ids, "cloudtrail")})
+    return counted(artifacts(spark, sf_dir, True) | {"cross-source": E.cross_source(window(spark, sf_dir), ids, "cloudtrail", 200)})
 
 
 @query("INV2_scores_and_paths")

@@ -1,6 +1,8 @@
 """Predicates, rules and invariants on small fixtures."""
 
 import json
+import os
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -13,6 +15,8 @@ from siftlake.operators import anomaly, attack, detect, enrich, graph, ops, patt
 from siftlake.sources.catalog import guarded_sql
 from siftlake.sources.schema import CLASS_UID
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 NESTED = "class_uid int, status string, n int, actor struct<user:struct<name:string>>, resources array<struct<uid:string,type:string>>"
 
 
@@ -202,3 +206,63 @@ def test_single_rule_errors(spark):
     row = detect.run_rule(spark.range(1), rules, rules[0]["id"], end).first()
     assert not row.triggered and row.error and row.window_start == end - datetime.timedelta(minutes=60)
     assert detect.run_rule(spark.range(1), rules, "none", end).first().error == "Rule not found: none"
+
+
+def test_one_decimal_is_correctly_rounded(spark):
+    """As C and most languages print it: ties to even, by the number's exact binary value."""
+    rng = random.Random(3)
+    values = [12_250_000, 12_350_000, 1_150_000, 1_050_000, 999_950_000, 1_000_000, 1_949_999, 1_950_000] + [rng.randrange(1_000_000, 10**9) // 50_000 * 50_000 for _ in range(3000)] + [rng.randrange(1_000_000, 10**9) for _ in range(1000)]
+    got = spark.createDataFrame([(v,) for v in values], "n long").select("n", timeline.human_bytes(F.col("n")).alias("t")).collect()
+    assert {r.n: r.t for r in got} == {v: f"{v / 1e6:.1f} MB" for v in values}
+
+
+def test_prefix_scans_over_groups_in_several_parts(spark):
+    from pyspark.sql import Window
+
+    from siftlake.operators import prefix
+
+    # else such small parts are put together
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = random.Random(4)
+    rows = [("hot", rng.randrange(10**6), k) for k in range(3000)] + [(f"g{k % 50}", rng.randrange(10**6), k) for k in range(300)] + [(None, 5, 1), (None, 900, 2)]
+    df = spark.createDataFrame(rows, "g string, s long, id long").withColumn("ts", F.timestamp_seconds("s")).repartition(5)
+    w = Window.partitionBy("g").orderBy("ts", "id")
+    placed = prefix.placed(df, ["g"], [F.col("ts"), F.col("id")])
+    assert placed.exceptAll(df.withColumn("place", F.row_number().over(w).cast("long")).select(placed.columns)).count() == 0 and placed.count() == len(rows)
+    got = prefix.chained(df, ["g"], [F.col("ts"), F.col("id")], "ts", 600)
+    gap = F.col("s") - F.lag("s").over(w)
+    want = df.withColumn("gap", gap).withColumn("chain", F.sum(F.coalesce((F.col("gap") > 600).cast("int"), F.lit(0))).over(w))
+    assert got.select("g", "id", "gap", "chain").exceptAll(want.select("g", "id", "gap", "chain")).count() == 0 and got.count() == len(rows)
+    parts = prefix.dealt(df, ["g"], [F.col("ts"), F.col("id")]).where("g = 'hot'").select("__part").distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts > 1  # the large group lies in several
+
+
+def test_reachable_from_a_hub(spark, monkeypatch):
+    from siftlake.operators import attack, skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    edges = spark.createDataFrame([("i", "f", "hub")] + [("i", "hub", f"n{k}") for k in range(400)] + [("i", "n7", "far"), ("j", "f", "other")], "inv_id string, source_id string, target_id string").withColumn("id", F.monotonically_increasing_id())
+    seeds = spark.createDataFrame([("i", "f"), ("j", "f")], "inv_id string, finding_id string")
+    two = {(r.inv_id, r.node) for r in attack.reachable(seeds, edges, 2).collect()}
+    assert two == {("i", "f"), ("i", "hub"), ("j", "f"), ("j", "other")} | {("i", f"n{k}") for k in range(400)}
+    assert attack.reachable(seeds, edges, 3).count() == len(two) + 1 == attack.reachable(seeds, edges, 50).count()
+    assert skew.hot_keys(edges.select("inv_id", F.col("source_id").alias("node")), ["node"]).collect()[0]["__pieces"] == 8
+
+
+def test_enrichment_by_many_identifiers_finds_the_same(spark, monkeypatch):
+    from siftlake.operators import enrich, skew
+    from siftlake.plans import q_enrich
+
+    ev, ids = q_enrich.window(spark, SF), q_enrich.ids_of(spark, SF)
+    sent = {(r.inv_id, r.event_uid) for r in enrich.enrich_all(ev, ids).collect()}
+    monkeypatch.setattr(enrich, "MOST_SENT", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    assert {(r.inv_id, r.event_uid) for r in enrich.enrich_all(ev, ids).collect()} == sent and sent
+
+
+def test_addresses_with_leading_zeros(spark):
+    from siftlake.functions.predicates import is_ipv4
+
+    rows = [("1.2.3.4", True), ("001.002.003.004", True), ("255.255.255.255", True), ("256.1.1.1", False), ("1.2.3", False), ("0199.1.1.1", False), (None, False)]
+    assert [r.ok for r in spark.createDataFrame(rows, "ip string, want boolean").select(is_ipv4(F.col("ip")).alias("ok")).collect()] == [w for _, w in rows]
