@@ -6,6 +6,10 @@ import json
 from datetime import datetime, timedelta
 from pathlib import Path
 
+try:  # rule files may be YAML where the package is there
+    import yaml
+except ImportError:
+    yaml = None
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,15 +23,30 @@ from .lineage import cut
 MOST_ROWS, SAMPLE = 10_000, 100
 
 
+def _read(path: Path) -> list[dict]:
+    """The rule of a file, or its list of rules: YAML by its suffix (several documents too), else JSON."""
+    text = path.read_text(encoding="utf-8")
+    if path.suffix not in (".yaml", ".yml"):
+        found = json.loads(text)
+    elif yaml is None:
+        raise ImportError("rules as YAML need the yaml package")
+    else:
+        try:
+            found = [y for x in yaml.safe_load_all(text) if x is not None for y in (x if isinstance(x, list) else [x])]
+        except yaml.YAMLError as e:
+            raise ValueError(str(e)) from e
+    return found if isinstance(found, list) else [found]
+
+
 def load_rules(*paths: str | Path) -> list[dict]:
-    """Rule specifications of JSON files, each a rule or a list. A bad rule drops its file, a later duplicate id wins."""
+    """Rule specifications of files, each a rule or a list of rules, JSON or YAML; without ``paths`` the bundled ones
+    (fixed values). A bad rule drops its file, a later duplicate id wins. Techniques are ``mitre`` or ``mitre_attack``."""
     found: dict[str, dict] = {}
     for path in paths or [Path(__file__).with_name("rules.json")]:
         try:
-            specs = json.loads(Path(path).read_text(encoding="utf-8"))
-            specs = specs if isinstance(specs, list) else [specs]
-            checked = [{"name": s["id"].replace("detect-", "").replace("-", " ").capitalize(), "enabled": True, "tags": [], "group_by": [], **s, "class_uid": CLASS_UID[s["event_class"]], "threshold": int(s["threshold"]), "limit": int(s["limit"])} for s in specs]
-        except (KeyError, TypeError, ValueError):
+            specs = [{**s, "mitre": s.get("mitre", s.get("mitre_attack", []))} for s in _read(Path(path))]
+            checked = [{"name": s["id"].replace("detect-", "").replace("-", " ").capitalize(), "enabled": True, "severity": "medium", "tags": [], "group_by": [], "data_sources": [], **s, "class_uid": CLASS_UID[s["event_class"]], "threshold": int(s.get("threshold", 1)), "limit": int(s.get("limit", 1000))} for s in specs]
+        except (AttributeError, KeyError, TypeError, ValueError):
             continue
         found |= {s["id"]: s for s in checked}
     return [*found.values()]

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attack, enrich, ops, timeline
+from ..operators import enrich, ops, ruleindex, timeline
 from ..operators import detect as D
 from ..sources.adapter import EV, events
 from .q_analytics import ATK, LABELLED, TOLD, step_rows
 from .q_enrich import EVW, GRAPH, edges_of, graph, inventory, window
 from .q_ops import PLAYS, playbooks
-from .registry import DETECT, END, RULES, START, query
+from .registry import DETECT, END, HITS, RULES, START, query
 
 
 def bytes_sql(b: str) -> str:
@@ -82,3 +82,9 @@ def plb4(spark, sf_dir):
     matched = ops.matching_playbooks(D.run_all(events(spark, sf_dir), RULES, START, END), playbooks(spark)).join(last, "rule_id")
     at = F.lit("2024-01-24 00:00:00").cast("timestamp") + F.make_interval(hours=F.col("hour").cast("int"))
     return ops.planned_actions(matched, at, "hour").select("rule_id", "playbook_id", "action", "hour", "status")
+
+
+@query("DET15_indexed_rules", "SELECT rule_id, count(*) AS n, min(event_uid) AS first_uid FROM hits GROUP BY 1", (EV, HITS))
+def det15(spark, sf_dir):
+    """All rules as rows of a table that events look up."""
+    return ruleindex.indexed_hits(events(spark, sf_dir), RULES, START, END).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("event_uid").alias("first_uid"))

@@ -266,3 +266,35 @@ def test_addresses_with_leading_zeros(spark):
 
     rows = [("1.2.3.4", True), ("001.002.003.004", True), ("255.255.255.255", True), ("256.1.1.1", False), ("1.2.3", False), ("0199.1.1.1", False), (None, False)]
     assert [r.ok for r in spark.createDataFrame(rows, "ip string, want boolean").select(is_ipv4(F.col("ip")).alias("ok")).collect()] == [w for _, w in rows]
+
+
+def test_rules_as_rows_of_a_table(spark):
+    from siftlake.operators import ruleindex
+
+    kind = "event_uid string, class_uid int, time_dt timestamp_ntz, `api.operation` string, status string, n int, resources array<struct<uid:string,type:string>>"
+    at = "2024-01-02 00:00:00"
+    rows = [("1", 1, "A", "ok", 5, [("u1", "t"), ("u2", None)]), ("2", 1, "B", None, None, None), ("3", 1, None, "bad", 7, [("u2", "u2")]), ("4", 2, "A", "ok", 5, []), ("5", 1, "xA", "ok", 50, [("u1", "u2")])]
+    ev = spark.createDataFrame([(u, c, o, s, n, r) for u, c, o, s, n, r in rows], kind.replace("time_dt timestamp_ntz, ", "")).withColumn("time_dt", F.lit(at).cast("timestamp"))
+    filters = [
+        [], [{"field": "api.operation", "equals": "A"}], [{"field": "api.operation", "in": ["A", "B", "A"]}, {"field": "status", "not_equals": "ok"}], [{"field": "status", "not_equals": "ok"}], [{"field": "n", "equals": 5}],
+        [{"field": "resources", "equals": "u2"}], [{"field": "resources", "in": ["u1", "u2"]}], [{"field": "resources", "not_equals": "u2"}], [{"field": "api.operation", "contains": "A"}], [{"field": "n", "regex": "^5"}, {"field": "resources", "contains": "1"}],
+        [{"field": "missing", "not_equals": "x"}], [{"field": "missing", "equals": "x"}], [{"field": "resources", "in": ["u1", "u2"]}, {"field": "api.operation", "in": ["xA"]}], [{"field": "status", "in": []}],
+    ]
+    rules = [{"id": f"r{k}-{c}", "class_uid": c, "filters": f} for k, f in enumerate(filters) for c in (1, 2)]
+    pairs = lambda df: sorted((r.event_uid, r.rule_id) for r in df.select("event_uid", "rule_id").collect())
+    want = pairs(detect.hits(ev, rules, "2024-01-01", "2024-01-03"))
+    got = ruleindex.indexed_hits(ev, rules, "2024-01-01", "2024-01-03")
+    assert pairs(got) == want and len(want) > 20 and got.columns == [*ev.columns, "rule_id"]
+    assert ruleindex.indexed_hits(ev, [], "2024-01-01", "2024-01-03").count() == 0
+
+
+def test_rule_files_as_yaml(tmp_path):
+    pytest.importorskip("yaml")
+    one = "id: detect-one\nname: One\nseverity: high\nevent_class: api_activity\nthreshold: 2\nlimit: 10\nmitre_attack: [T1046]\nfilters:\n  - field: api.operation\n    in: [A, B]\n"
+    (tmp_path / "a.yaml").write_text(one + "---\n- id: detect-two\n  event_class: dns_activity\n  threshold: 1\n  limit: 5\n  filters: []\n")
+    (tmp_path / "bad.yml").write_text("id: [unclosed")
+    (tmp_path / "worse.yml").write_text("just text")
+    (tmp_path / "b.json").write_text(json.dumps({"id": "detect-one", "event_class": "api_activity", "threshold": 3, "limit": 5, "filters": []}))
+    got = {r["id"]: r for r in detect.load_rules(tmp_path / "a.yaml", tmp_path / "bad.yml", tmp_path / "worse.yml")}
+    assert set(got) == {"detect-one", "detect-two"} and got["detect-one"]["mitre"] == ["T1046"] and got["detect-one"]["filters"][0]["in"] == ["A", "B"]
+    assert {r["id"]: r["threshold"] for r in detect.load_rules(tmp_path / "a.yaml", tmp_path / "b.json")} == {"detect-one": 3, "detect-two": 1}
