@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_private
+from .lineage import cut
+from .skew import hot_keys, split_join
 from .timeline import with_labels
 
 
@@ -24,27 +26,39 @@ def principal_services(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("inv_id", "source_id", F.col("source_label").alias("principal"), F.split("target_label", ":")[0].alias("service")).distinct()
 
 
+def gathered(pairs: DataFrame, keys: list[str], value: str, least: int) -> DataFrame:
+    """(keys, n, members) of the keys with at least so many distinct values: pairs are made distinct and counted first,
+    and only those of keys with enough are collected."""
+    pairs = cut(pairs.select(*keys, value).where(F.col(value).isNotNull()).distinct())
+    enough = pairs.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return pairs.join(enough, keys).groupBy(*keys, "n").agg(F.collect_list(value).alias("members"))
+
+
+def _named(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.min(label).alias("entity"))
+
+
 def privilege_fanout(edges: DataFrame, nodes: DataFrame, least: int = 5) -> DataFrame:
-    rows = principal_services(edges, nodes).groupBy("inv_id", "source_id").agg(F.min("principal").alias("entity"), F.collect_set("service").alias("members"))
-    rows = rows.withColumn("n", F.size("members")).where(F.col("n") >= least)
+    used, keys = principal_services(edges, nodes), ["inv_id", "source_id"]
+    rows = gathered(used, keys, "service", least).join(_named(used, keys, "principal"), keys)
     return _row(rows, "privilege_fanout", F.least(F.lit(0.9), 0.4 + 0.5 * (F.col("n") - least) / 5))
 
 
 def resource_convergence(edges: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
-    access = _of(edges, nodes, "ACCESSED_RESOURCE").select("inv_id", F.col("source_id").alias("api"), "target_id", "target_label")
-    # an API's principals as one row: the join has as many rows as there are accesses
-    calls = _of(edges, nodes, "CALLED_API").where("source_type = 'Principal'").groupBy("inv_id", F.col("target_id").alias("api")).agg(F.collect_set("source_label").alias("principals"))
-    rows = access.join(calls, ["inv_id", "api"]).groupBy("inv_id", "target_id").agg(F.min("target_label").alias("entity"), F.array_distinct(F.flatten(F.collect_set("principals"))).alias("members"))
-    rows = rows.withColumn("n", F.size("members")).where(F.col("n") >= least)
+    """A join of distinct (resource, operation) with distinct (operation, principal): no principal is copied twice to a
+    resource for one operation, and none is collected for resources with fewer than ``least``."""
+    access, keys = _of(edges, nodes, "ACCESSED_RESOURCE").select("inv_id", F.col("source_id").alias("api"), "target_id", "target_label"), ["inv_id", "target_id"]
+    calls = cut(_of(edges, nodes, "CALLED_API").where("source_type = 'Principal'").select("inv_id", F.col("target_id").alias("api"), F.col("source_label").alias("principal")).distinct())
+    pairs = split_join(calls, access.select("inv_id", "api", "target_id").distinct(), ["inv_id", "api"], F.col("principal"), hot_keys(calls, ["inv_id", "api"]))
+    rows = gathered(pairs, keys, "principal", least).join(_named(access, keys, "target_label"), keys)
     return _row(rows, "resource_convergence", F.least(F.lit(0.9), 0.5 + 0.3 * (F.col("n") - least) / least))
 
 
 def multi_source_auth(edges: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
     """External addresses of a principal; the span is that of all its logins, internal ones too."""
-    rows = _of(edges, nodes, "AUTHENTICATED_FROM").where("source_type = 'Principal'")
-    external = F.when(~is_private(F.col("target_label")), F.col("target_label"))
-    rows = rows.groupBy("inv_id", "source_id").agg(F.min("source_label").alias("entity"), F.collect_set(external).alias("members"), (F.unix_micros(F.max("last_seen")) - F.unix_micros(F.min("first_seen"))).alias("span"))
-    rows = rows.withColumn("n", F.size("members")).where(F.col("n") >= least)
+    logins, keys = _of(edges, nodes, "AUTHENTICATED_FROM").where("source_type = 'Principal'"), ["inv_id", "source_id"]
+    spans = logins.groupBy(*keys).agg(F.min("source_label").alias("entity"), (F.unix_micros(F.max("last_seen")) - F.unix_micros(F.min("first_seen"))).alias("span"))
+    rows = gathered(logins.where(~is_private(F.col("target_label"))), keys, "target_label", least).join(spans, keys)
     base = 0.5 + 0.1 * F.least(F.col("n") - least, F.lit(4))
     return _row(rows, "multi_source_auth", F.when(F.col("span") < 3_600_000_000, F.least(base + 0.2, F.lit(0.95))).otherwise(F.least(base, F.lit(0.85))))
 
