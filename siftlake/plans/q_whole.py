@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import enrich, ops, ruleindex, timeline
+from ..operators import attack, enrich, ops, patterns, ruleindex, timeline
 from ..operators import detect as D
 from ..sources.adapter import EV, events
-from .q_analytics import ATK, LABELLED, TOLD, step_rows
-from .q_enrich import EVW, GRAPH, edges_of, graph, inventory, window
+from .q_analytics import ATK, LABELLED, PAT, TOLD, findings, step_rows
+from .q_enrich import EVW, GRAPH, WHOLE, edges_of, graph, inventory, window
 from .q_ops import PLAYS, playbooks
 from .registry import DETECT, END, HITS, RULES, START, query
 
@@ -88,3 +88,29 @@ def plb4(spark, sf_dir):
 def det15(spark, sf_dir):
     """All rules as rows of a table that events look up."""
     return ruleindex.indexed_hits(events(spark, sf_dir), RULES, START, END).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("event_uid").alias("first_uid"))
+
+
+# --- investigations of every triggered rule, row by row ---------------------------------------------------------------------
+
+
+def every(ctes: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(WHOLE.get(c, c) for c in ctes)
+
+
+@query("INV4_all_patterns", "SELECT inv_id, pattern, entity, n, round(severity::DOUBLE, 6) AS severity, members FROM pat", every(PAT))
+def inv4(spark, sf_dir):
+    return patterns.detect(*graph(spark, sf_dir, True)).withColumn("severity", F.round("severity", 6))
+
+
+@query("INV5_all_steps", "SELECT inv_id, step, id AS edge_id, phase, line AS narrative FROM told", every((*ATK, TOLD)))
+def inv5(spark, sf_dir):
+    return attack.steps(findings(spark, sf_dir, True), *graph(spark, sf_dir, True))[0].select("inv_id", "step", "edge_id", "phase", "narrative")
+
+
+@query("INV6_all_elements", """SELECT inv_id, id, node_type AS type, label, epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us, event_count FROM nodes
+UNION ALL SELECT inv_id, id, edge_type, source_id || ' -> ' || target_id, epoch_us(first_seen), epoch_us(last_seen), event_count FROM edges""", every(GRAPH))
+def inv6(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir, True)
+    columns = ["inv_id", "id", "type", "label", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "event_count"]
+    linked = edges.withColumn("type", F.col("edge_type")).withColumn("label", F.concat("source_id", F.lit(" -> "), "target_id"))
+    return nodes.withColumn("type", F.col("node_type")).select(*columns).unionByName(linked.select(*columns))
