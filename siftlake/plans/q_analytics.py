@@ -36,6 +36,7 @@ def agg4(spark, sf_dir):
 
 # --- timelines ------------------------------------------------------------------------------------------------------------
 
+#: The sentences in this text.
 TITLES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in timeline.NODE_TITLES.items())
 LABELLED = """le AS (SELECT e.*, coalesce(s.label, e.source_id) AS source_label, coalesce(t.label, e.target_id) AS target_label, s.node_type AS source_type, t.node_type AS target_type
   FROM edges e LEFT JOIN nodes s ON s.inv_id = e.inv_id AND s.id = e.source_id LEFT JOIN nodes t ON t.inv_id = e.inv_id AND t.id = e.target_id)"""
@@ -85,6 +86,7 @@ def tml5(spark, sf_dir):
     return timeline.suspicious(lines(spark, sf_dir)).select("inv_id", "id")
 
 
+#: The sentences in this text.
 NARRATIVE = """CASE WHEN class_uid = 3002 THEN 'User ''' || coalesce(user_name, 'unknown') || ''' (' || user_type || ') authenticated to ' || service || ' from ' || src_ip || '. Status: ' || status || '.'
   WHEN class_uid IN (6003, 3001) THEN 'User ''' || coalesce(user_name, 'unknown') || ''' called ' || service || ':' || operation || coalesce(' targeting ' || resource_uid, '') || '.'
   WHEN class_uid = 4003 THEN 'Internal host ' || src_ip || ' resolved ' || hostname END || coalesce(' ' || context, '')"""
@@ -164,6 +166,7 @@ OPS, TECH = values("ops", attack.PHASES["aws_operation"]), values("tech", attack
 ORD = "ord(phase, o) AS (VALUES " + ", ".join(f"('{p}', {k})" for k, p in enumerate(attack.ORDER)) + ")"
 MITRE = "mp AS (SELECT inv_id, arg_min(tech.phase, k) AS mitre_phase FROM (SELECT rule_id AS inv_id, unnest(string_split(mitre, ',')) AS t, generate_subscripts(string_split(mitre, ','), 1) AS k FROM rules) JOIN tech ON tech.key = split_part(t, '.', 1) GROUP BY 1)"
 CALL = " ".join(f"WHEN '{p}' THEN ' — {t}'" for p, t in attack.CALL_TEXT.items())
+#: The sentences in this text.
 STEPS = f"""st AS (SELECT *, CASE edge_type WHEN 'CALLED_API' THEN source_label || ' called ' || target_label || coalesce(CASE own {CALL} END, '') || '.'
     WHEN 'AUTHENTICATED_FROM' THEN source_label || ' authenticated from ' || target_label || CASE WHEN event_count > 1 THEN ' (' || event_count || ' times).' ELSE '.' END
     WHEN 'ACCESSED_RESOURCE' THEN source_label || ' accessed resource ' || target_label || '.' END AS narrative,
@@ -251,9 +254,11 @@ def atk9(spark, sf_dir):
 
 
 BYTES = "CASE WHEN b >= 1000000000 THEN printf('%.1f GB', b / 1000000000) WHEN b >= 1000000 THEN printf('%.1f MB', b / 1000000) WHEN b >= 1000 THEN printf('%.1f KB', b / 1000) ELSE b || ' B' END"
+#: The sentences in this text.
 TOLD = f"""told AS (SELECT *, CASE edge_type WHEN 'COMMUNICATED_WITH' THEN source_label || ' communicated with ' || target_label
     || CASE own WHEN 'Exfiltration' THEN ' — ' || (SELECT {BYTES} FROM (SELECT coalesce(bytes_out, 0)::DOUBLE AS b)) || ' outbound to external host' WHEN 'InitialAccess' THEN ' — inbound from external' ELSE '' END || '.'
     WHEN 'RESOLVED_TO' THEN source_label || ' resolved ' || target_label || '.' WHEN 'ORIGINATED_FROM' THEN 'Event originated from ' || target_label || '.' ELSE narrative END AS line FROM pl)"""
+#: The sentences in this text.
 SUMMARY = """SELECT inv_id, 'Detection ''' || name || ''' triggered an investigation' || coalesce(' originating from ' || entry, '') || coalesce(' involving ' || actors, '') || '.'
   || CASE WHEN n > 1 THEN ' The attack path spans ' || n || ' kill chain phases: ' || spans || '.' ELSE '' END || coalesce(' Key concerns: ' || points, '') AS summary
 FROM (SELECT DISTINCT inv_id FROM pl) JOIN (SELECT rule_id AS inv_id, name FROM rules) USING (inv_id)

@@ -20,6 +20,7 @@ def bytes_sql(b: str) -> str:
 
 
 def flow_sql(src: str, dst: str, ports: str, b_in: str, b_out: str) -> str:
+    """The sentence in this text."""
     b_in, b_out = f"coalesce({b_in}, 0)", f"coalesce({b_out}, 0)"
     return f"{src} || ' communicated with ' || {dst} || coalesce(' on tcp/' || {ports}, '') || CASE WHEN {b_in} > 0 OR {b_out} > 0 THEN ' — ' || {bytes_sql(b_out)} || ' outbound, ' || {bytes_sql(b_in)} || ' inbound' ELSE '' END"
 
