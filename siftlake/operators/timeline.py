@@ -115,6 +115,14 @@ def extract(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return node_events(nodes).unionByName(edge_events(edges, nodes))
 
 
+def moments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """extract() without what is told of an event: no labels are looked up."""
+    kept = ["inv_id", "id", "ts", "entity_id", "operation", "tag"]
+    e = edges.where("edge_type <> 'TRIGGERED_BY' AND coalesce(first_seen, last_seen) IS NOT NULL")
+    e = e.select("inv_id", F.concat(F.lit("edge:"), F.col("id")).alias("id"), F.coalesce("first_seen", "last_seen").alias("ts"), F.col("id").alias("entity_id"), F.col("edge_type").alias("operation"), F.lit("unreviewed").alias("tag"))
+    return node_events(nodes).select(*kept).unionByName(e)
+
+
 def with_clusters(timeline: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     """Each event with the number of its cluster: a new one begins after a gap of more than ``gap`` whole seconds."""
     return chained(timeline, ["inv_id"], [F.col("ts"), F.col("id")], "ts", gap, "cluster", "gap_seconds")

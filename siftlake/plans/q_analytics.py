@@ -54,6 +54,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.extract(*graph(spark, sf_dir))
 
 
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.moments(*graph(spark, sf_dir))
+
+
 @query("TML1_node_events", "SELECT inv_id, id, epoch_us(ts) AS ts_us, title, tag FROM tl WHERE starts_with(id, 'node:')", TL)
 def tml1(spark, sf_dir):
     return timeline.node_events(graph(spark, sf_dir)[0]).select("inv_id", "id", F.unix_micros("ts").alias("ts_us"), "title", "tag")
@@ -70,7 +74,7 @@ def tml2(spark, sf_dir):
 FROM cl JOIN (SELECT inv_id, cluster, arg_min(entity_id, (-n, entity_id)) AS dominant FROM (SELECT inv_id, cluster, entity_id, count(*) AS n FROM cl GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (inv_id, cluster)
 GROUP BY inv_id, cluster""", TL)
 def tml3(spark, sf_dir):
-    got = timeline.clusters(lines(spark, sf_dir))
+    got = timeline.clusters(moments(spark, sf_dir))
     return got.select("inv_id", "cluster", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events", "dominant", "gap_seconds")
 
 
@@ -83,7 +87,7 @@ def tml4(spark, sf_dir):
 
 @query("TML5_suspicious", "SELECT inv_id, id FROM tl WHERE tag = 'suspicious'", TL)
 def tml5(spark, sf_dir):
-    return timeline.suspicious(lines(spark, sf_dir)).select("inv_id", "id")
+    return timeline.suspicious(moments(spark, sf_dir)).select("inv_id", "id")
 
 
 #: The sentences in this text.
@@ -115,12 +119,12 @@ def tml8(spark, sf_dir):
 
 @query("TML9_chronology", "SELECT inv_id, id, row_number() OVER (PARTITION BY inv_id ORDER BY ts, id) AS place FROM tl", TL)
 def tml9(spark, sf_dir):
-    return timeline.in_order(lines(spark, sf_dir)).select("inv_id", "id", "place")
+    return timeline.in_order(moments(spark, sf_dir)).select("inv_id", "id", "place")
 
 
 @query("AGG12_timeline_summary", "SELECT inv_id, count(*) AS total, count(*) FILTER (tag = 'unreviewed') AS unreviewed, count(*) FILTER (tag = 'suspicious') AS suspicious, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS duration_seconds FROM tl GROUP BY 1", TL)
 def agg12(spark, sf_dir):
-    return timeline.summary(lines(spark, sf_dir)).select("inv_id", "total", "unreviewed", "suspicious", "duration_seconds")
+    return timeline.summary(moments(spark, sf_dir)).select("inv_id", "total", "unreviewed", "suspicious", "duration_seconds")
 
 
 # --- patterns -------------------------------------------------------------------------------------------------------------
