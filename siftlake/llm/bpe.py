@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import regex
 
@@ -81,16 +82,12 @@ class Merges:
         seq = self.start(data)
         if len(seq) > 200:
             return self._merge_long(seq)
-        get, ranks = self.rank.get, []
-        if seq:
-            ranks = [get(a << 20 | b, NO_RANK) for a, b in zip(seq, seq[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == NO_RANK:
-                break
+        get = self.rank.get
+        ranks = [get(a << 20 | b, NO_RANK) for a, b in pairwise(seq)]
+        while ranks and (best := min(ranks)) != NO_RANK:
             k, new = ranks.index(best), best & 0xFFFFF
-            seq[k : k + 2] = [new]
-            del ranks[k]
+            seq[k] = new
+            del seq[k + 1], ranks[k]
             if k < len(ranks):
                 ranks[k] = get(new << 20 | seq[k + 1], NO_RANK)
             if k:
@@ -153,6 +150,14 @@ class PieceStream:
     def __init__(self, merges: Merges, ahead: int):
         self.merges, self.ahead, self.window = merges, ahead, b""
 
+    def whole(self, data: bytes) -> list[int]:
+        """feed() and finish() of a piece that comes at once."""
+        if len(data) <= STEP:
+            # too short for a window to fill, so no token leaves before the end
+            self.window += data
+            return self.finish()
+        return [i for part in self.feed(data) for i in part] + self.finish()
+
     def feed(self, data: bytes) -> Iterator[list[int]]:
         for k in range(0, len(data), STEP):
             self.window += data[k : k + STEP]
@@ -190,6 +195,7 @@ class TextStream:
     def __init__(self, merges: Merges, ahead: int, value: Callable[[list[int]], object], split: Callable[[str], list[str]], room: int = CACHE_BYTES):
         self.merges, self.ahead, self.value, self.split, self.room = merges, ahead, value, split, room
         self.pieces = regex.compile(PIECES)
+        self.short = PieceStream(merges, ahead)  # empty between pieces
         self.piece_ids: dict[str, list[int]] = {}
         self.spaced: dict[str, object] = {}
         self.bare: dict[str, object] = {}
@@ -198,9 +204,7 @@ class TextStream:
     def ids_of(self, piece: str, keep: bool = True) -> list[int]:
         got = self.piece_ids.get(piece)
         if got is None:
-            stream = PieceStream(self.merges, self.ahead)
-            got = [i for part in stream.feed(piece.encode()) for i in part]
-            got += stream.finish()
+            got = self.short.whole(piece.encode())
             if keep and self.room > 0 and len(piece) < 64:
                 self.piece_ids[piece] = got
                 self.room -= kept_bytes(piece)
@@ -213,7 +217,8 @@ class TextStream:
         """Value of a chunk that the cache lacks; None if its edges are not sure to be borders of pieces."""
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
-        pieces = self.cut(lead + chunk)
+        # ASCII letters after at most a space are one piece
+        pieces = [lead + chunk] if chunk.isascii() and chunk.isalpha() else self.cut(lead + chunk)
         kept = self.room > 0 and len(chunk) < 64
         # a chunk of one piece is kept as such
         got = self.value(self.ids_of(pieces[0], not kept) if len(pieces) == 1 else [i for p in pieces for i in self.ids_of(p)])

@@ -30,6 +30,14 @@ def test_encoding_is_the_librarys():
         assert ids(t) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_ascii_letters_need_no_cutting(monkeypatch):
+    stream, cut, text = tokens._ids_stream(BYTES), [], "Plain words, and Zürich ends with 12 words"
+    real = stream.cut
+    monkeypatch.setattr(stream, "cut", lambda chunk: cut.append(chunk) or real(chunk))
+    assert [i for block in stream.document(text) for x, _ in block for i in x] == tokens.library_of(BYTES).encode(text, add_special_tokens=False).ids
+    assert cut == [" words,", " Zürich", " 12", " words"]  # the last one is what was held back, with its space
+
+
 def test_small_blocks_and_endless_pieces(monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 64)
     monkeypatch.setattr(tokens, "BLOCK", 64)
