@@ -176,6 +176,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of what gave ``labels`` and of the links (a, b): only the components that the links join are told
+    anew, so that links found before are not read again."""
+    la, lb = labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    ends = split_join(links.select("a", "b"), lb, "b", F.col("a"), "left").join(la, "a", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    ends = stored(ends.where("a <> b").distinct(), "joined")
+    if ends.isEmpty():
+        return labels
+    over = components(ends)
+    # an id without a label so far is a component of its own, and is not told by the labels
+    alone = over.join(labels.select("id"), "id", "left_anti")
+    moved = split_join(labels, over.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", F.col("id"), "left")
+    return stored(moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(alone), "joined-labels")
+
+
 class Corpus:
     """The input, and one row (id, key, content, sig, bands) for each set: its number, and a row that has it."""
 
@@ -327,8 +342,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     grouped, grouped_at = stored_at(keys.join(leaders, "band").select("band", F.col("id").alias("a"), "b"), "bands")
     stars = stored(corpus.promising(stored(grouped.where("a <> b").select("a", "b").distinct(), "star-pairs")), "stars")
     best = stored(stars.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b")), "best")
-    links = corpus.links(best)
-    labels = components(links)
+    labels = components(corpus.links(best))
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         la, lb = labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
@@ -337,19 +351,17 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     # the other leaders of documents that their best leader did not connect
     more = stored(apart(stored(stars.join(best, ["a", "b"], "left_anti"), "other-stars"), labels), "more")
     if not more.isEmpty():
-        links = links.unionByName(corpus.links(more))
-        labels = components(links)
+        labels = joined(labels, corpus.links(more))
     # members of one band group that are still in different components
     of = labels.select(F.col("id").alias("a"), "component")
     member = stored(grouped.join(of, "a", "left").select("band", "a", F.coalesce("component", "a").alias("c")), "members")
     rest = _inside_links(member, corpus)
     if not rest.isEmpty():
-        links = links.unionByName(rest)
-        labels = components(links)
+        labels = joined(labels, rest)
     discard(spark, grouped_at)
     discard(spark, docs_at)
     if several is not None:
-        labels = components(links.select("a", "b").unionByName(several))
+        labels = joined(labels, several)
     # every document takes the component of its set
     classes = firsts.join(labels, "id", "left").select("content", "key", F.coalesce("component", "id").alias("component_id"))
     if several is not None:  # numbers that are no keys give way to the smallest key

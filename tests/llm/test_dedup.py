@@ -159,6 +159,32 @@ def test_components(spark):
     assert got == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_components_are_joined_without_the_links_found_before(spark, monkeypatch):
+    first = spark.createDataFrame([(k, k + 1) for k in range(1, 200) if k % 20], "a long, b long")
+    more = spark.createDataFrame([(5, 33), (44, 27), (500, 199), (600, 601), (2, 3)], "a long, b long")
+    want = {r.id: r.component for r in near.components(first.union(more)).collect()}
+    labels, read, real = near.components(first), [], near.components
+    monkeypatch.setattr(near, "components", lambda edges: read.append(edges.count()) or real(edges))
+    assert {r.id: r.component for r in near.joined(labels, more).collect()} == want
+    assert read == [4]  # (1, 21), (41, 21), (500, 181), (600, 601); one link was inside
+    assert near.joined(labels, first) is labels
+
+
+def test_near_reads_each_link_once(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 16)
+    rng, read, real = random.Random(11), [], near.components
+    base = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(100)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2, 5, 6])):
+            words[rng.randrange(100)] = f"x{rng.randrange(1000)}"
+        rows.append((k, " ".join(words), "s", k, "x"))
+    monkeypatch.setattr(near, "components", lambda edges: read.append(edges.count()) or real(edges))
+    near.near_duplicates(frame(spark, rows), 4, 80).collect()
+    assert len(read) > 1 and sum(read[1:]) < read[0]
+
+
 def benchmark_rows():
     rng = random.Random(9)
     items = [(k, " ".join(rng.choice(WORDS) for _ in range(n))) for k, n in enumerate([30, 12, 10, 4, 1, 25])]
