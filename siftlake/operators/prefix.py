@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .skew import MOST_SENT
 
 
 def dealt(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -53,7 +54,9 @@ def chained(df: DataFrame, by: list[str], order: list[Column], time: str, longes
 def _with(rows: DataFrame, borders: DataFrame, by: list[str]) -> DataFrame:
     """Rows of a group and part with its border; null group keys too."""
     names = {c: f"__b_{c}" for c in [*by, "__part"]}
-    right = borders.withColumnsRenamed(names)
+    right = cut(borders.withColumnsRenamed(names))
+    if right.count() <= MOST_SENT:  # no more than groups and parts together
+        right = F.broadcast(right)
     same = rows["__part"] == right["__b___part"]
     for c in by:
         same &= rows[c].eqNullSafe(right[names[c]])

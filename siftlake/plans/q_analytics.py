@@ -234,9 +234,7 @@ def atk5(spark, sf_dir):
 
 @query("ATK6_inherited_phase", "SELECT inv_id, own AS before, phase, count(*) AS n FROM st GROUP BY 1, 2, 3", ATK)
 def atk6(spark, sf_dir):
-    nodes, edges = graph(spark, sf_dir)
-    own = attack.classify(edges, nodes).select("inv_id", "edge_id", F.col("phase").alias("before"))
-    return step_rows(spark, sf_dir).join(own, ["inv_id", "edge_id"]).groupBy("inv_id", "before", "phase").agg(F.count("*").alias("n"))
+    return step_rows(spark, sf_dir).groupBy("inv_id", F.col("own_phase").alias("before"), "phase").agg(F.count("*").alias("n"))
 
 
 @query("ATK7_step_order", "SELECT inv_id, step, id AS edge_id, phase FROM pl", ATK)

@@ -48,3 +48,18 @@ def test_reachable_stops_when_all_is_reached(spark):
     edges = spark.createDataFrame([("i", f"e{k}", a, b) for k, (a, b) in enumerate([("f", "a"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "g")])], "inv_id string, id string, source_id string, target_id string")
     assert {r.node for r in attack.reachable(seeds, edges).collect()} == set("fabcde")
     assert {r.node for r in attack.reachable(seeds, edges.where("id < 'e2'")).collect()} == set("fab")
+
+
+def test_small_frontiers_are_sent_and_all_nodes_end_the_search(spark, monkeypatch):
+    rows = [("i", "e0", "f", "a"), ("i", "e1", "a", "b"), ("i", "e2", "c", "b"), ("j", "e3", "g", "h"), ("k", "e4", "x", "y")]
+    edges = spark.createDataFrame(rows, "inv_id string, id string, source_id string, target_id string")
+    seeds = spark.createDataFrame([("i", "f"), ("j", "g"), ("k", "lone"), ("l", "none")], "inv_id string, finding_id string")
+    want = {("i", n) for n in "fabc"} | {("j", "g"), ("j", "h"), ("k", "lone"), ("l", "none")}
+    joined, real, hops = [], attack.split_join, []
+    cut = attack.cut
+    monkeypatch.setattr(attack, "cut", lambda df: hops.append(df) or cut(df))
+    monkeypatch.setattr(attack, "split_join", lambda *x: joined.append(x) or real(*x))
+    assert {(r.inv_id, r.node) for r in attack.reachable(seeds, edges).collect()} == want and not joined
+    assert len(hops) == 3 + 3  # steps, degrees and seeds, then three hops: no fourth finds out that there is nothing new
+    monkeypatch.setattr(attack, "MOST_SENT", 0)
+    assert {(r.inv_id, r.node) for r in attack.reachable(seeds, edges).collect()} == want and joined
