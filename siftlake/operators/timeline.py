@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import chained, placed
@@ -138,6 +138,22 @@ def clusters(timeline: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     return rows.groupBy("inv_id", "cluster").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("events"), began).join(top, ["inv_id", "cluster"])
 
 
+def spans(moments: DataFrame, *by: str, gap: int = GAP_SECONDS) -> DataFrame:
+    """(by..., slot, n, first, last): moments (by..., ts) counted in slots of time in which no gap ends a cluster."""
+    us = F.unix_micros("ts")
+    slot = us - F.pmod(us, F.lit((gap + 1) * 1_000_000))
+    return moments.groupBy(*by, slot.alias("slot")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def cluster_counts(slots: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
+    """(inv_id, n): the number of clusters that with_clusters() finds, from spans(): only gaps between slots can end one,
+    and an investigation has one row in five minutes at most, whatever it holds."""
+    rows = slots.where("slot IS NOT NULL").groupBy("inv_id", "slot").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("inv_id").orderBy("slot"))
+    begins = F.floor((F.unix_micros("first") - F.unix_micros(before)) / 1_000_000) > gap
+    return rows.select("inv_id", F.coalesce(begins, F.lit(False)).alias("begins")).groupBy("inv_id").agg((F.count_if("begins") + 1).alias("n"))
+
+
 def in_order(timeline: DataFrame) -> DataFrame:
     """Each event with its place in its investigation's chronological order."""
     return placed(timeline, ["inv_id"], [F.col("ts"), F.col("id")])
