@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.adapter import EV, events
 from ..streaming import windows as S
-from .q_enrich import CASE_RULES, CASES, M, window
+from .q_enrich import CASE_RULES, CASES, M, TASK_EVENTS, window
 from .q_ops import shared
 from .registry import END, HITS, RULES, query
 
@@ -93,22 +93,31 @@ def str7(spark, sf_dir):
 EVERY = "CASE rule_id " + " ".join(f"WHEN '{r['id']}' THEN {r['threshold']}" for r in RULES) + " END"
 
 
+#: Batches in which the events that are not late arrive.
+BATCHES = 6
+
+
 def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of all rules in append mode, each written once the watermark has closed it; several batches.
 
     Events arrive up to ten minutes out of order; those of one region arrive when all others have, and are dropped and
     counted. A batch's rows are late by the watermark that the batches before it have reached, and that one takes effect
     a batch after its rows: so two heartbeats come between, and files have times in the order of their arrival.
+
+    A batch reads as many files as its events need tasks, and each heartbeat has as many: the late events then begin two
+    batches after the first heartbeat, also where an arrival's stretch has no events and so no file.
     """
     path, rows = shared(spark, "stream"), window(spark, sf_dir)
+    files = max(1, -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // (BATCHES * TASK_EVENTS)))  # told by the files' footers
     empty = lambda c: F.lit(None).cast(rows.schema[c].dataType)
     # an event of no rule after the window's end moves the watermark past the last window
     beat = rows.limit(1).withColumns({"time_dt": F.lit(END).cast("timestamp") + F.expr("INTERVAL 9 DAYS"), "class_uid": F.lit(6003), "api": empty("api"), "actor": empty("actor"), "resources": empty("resources"), "cloud": empty("cloud")})
+    beats = spark.range(0, files, 1, files).join(F.broadcast(beat)).drop("id")  # one file each
     late = F.col("cloud.region") == "ap-southeast-1"
     arrival = F.unix_micros("time_dt") + F.pmod(F.xxhash64("event_uid"), F.lit(600_000_000))
-    on_time = rows.where(~late).withColumn("arrival", arrival).repartitionByRange(6, "arrival").drop("arrival")
-    path = S.waves(path, [on_time, beat.coalesce(1), beat.coalesce(1), rows.where(late).coalesce(1)])
-    source = S.stream(spark.read.parquet(path), path, files=1)
+    on_time = rows.where(~late).withColumn("arrival", arrival).repartitionByRange(BATCHES * files, "arrival").drop("arrival")
+    path = S.waves(path, [on_time, beats, beats, rows.where(late).repartition(files, "event_uid")])
+    source = S.stream(spark.read.parquet(path), path, files=files)
     return S.run_to_files(S.windowed_detection(source, RULES), shared(spark, "windows"), shared(spark, "stream-state"))
 
 
