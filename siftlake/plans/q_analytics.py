@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, attack, patterns, timeline
 from ..sources.adapter import EV
 from .q_detect import HISTORY, history
-from .q_enrich import EVW, GRAPH, graph, kept, results, window
+from .q_enrich import EVW, GRAPH, found_patterns, graph, kept, results, window
 from .registry import DETECT, RULES, query
 
 COUNTS = "counts AS (SELECT 'user' AS kind, user_name AS entity, count(*) AS event_count FROM evw WHERE user_name IS NOT NULL GROUP BY 2 UNION ALL SELECT 'ip', src_ip, count(*) FROM evw WHERE src_ip IS NOT NULL GROUP BY 2 UNION ALL SELECT 'service', service, count(*) FROM evw WHERE service IS NOT NULL GROUP BY 2)"
@@ -147,8 +147,9 @@ PAT = (*GRAPH, LABELLED, SERVICES, PATTERNS)
 def pattern(name: str, kind: str | None):
     @query(name, "SELECT inv_id, pattern, entity, n, round(severity::DOUBLE, 6) AS severity, members FROM pat" + (f" WHERE pattern = '{kind}'" if kind else ""), PAT)
     def run(spark, sf_dir):
-        nodes, edges = graph(spark, sf_dir)
-        rows = getattr(patterns, kind)(edges, nodes) if kind else patterns.detect(nodes, edges).orderBy(F.desc("severity"))
+        if kind:
+            nodes, edges = graph(spark, sf_dir)
+        rows = getattr(patterns, kind)(edges, nodes) if kind else found_patterns(spark, sf_dir).orderBy(F.desc("severity"))
         return rows.withColumn("severity", F.round("severity", 6))
 
 

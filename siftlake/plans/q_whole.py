@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attack, enrich, ops, patterns, ruleindex, timeline
+from ..operators import attack, enrich, ops, ruleindex, timeline
 from ..operators import detect as D
 from ..sources.adapter import EV, events
 from .q_analytics import ATK, LABELLED, PAT, TOLD, findings, step_rows
-from .q_enrich import EVW, GRAPH, WHOLE, edges_of, graph, inventory, window
+from .q_enrich import EVW, GRAPH, WHOLE, edges_of, found_patterns, graph, inventory, window
 from .q_ops import PLAYS, playbooks
 from .registry import DETECT, END, HITS, RULES, START, query
 
@@ -100,7 +100,7 @@ def every(ctes: tuple[str, ...]) -> tuple[str, ...]:
 
 @query("INV4_all_patterns", "SELECT inv_id, pattern, entity, n, round(severity::DOUBLE, 6) AS severity, members FROM pat", every(PAT))
 def inv4(spark, sf_dir):
-    return patterns.detect(*graph(spark, sf_dir, True)).withColumn("severity", F.round("severity", 6))
+    return found_patterns(spark, sf_dir, True).withColumn("severity", F.round("severity", 6))
 
 
 @query("INV5_all_steps", "SELECT inv_id, step, id AS edge_id, phase, line AS narrative FROM told", every((*ATK, TOLD)))

@@ -57,3 +57,23 @@ def test_elements_are_not_copied_for_each_investigation(spark):
     names = [r["id"] for r in Q.cases(spark, SF, True)]
     rows = G.element_sets(Q.set_leaves(spark, SF, True), names)
     assert masks.each(rows, names).count() == nodes.count() - len(names) + edges.count() > 3 * rows.count()
+
+
+@here
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_patterns_by_sets_are_those_of_the_graph(spark, monkeypatch, most):
+    from siftlake.operators import patterns
+
+    monkeypatch.setattr(patterns, "MOST_SENT", most)
+    want = patterns.detect(*Q.graph(spark, SF, True))
+    assert rows_of(Q.found_patterns(spark, SF, True).select(want.columns)) == rows_of(want)
+
+
+def test_the_earliest_label_of_an_id_is_told_for_each_investigation(spark):
+    ev = spark.createDataFrame([(1, "a", "b:c", [0, 1]), (2, "a:b", "c", [0, 2]), (2, "a", "b:c", [2])], "at int, account string, user string, inv_id array<int>")
+    blank = {c: F.lit(None).cast("string") for c in ("src_ip", "dst_ip", "api_id", "api_label", "host", "user_type", "status")}
+    rows = ev.select("inv_id", F.timestamp_seconds("at").alias("ts"), (10 - F.monotonically_increasing_id()).cast("string").alias("event_uid"), F.lit(True).alias("is_match"), F.lit(6003).alias("class_uid"), F.concat(F.lit("Principal:"), "account", F.lit(":"), "user").alias("principal_id"), "user", "account", F.array().cast("array<struct<id:string,label:string,type:string>>").alias("resources"), *[v.alias(k) for k, v in blank.items()])
+    names = ["i", "j", "k"]
+    got = masks.each(G.label_sets(rows, names), names)
+    nodes = G.merge_nodes(G.node_contributions(rows.withColumn("inv_id", F.explode("inv_id")), events=False, told=False))
+    assert sorted((r.inv_id, r.label) for r in got.collect()) == sorted((r.inv_id, r.label) for r in nodes.collect())
