@@ -99,18 +99,41 @@ def with_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def edge_events(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    e = with_labels(edges.where("edge_type <> 'TRIGGERED_BY' AND coalesce(first_seen, last_seen) IS NOT NULL"), nodes)
+def told_edges(edges: DataFrame) -> DataFrame:
+    return edges.where("edge_type <> 'TRIGGERED_BY' AND coalesce(first_seen, last_seen) IS NOT NULL")
+
+
+#: Edges that are told as a flow between their labelled ends.
+IS_FLOW = "bytes_in IS NOT NULL OR bytes_out IS NOT NULL"
+
+
+def flow_text() -> Column:
     ports = F.array_join(F.transform("dst_ports", lambda x: x.cast("string")), ",")
     values = {"class_uid": F.lit("4001"), "src_endpoint_ip": F.col("source_label"), "dst_endpoint_ip": F.col("target_label"), "protocol_name": F.col("protocol"), "bytes_in": F.col("bytes_in"), "bytes_out": F.col("bytes_out"), "dst_port": ports}
-    flow = narrative(lambda k: values[k].cast("string") if k in values else F.lit(None).cast("string"))
-    text = F.when(F.col("bytes_in").isNotNull() | F.col("bytes_out").isNotNull(), flow).when(F.col("event_count") > 1, F.concat(F.lit("Occurred "), F.col("event_count"), F.lit(" times"))).otherwise("")
+    return narrative(lambda k: values[k].cast("string") if k in values else F.lit(None).cast("string"))
+
+
+def times_text() -> Column:
+    return F.when(F.col("event_count") > 1, F.concat(F.lit("Occurred "), F.col("event_count"), F.lit(" times"))).otherwise("")
+
+
+def edge_events(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    e = with_labels(told_edges(edges), nodes)
+    text = F.when(F.expr(IS_FLOW), flow_text()).otherwise(times_text())
     return e.select(
         "inv_id", F.concat(F.lit("edge:"), F.col("id")).alias("id"), F.coalesce("first_seen", "last_seen").alias("ts"), F.concat(F.col("edge_type"), F.lit(": "), F.col("source_label"), F.lit(" -> "), F.col("target_label")).alias("title"),
         text.alias("description"), F.lit("relationship").alias("entity_type"), F.col("id").alias("entity_id"), F.col("edge_type").alias("operation"), F.lit("unreviewed").alias("tag"),
     )
 
 
+def edge_descriptions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(inv_id, id, description) of edge_events(): only flows tell labels, so only they look them up. ``nodes``: those of
+    flows' ends at least."""
+    e = told_edges(edges)
+    told = lambda rows, text: rows.select("inv_id", F.concat(F.lit("edge:"), F.col("id")).alias("id"), text.alias("description"))
+    return told(with_labels(e.where(IS_FLOW), nodes), flow_text()).unionByName(told(e.where(f"NOT ({IS_FLOW})"), times_text()))
+
+
 def extract(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return node_events(nodes).unionByName(edge_events(edges, nodes))
 

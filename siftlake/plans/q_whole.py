@@ -8,7 +8,7 @@ from ..operators import attack, enrich, ops, ruleindex, timeline
 from ..operators import detect as D
 from ..sources.adapter import EV, events
 from .q_analytics import ATK, LABELLED, PAT, TOLD, findings, step_rows
-from .q_enrich import EVW, GRAPH, WHOLE, edges_of, found_patterns, graph, inventory, window
+from .q_enrich import EVW, GRAPH, WHOLE, addresses, edges_of, found_patterns, graph, inventory, window
 from .q_ops import PLAYS, playbooks
 from .registry import DETECT, END, HITS, RULES, START, query
 
@@ -34,8 +34,7 @@ PORTS = "np AS (SELECT inv_id, edge_type, source_id, target_id, string_agg(port:
   WHEN event_count > 1 THEN 'Occurred ' || event_count || ' times' ELSE '' END AS description
 FROM le LEFT JOIN np USING (inv_id, edge_type, source_id, target_id) WHERE edge_type <> 'TRIGGERED_BY'""", (*GRAPH, LABELLED, PORTS))
 def tml10(spark, sf_dir):
-    nodes, edges = graph(spark, sf_dir)
-    return timeline.edge_events(edges, nodes).select("inv_id", "id", "description")
+    return timeline.edge_descriptions(graph(spark, sf_dir)[1], addresses(spark, sf_dir))
 
 
 @query("TML11_flow_narratives", f"SELECT event_uid, {flow_sql('src_ip', 'dst_ip', 'dst_port::VARCHAR', 'bytes_in', 'bytes_out')} AS narrative FROM evw WHERE class_uid = 4001", (EV, EVW))

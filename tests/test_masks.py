@@ -77,3 +77,15 @@ def test_the_earliest_label_of_an_id_is_told_for_each_investigation(spark):
     got = masks.each(G.label_sets(rows, names), names)
     nodes = G.merge_nodes(G.node_contributions(rows.withColumn("inv_id", F.explode("inv_id")), events=False, told=False))
     assert sorted((r.inv_id, r.label) for r in got.collect()) == sorted((r.inv_id, r.label) for r in nodes.collect())
+
+
+@here
+def test_descriptions_look_up_the_ends_of_flows_alone(spark, monkeypatch):
+    nodes, edges = Q.graph(spark, SF)
+    want, real, looked = timeline.edge_events(edges, nodes).select("inv_id", "id", "description"), timeline.with_labels, []
+    monkeypatch.setattr(timeline, "with_labels", lambda e, n: looked.append(e) or real(e, n))
+    from siftlake.plans.all import QUERIES
+
+    got = QUERIES["TML10_edge_descriptions"](spark, SF)
+    assert rows_of(got) == rows_of(want)
+    assert 0 < looked[0].count() == edges.where("edge_type = 'COMMUNICATED_WITH'").count() < edges.count()
