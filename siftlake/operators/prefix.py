@@ -10,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import masks
 from .lineage import cut
 from .skew import MOST_SENT
 
 
-def dealt(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+def dealt(df: DataFrame, by: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
     """``df`` with ``__part`` and ``__at``: rows in parts by ranges of (by, order), and their place in the order.
 
     The places are written down once, so that later steps agree about them.
     """
     keys = [F.col(c) for c in by] + order
-    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = df.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys)
     return cut(rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
 
 
@@ -33,6 +34,22 @@ def placed(df: DataFrame, by: list[str], order: list[Column], name: str = "place
     return _with(rows, borders, by).withColumn(name, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
 
 
+def placed_sets(df: DataFrame, names: list[str], order: list[Column], parts: int, name: str = "places") -> DataFrame:
+    """``df``, whose ``inv_id`` is a set (masks), with ``name``: an array of its investigations (inv_id), by places, and of
+    the row's number in each of them (place), from 1. Rows are counted for all investigations at once, in so many parts."""
+    if not names:
+        return df.withColumn(name, F.array().cast("array<struct<inv_id:int,place:bigint>>")).limit(0)
+    rows = dealt(df, [], order, parts)
+    had = [masks.has(k).cast("long") for k in range(len(names))]
+    borders = rows.groupBy("__part").agg(*[F.sum(h).alias(f"__n{k}") for k, h in enumerate(had)])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    borders = cut(borders.select("__part", *[F.coalesce(F.sum(f"__n{k}").over(earlier), F.lit(0)).alias(f"__n{k}") for k in range(len(names))]))
+    local = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a part is no larger than a task
+    rows = rows.repartition(parts, "__part").withColumns({f"__l{k}": F.sum(h).over(local) for k, h in enumerate(had)}).join(F.broadcast(borders), "__part")
+    each = [F.when(masks.has(k), F.struct(F.lit(k).alias("inv_id"), (F.col(f"__n{k}") + F.col(f"__l{k}")).alias("place"))) for k in range(len(names))]
+    return rows.select(*df.columns, F.array_compact(F.array(*each)).alias(name))
+
+
 def chained(df: DataFrame, by: list[str], order: list[Column], time: str, longest: int, name: str = "chain", gap: str = "gap") -> DataFrame:
     """``df`` with ``gap``, the whole seconds since the row before in its group (null for the first), and ``name``, a
     number that goes up by one wherever the gap is longer than ``longest``, from 0."""

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, attack, patterns, timeline
+from ..operators import detect as D
 from ..sources.adapter import EV
 from .q_detect import HISTORY, history
-from .q_enrich import EVW, GRAPH, found_patterns, graph, kept, results, window
+from .q_enrich import EVW, GRAPH, cases, edge_sets, found_patterns, graph, kept, label_sets, results, window
 from .registry import DETECT, RULES, query
 
 COUNTS = "counts AS (SELECT 'user' AS kind, user_name AS entity, count(*) AS event_count FROM evw WHERE user_name IS NOT NULL GROUP BY 2 UNION ALL SELECT 'ip', src_ip, count(*) FROM evw WHERE src_ip IS NOT NULL GROUP BY 2 UNION ALL SELECT 'service', service, count(*) FROM evw WHERE service IS NOT NULL GROUP BY 2)"
@@ -195,6 +196,16 @@ def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "steps", lambda: attack.steps(findings(spark, sf_dir), *graph(spark, sf_dir))[0])
 
 
+def mitre(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """inv_id, mitre of each case."""
+    return D.rule_table(spark, cases(spark, sf_dir, whole)).select(F.col("rule_id").alias("inv_id"), "mitre")
+
+
+def inside(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Steps of the cases' attack paths by sets of investigations, not yet placed."""
+    return attack.inside_sets(edge_sets(spark, sf_dir, whole), label_sets(spark, sf_dir, whole), [r["id"] for r in cases(spark, sf_dir, whole)], mitre(spark, sf_dir, whole))
+
+
 def stories(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     return kept(spark, sf_dir, f"stories of {'all' if whole else 'cases'}", lambda: attack.narratives(findings(spark, sf_dir, whole), *graph(spark, sf_dir, whole)))
 

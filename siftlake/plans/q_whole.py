@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import attack, enrich, ops, ruleindex, timeline
 from ..operators import detect as D
 from ..sources.adapter import EV, events
-from .q_analytics import ATK, LABELLED, PAT, TOLD, findings, step_rows
-from .q_enrich import EVW, GRAPH, WHOLE, addresses, edges_of, found_patterns, graph, inventory, window
+from .q_analytics import ATK, LABELLED, PAT, TOLD, inside, step_rows
+from .q_enrich import EVW, GRAPH, WHOLE, addresses, cases, edges_of, event_parts, found_patterns, graph, inventory, window
 from .q_ops import PLAYS, playbooks
 from .registry import DETECT, END, HITS, RULES, START, query
 
@@ -104,7 +104,7 @@ def inv4(spark, sf_dir):
 
 @query("INV5_all_steps", "SELECT inv_id, step, id AS edge_id, phase, line AS narrative FROM told", every((*ATK, TOLD)))
 def inv5(spark, sf_dir):
-    return attack.steps(findings(spark, sf_dir, True), *graph(spark, sf_dir, True))[0].select("inv_id", "step", "edge_id", "phase", "narrative")
+    return attack.steps_of_sets(inside(spark, sf_dir, True), [r["id"] for r in cases(spark, sf_dir, True)], event_parts(spark, sf_dir)).select("inv_id", "step", "edge_id", "phase", "narrative")
 
 
 @query("INV6_all_elements", """SELECT inv_id, id, node_type AS type, label, epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us, event_count FROM nodes
