@@ -92,10 +92,14 @@ def _met(many: DataFrame, few: DataFrame, key: str, spread: str, names: list[str
     return rows.withColumn("inv_id", masks.common(names, "inv_id", "__few")).drop("__few").where(masks.some(names))
 
 
-def _gathered(pairs: DataFrame, key: str, label: str, value: str, least: int, names: list[str]) -> DataFrame:
+def _gathered(pairs: DataFrame, key: str, label: str, value: str, least: int, names: list[str], told: bool) -> DataFrame:
     """(inv_id, key, entity, n, members), by places: values are collected once for each set of investigations that have
-    them, and these lists are then dealt out."""
+    them, and these lists are then dealt out. If not ``told``, values are counted alone, and members are null."""
     pairs = pairs.where(F.col(value).isNotNull()).groupBy(key, label, value).agg(masks.union(names))
+    if not told:
+        sizes = masks.each(pairs.groupBy("inv_id", key, label).agg(F.count("*").alias("n")), names)
+        rows = sizes.groupBy("inv_id", key).agg(F.min(label).alias("entity"), F.sum("n").alias("n")).where(F.col("n") >= least)
+        return rows.withColumn("members", F.lit(None).cast("array<string>"))
     blocks = pairs.groupBy("inv_id", key, label).agg(F.collect_list(value).alias("part"))
     rows = masks.each(blocks, names).groupBy("inv_id", key).agg(F.min(label).alias("entity"), F.flatten(F.collect_list("part")).alias("members"))
     return rows.withColumn("n", F.size("members")).where(F.col("n") >= least)
@@ -110,22 +114,32 @@ def detect_sets(leaves: DataFrame, names: list[str]) -> DataFrame:
     for end, other in (("target", "source"), ("source", "target")):
         side = labels.select(F.col("id").alias(f"{end}_id"), F.col("label").alias(f"{end}_label"), F.col("node_type").alias(f"{end}_type"), F.col("inv_id").alias("__few"))
         edges = _met(cut(edges), side, f"{end}_id", f"{other}_id", names)
-    edges = cut(edges)
+    times = graph.edge_contributions(masked, kinds=kinds[2:]).groupBy("inv_id", "source_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return _of_sets(cut(edges), times, names)
+
+
+def detect_labelled(edges: DataFrame, names: list[str], told: bool = True) -> DataFrame:
+    """The same of a written table of attack.labelled_sets(). If not ``told``, no members are collected (null)."""
+    times = edges.where("edge_type = 'AUTHENTICATED_FROM'").groupBy("inv_id", "source_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return _of_sets(edges, times, names, told)
+
+
+def _of_sets(edges: DataFrame, times: DataFrame, names: list[str], told: bool = True) -> DataFrame:
+    """edges: edges by sets with labels of both ends; an edge may have several rows. times: first and last login of principals."""
     calls = edges.where("edge_type = 'CALLED_API' AND source_type = 'Principal'")
     row = lambda rows, pattern, severity: _row(masks.named(rows, names), pattern, severity)
 
     used = cut(calls.groupBy("source_id", F.col("source_label").alias("principal"), F.split("target_label", ":")[0].alias("service")).agg(masks.union(names)))
-    fanout = row(_gathered(used, "source_id", "principal", "service", 5, names), "privilege_fanout", F.least(F.lit(0.9), 0.4 + 0.5 * (F.col("n") - 5) / 5))
+    fanout = row(_gathered(used, "source_id", "principal", "service", 5, names, told), "privilege_fanout", F.least(F.lit(0.9), 0.4 + 0.5 * (F.col("n") - 5) / 5))
 
     access = edges.where("edge_type = 'ACCESSED_RESOURCE'").select(F.col("source_id").alias("api"), "target_id", "target_label", F.col("inv_id").alias("__few"))
     users = calls.groupBy(F.col("target_id").alias("api"), F.col("source_label").alias("principal")).agg(masks.union(names))
     pairs = _met(cut(users), access, "api", "principal", names)
-    convergence = row(_gathered(pairs, "target_id", "target_label", "principal", 3, names), "resource_convergence", F.least(F.lit(0.9), 0.5 + 0.3 * (F.col("n") - 3) / 3))
+    convergence = row(_gathered(pairs, "target_id", "target_label", "principal", 3, names, told), "resource_convergence", F.least(F.lit(0.9), 0.5 + 0.3 * (F.col("n") - 3) / 3))
 
     logins = edges.where("edge_type = 'AUTHENTICATED_FROM' AND source_type = 'Principal'")
-    times = graph.edge_contributions(masked, kinds=kinds[2:]).groupBy("inv_id", "source_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     spans = masks.each(times, names).groupBy("inv_id", "source_id").agg((F.unix_micros(F.max("last_seen")) - F.unix_micros(F.min("first_seen"))).alias("span"))
-    rows = _gathered(logins.where(~is_private(F.col("target_label"))), "source_id", "source_label", "target_label", 3, names).join(spans, ["inv_id", "source_id"])
+    rows = _gathered(logins.where(~is_private(F.col("target_label"))), "source_id", "source_label", "target_label", 3, names, told).join(spans, ["inv_id", "source_id"])
     base = 0.5 + 0.1 * F.least(F.col("n") - 3, F.lit(4))
     sources = row(rows, "multi_source_auth", F.when(F.col("span") < 3_600_000_000, F.least(base + 0.2, F.lit(0.95))).otherwise(F.least(base, F.lit(0.85))))
 
@@ -133,6 +147,6 @@ def detect_sets(leaves: DataFrame, names: list[str]) -> DataFrame:
     both = both.withColumn("inv_id", masks.common(names, "inv_id", "__b")).where(masks.some(names))
     both = both.groupBy("inv_id", "a", "b").agg(F.count("*").alias("users"), F.min("source_id").alias("source_id"), F.min("principal").alias("principal"))
     alone = masks.each(both, names).groupBy("inv_id", "a", "b").agg(F.sum("users").alias("users"), F.min("source_id").alias("source_id"), F.min("principal").alias("principal")).where("users = 1")
-    rows = alone.groupBy("inv_id", "source_id").agg(F.min("principal").alias("entity"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.array("a", "b")))).alias("members"))
+    rows = alone.groupBy("inv_id", "source_id").agg(F.min("principal").alias("entity"), F.count("*").alias("n"), (F.array_distinct(F.flatten(F.collect_list(F.array("a", "b")))) if told else F.lit(None).cast("array<string>")).alias("members"))
     bridge = row(rows, "service_bridge", F.least(F.lit(0.85), 0.5 + 0.1 * F.col("n")))
     return reduce(lambda a, b: a.unionByName(b), [fanout, convergence, sources, bridge])

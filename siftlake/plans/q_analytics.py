@@ -201,9 +201,14 @@ def mitre(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     return D.rule_table(spark, cases(spark, sf_dir, whole)).select(F.col("rule_id").alias("inv_id"), "mitre")
 
 
+def labelled(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Edges of the cases by sets of investigations, with labels and what is reached."""
+    return attack.labelled_sets(edge_sets(spark, sf_dir, whole), label_sets(spark, sf_dir, whole), [r["id"] for r in cases(spark, sf_dir, whole)])
+
+
 def inside(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Steps of the cases' attack paths by sets of investigations, not yet placed."""
-    return attack.inside_sets(edge_sets(spark, sf_dir, whole), label_sets(spark, sf_dir, whole), [r["id"] for r in cases(spark, sf_dir, whole)], mitre(spark, sf_dir, whole))
+    return attack.inside_sets(labelled(spark, sf_dir, whole), [r["id"] for r in cases(spark, sf_dir, whole)], mitre(spark, sf_dir, whole))
 
 
 def stories(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
